@@ -84,3 +84,33 @@ def lens_planes() -> list[tuple[int, float, float, float, float]]:
         (p + 1, step * (p + 0.5), LENS_PLANE_REDSHIFTS[p], step * (p + 1), SOURCE_PLANE_REDSHIFTS[p])
         for p in range(len(LENS_PLANE_REDSHIFTS))
     ]
+
+
+# --- fixed values: baryonification parameter sets --------------------------------
+BCM_PARAMETERS = {
+    "schneider19": {
+        "theta_ej": 4.0, "theta_co": 0.1, "M_c": 1.1e13 / HUBBLE_H, "mu_beta": 0.55, "gamma": 2.0, "delta": 7.0,
+        "eta": 0.3, "eta_delta": 0.3, "tau": -1.5, "tau_delta": 0.0, "A": 0.045, "M1": 2.5e11 / HUBBLE_H,
+        "epsilon_h": 0.015, "a": 0.3, "n": 2.0, "epsilon": 4.0, "p": 0.3, "q": 0.707,
+    },
+    "schneider25": {
+        "epsilon0": 4.0, "epsilon1": 0.5, "alpha_excl": 0.4, "p": 0.3, "q": 0.707, "M_c": 1e15, "mu": 0.8,
+        "theta_c": 0.3, "nu_theta_c": 0.5, "alpha": 1.0, "gamma": 1.5, "delta": 7.0, "c_iga": 0.1, "nu_c_iga": 1.5,
+        "r_min_iga": 1e-3, "q0": 0.075, "q1": 0.25, "q2": 0.7, "nu_q0": 0.0, "nu_q1": 1.0, "nu_q2": 0.0,
+        "nstep": 1.5, "tau": -1.376, "tau_delta": 0.0, "Mstar": 3e11, "Nstar": 0.03, "eta": 0.1, "eta_delta": 0.22,
+        "epsilon_cga": 0.03, "M1_0": 1e11 / HUBBLE_H, "epsilon_h": 0.015, "alpha_nt": 0.1, "nu_nt": 0.5,
+        "gamma_nt": 0.8, "mean_molecular_weight": 0.6125,
+    },
+    "arico20": {
+        "M_c": 1.2e14 / HUBBLE_H, "mu": 0.31, "beta": 0.6, "M_inn": 3.3e13 / HUBBLE_H, "theta_inn": 0.1,
+        "theta_out": 3.0, "epsilon_hydro": 5.0**0.5, "theta_rg": 0.3, "sigma_rg": 0.1, "M_r": 1e16, "beta_r": 2.0,
+        "eta": 0.6, "M1_0": 2.2e11 / HUBBLE_H, "alpha_g": 2.0, "epsilon_h": 0.015, "alpha_fsat": 1.0,
+        "M1_fsat": 1.0, "delta_fsat": 1.0, "gamma_fsat": 1.0, "eps_fsat": 1.0, "a": 0.3, "n": 2.0, "p": 0.3,
+        "q": 0.707, "A_nt": 0.495, "alpha_nt": 0.1, "mean_molecular_weight": 0.59,
+    },
+}
+
+
+def bcm_parameter_rows() -> list[tuple[str, str, float]]:
+    """(model, name, value) for every parameter set."""
+    return [(m, n, float(v)) for m, params in BCM_PARAMETERS.items() for n, v in params.items()]

@@ -16,18 +16,22 @@ SLICES = 64
 
 
 def _slice_counts(df: DataFrame, keys: list[str], value: str, slices: int) -> DataFrame:
-    """(keys, value, n, slice): one row per distinct value of a group."""
+    """(keys, value, _n, _slice, _total): one row per distinct value of a group.
+
+    The cut points and the group size come from the same counts the rows come from, so both
+    sides of the join read one shuffle.
+    """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     probs = [k / slices for k in range(1, slices)]
     cuts = counts.groupBy(*keys).agg(
-        F.percentile_approx(value, probs, 10 * slices).alias("_cuts")
+        F.percentile_approx(value, probs, 10 * slices).alias("_cuts"), F.sum("_n").alias("_total")
     )
     joined = counts.join(cuts, keys) if keys else counts.crossJoin(F.broadcast(cuts))
     return joined.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str, slices: int = SLICES) -> DataFrame:
-    """(keys, value, n, before): how many rows of the group lie strictly below ``value``."""
+    """(keys, value, n, before, total): how many rows of the group lie strictly below ``value``."""
     keys = list(keys)
     sliced = _slice_counts(df, keys, value, slices)
     totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_t"))
@@ -37,7 +41,9 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str, slices: int =
     return (
         sliced.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .join(offsets, keys + ["_slice"])
-        .select(*keys, value, F.col("_n").alias("n"), (F.col("_off") + F.col("_in")).alias("before"))
+        .select(
+            *keys, value, F.col("_n").alias("n"), (F.col("_off") + F.col("_in")).alias("before"), F.col("_total").alias("total")
+        )
     )
 
 
@@ -46,17 +52,14 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linear-interpolation quantiles per group; NULLs are skipped."""
     keys = list(keys)
-    ranks = ranked_values(df, keys, value, slices)
-    total = ranks.groupBy(*keys).agg(F.sum("n").alias("_total"))
-    joined = ranks.join(total, keys) if keys else ranks.crossJoin(F.broadcast(total))
     aggs: list[Column] = []
     for p, name in zip(probs, names):
-        pos = (F.col("_total") - 1) * F.lit(float(p))
+        pos = (F.col("total") - 1) * F.lit(float(p))
         lo, hi = F.floor(pos), F.ceil(pos)
         at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))
         frac = F.max(pos - lo)
         aggs.append((at(lo) + (at(hi) - at(lo)) * frac).alias(name))
-    return joined.groupBy(*keys).agg(*aggs)
+    return ranked_values(df, keys, value, slices).groupBy(*keys).agg(*aggs)
 
 
 def row_ranks(df: DataFrame, order: str, tie: str, slices: int = SLICES, name: str = "rank") -> DataFrame:

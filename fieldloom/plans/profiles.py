@@ -55,7 +55,6 @@ def _(spark, sf):
 def _(spark, sf):
     p = _profile(spark, sf, LIB_EDGES)
     p = prof.add_density(windows.cumulative(p, ["halo_id", "sim"], "bin", "mass", "enclosed"), LIB_EDGES)
-    p = p.join(F.broadcast(bin_table(spark, LIB_EDGES)), "bin")
     return p.select("halo_id", "sim", "bin", "mass", r(F.sqrt(F.col("lo") * F.col("hi")), 8).alias("r_mid"), r("density").alias("density"), "enclosed")
 
 
