@@ -195,9 +195,17 @@ def _(spark, sf):
     return b.redshifts(spark, sf).select("z", "n_orders", r(cos.efunc(z)).alias("e_z"), r(cos.comoving_distance(z), 5).alias("chi"))
 
 
-@query("p14_scale_factor_at_distance")
+_INV = lambda a: f"(1 / sqrt({num(OMEGA_M)} * {a} + {num(1.0 - OMEGA_M)} * {a}*{a}*{a}*{a}))"
+_FWD = f"({num(SPEED_OF_LIGHT / 100.0)} * ((1 - a) / 999.0::double) * (list_sum(list_transform(range(1, 999), lambda k: {_INV('(a + (1 - a) / 999.0::double * k)')})) + ({_INV('a')} + {_INV('1.0::double')}) / 2))"
+
+
+@query(
+    "p14_scale_factor_at_distance",
+    cte("redshifts").replace("with ", "with recursive ", 1).rstrip()
+    + f""", nt as (select n_orders, z * 1500 as chi, 0.5::double as a, 0 as k from redshifts union all select n_orders, chi, greatest(0.01, least(0.9999, a + ({_FWD} - chi) / ({num(SPEED_OF_LIGHT / 100.0)} * {_INV('a')}))), k + 1 from nt where k < 12)
+ select n_orders, {R('chi', 4)} as chi, {R('a', 8)} as a from nt where k = 12""",
+)
 def _(spark, sf):
-    # a(chi) at each order-derived distance; the check is the forward relation
     chi = b.redshifts(spark, sf).select("n_orders", (F.col("z") * 1500.0).alias("chi"))
     return chi.select("n_orders", r("chi", 4).alias("chi"), r(cos.scale_factor_at(F.col("chi")), 8).alias("a"))
 

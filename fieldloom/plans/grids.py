@@ -196,7 +196,19 @@ def _(spark, sf):
     return _displaced(spark, sf).select("pid", "mass", *[r(c).alias(c) for c in ("x", "y", "z")])
 
 
-@query("b01_sequential_displacement")
+_BR = lambda d: f"(case when {d} > 102.5 then {d} - 205.0 when {d} < -102.5 then {d} + 205.0 else {d} end)"
+_RD = "sqrt(ax*ax + ay*ay + az*az)"
+
+
+@query(
+    "b01_sequential_displacement",
+    cte("particles", "halos").replace("with ", "with recursive ", 1).rstrip()
+    + f""", q as (select *, row_number() over (partition by pid order by halo_id) as k from (select p.pid, h.*, {dist_sql()} as d from particles p, halos h where p.sim = 'dmo') where d <= r200 * 5.0::double),
+ mv as (select pid, mass, x, y, z, 0 as k from particles where sim = 'dmo' union all
+  select pid, mass, x + s * ax / greatest(rr, 1e-10), y + s * ay / greatest(rr, 1e-10), z + s * az / greatest(rr, 1e-10), k from (select *, {_lookup_sql('(rr / r200)', 'log_mass')} as s from (select *, {_RD} as rr from
+   (select m.pid, m.mass, m.x, m.y, m.z, q.k, q.r200, q.log_mass, {_BR('(m.x - q.hx)')} as ax, {_BR('(m.y - q.hy)')} as ay, {_BR('(m.z - q.hz)')} as az from mv m join q on q.pid = m.pid and q.k = m.k + 1)))),
+ fin as (select *, row_number() over (partition by pid order by k desc) as last from mv) select pid, mass, {', '.join(R(_PM(c)) + f' as {c}' for c in ('x', 'y', 'z'))} from fin where last = 1""",
+)
 def _(spark, sf):
     p = b.particles(spark, sf).where(F.col("sim") == "dmo").select("pid", "mass", "x", "y", "z")
     shift = lambda d, h: bcm.tabulated(d / h["r200"], h["log_mass"], R_KNOTS, M_KNOTS, D_TABLE)

@@ -355,7 +355,24 @@ def _(spark, sf):
     return _spec(spectra.angular_spectrum(m, K, N), K, 10)
 
 
-@query("g25_jackknife_spectrum")
+_JN = 32
+
+
+def _jack_spec(src: str, key: str, name: str, v: str) -> str:
+    """P(k) of an overdensity in SQL under the given name."""
+    kb = logspace(math.log10(2 * math.pi / 205.0), math.log10(math.pi * _JN / 205.0), 31)
+    m2 = f"({mode_sql('i', _JN)}*{mode_sql('i', _JN)} + {mode_sql('j', _JN)}*{mode_sql('j', _JN)})"
+    return f"""{dft_sql(src, key, _JN, v, out=name + '_ft')}, {name} as (select {key}, bin, avg(p) * {num((205.0 / _JN) ** 2)} as power, count(*) as n_modes from (select {key}, {bin_sql('k', kb, 'left')} as bin, p from
+ (select {key}, sqrt({m2}::double) * {num(2 * math.pi / 205.0)} as k, re*re + im*im as p from {name}_ft)) where bin is not null group by all)"""
+
+
+@query(
+    "g25_jackknife_spectrum",
+    cte("particles").rstrip()
+    + f""", {_tsc_sql('particles', 'x', 'y', 'sim', _JN)}, g2 as (select *, avg(mass) over (partition by sim) as mu from grid), f as (select sim, i, j, mass / mu - 1 as v from g2), {_jack_spec('f', 'sim', 'fs', 'v')},
+ pm as (select sim, patch, i, j, case when (i // 8) * 4 + j // 8 = patch then mu else mass end as w from g2, (select unnest(range(16)) as patch)), pd as (select sim, patch, i, j, w / avg(w) over (partition by sim, patch) - 1 as v from pm), {_jack_spec('pd', 'sim, patch', 'ps', 'v')},
+ er as (select sim, bin, sqrt(var_pop(power) * 15) as error from ps group by all) select sim, bin, {R('power', 4)} as power, {R('error', 4)} as error, n_modes from fs join er using (sim, bin)""",
+)
 def _(spark, sf):
     j = spectra.jackknife_spectrum(_grid(spark, sf, 32), ["sim"], 32, 4)
     return j.select("sim", "bin", r("power", 4).alias("power"), r("error", 4).alias("error"), "n_modes")
@@ -397,7 +414,12 @@ def _(spark, sf):
     return s.select("map_id", "i", "j", r("gamma1").alias("gamma1"), r("gamma2").alias("gamma2"))
 
 
-@query("x06_convergence_round_trip")
+@query(
+    "x06_convergence_round_trip",
+    _K
+    + f""", {dft_sql('kappa', 'map_id', N)}, {_GAMMA}, {dft_sql('gm', 'map_id, field', N, 're', True, 'im', 'bk')}, {dft_sql('bk', 'map_id, field', N, 're', out='f2')},
+ kk as (select map_id, i, j, sum((case field when 'gamma1' then {_D1} else {_D2} end) * re) as re, sum((case field when 'gamma1' then {_D1} else {_D2} end) * im) as im from f2 group by all), {dft_sql('kk', 'map_id', N, 're', True, 'im', 'b2')} select map_id, i, j, {R('re')} as kappa from b2""",
+)
 def _(spark, sf):
     s = lensing.shear_from_convergence(b.kappa(spark, sf), K, N)
     return lensing.convergence_from_shear(s, K, N).select("map_id", "i", "j", r("kappa").alias("kappa"))
