@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,18 +18,21 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a scratch one only where none is named."""
-    jvm_context = spark.sparkContext._jsc.sc()
-    current = jvm_context.getCheckpointDir()
-    if current.isDefined():
-        return current.get()
+    """The shared folder the session names in spark.checkpoint.dir; a scratch one only without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named is None:
-        named = tempfile.mkdtemp(prefix="fieldloom-ckpt-")
-    spark.sparkContext.setCheckpointDir(named)
+        named = tempfile.mkdtemp(prefix="fieldloom-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder below the checkpoint folder, seen by every executor."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the result survives the loss of executors."""
     checkpoint_dir(df.sparkSession)

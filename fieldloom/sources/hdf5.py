@@ -1,0 +1,58 @@
+"""Snapshot chunks in HDF5. Needs the optional package h5py on the executors."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+
+try:
+    import h5py  # noqa: F401
+
+    AVAILABLE = True
+except ImportError:
+    AVAILABLE = False
+
+ROWS = 1 << 16
+
+
+def read_snapshot(spark: SparkSession, path: str, ptypes: Sequence[int] = (0, 1, 4)) -> DataFrame:
+    """(path, ptype, pid, x, y, z, mass) in file units; a file is read by one task in slices.
+
+    ``mass`` is NULL where the file holds none (a constant of the run, see scale_particles).
+    """
+    if not AVAILABLE:
+        raise RuntimeError("reading HDF5 needs h5py; convert the snapshot to parquet first")
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    kinds = list(ptypes)
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+
+        import h5py
+
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                with h5py.File(io.BytesIO(content), "r") as f:
+                    for t in kinds:
+                        group = f.get(f"PartType{t}")
+                        if group is None:
+                            continue
+                        total = group["ParticleIDs"].shape[0]
+                        for a in range(0, total, ROWS):
+                            pos = group["Coordinates"][a : a + ROWS]
+                            mass = group["Masses"][a : a + ROWS] if "Masses" in group else [None] * len(pos)
+                            yield pd.DataFrame(
+                                {
+                                    "path": name,
+                                    "ptype": t,
+                                    "pid": group["ParticleIDs"][a : a + ROWS].astype("int64"),
+                                    "x": pos[:, 0].astype("f8"),
+                                    "y": pos[:, 1].astype("f8"),
+                                    "z": pos[:, 2].astype("f8"),
+                                    "mass": pd.Series(mass, dtype="float64"),
+                                }
+                            )
+
+    return files.mapInPandas(parse, "path string, ptype int, pid long, x double, y double, z double, mass double")

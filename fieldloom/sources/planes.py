@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -85,19 +86,95 @@ def write_planes(pixels: DataFrame, folder: str, name: str, n: int, values: Sequ
     def write(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         data = np.zeros((n, n, comps))
         data[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf[list(values)].to_numpy()
-        target = os.path.join(folder, str(keys[0]))
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        partial = f"{target}.{os.getpid()}.part"
-        with open(partial, "wb") as f:
-            f.write(np.array([n], dtype="<i4").tobytes())
-            f.write(data.tobytes())
-            f.write(np.array([n], dtype="<i4").tobytes())
-        os.replace(partial, target)
+        mark = np.array([n], dtype="<i4").tobytes()
+        target = store(folder, str(keys[0]), mark + data.astype("<f8").tobytes() + mark)
         return pd.DataFrame({"file": [target], "pixels": [len(pdf)]})
 
     return pixels.select(name, "i", "j", *values).groupBy(name).applyInPandas(write, "file string, pixels long")
 
 
+def store(folder: str, name: str, content: bytes) -> str:
+    """Put one file into a folder on any file system Arrow knows, whole or not at all."""
+    from pyarrow import fs
+
+    where = f"{folder.rstrip('/')}/{name}"
+    if where.startswith("file:"):
+        where = "/" + where[5:].lstrip("/")
+    system, path = fs.FileSystem.from_uri(where)
+    system.create_dir(os.path.dirname(path), recursive=True)
+    partial = f"{path}.{uuid.uuid4().hex}.part"
+    with system.open_output_stream(partial) as out:
+        out.write(content)
+    system.move(partial, path)
+    return path
+
+
+# --- FITS primary images ---------------------------------------------------------
+
+_BLOCK = 2880
+_FITS_TYPES = {-64: ">f8", -32: ">f4", 32: ">i4", 16: ">i2"}
+
+
+def fits_bytes(image: np.ndarray) -> bytes:
+    """One two-dimensional float64 image as a FITS primary unit."""
+    ny, nx = image.shape
+    cards = [("SIMPLE", "T"), ("BITPIX", "-64"), ("NAXIS", "2"), ("NAXIS1", str(nx)), ("NAXIS2", str(ny))]
+    head = "".join(f"{k:<8}= {v:>20}".ljust(80) for k, v in cards) + "END".ljust(80)
+    head = head.ljust(-(-len(head) // _BLOCK) * _BLOCK)
+    body = image.astype(">f8").tobytes()
+    return head.encode("ascii") + body.ljust(-(-len(body) // _BLOCK) * _BLOCK, b"\0")
+
+
+def fits_image(content: bytes) -> np.ndarray:
+    """Primary image of a FITS file, scaled by BSCALE and BZERO."""
+    cards: dict[str, str] = {}
+    pos, done = 0, False
+    while not done:
+        block = content[pos : pos + _BLOCK].decode("ascii")
+        if len(block) < _BLOCK:
+            raise ValueError("FITS header has no END")
+        pos += _BLOCK
+        for k in range(0, _BLOCK, 80):
+            card = block[k : k + 80]
+            if card.startswith("END"):
+                done = True
+                break
+            if card[8:10] == "= ":
+                cards[card[:8].strip()] = card[10:].split("/")[0].strip()
+    kind = _FITS_TYPES[int(cards["BITPIX"])]
+    shape = tuple(int(cards[f"NAXIS{d}"]) for d in range(int(cards["NAXIS"]), 0, -1))
+    data = np.frombuffer(content, dtype=kind, count=int(np.prod(shape)), offset=pos).reshape(shape)
+    return data.astype("f8") * float(cards.get("BSCALE", 1)) + float(cards.get("BZERO", 0))
+
+
+def read_fits(spark: SparkSession, path: str) -> DataFrame:
+    """(path, i, values): one row per image line."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                image = fits_image(content)
+                for start in range(0, len(image), ROW_BLOCK):
+                    part = image[start : start + ROW_BLOCK]
+                    yield pd.DataFrame(
+                        {"path": [name] * len(part), "i": list(range(start, start + len(part))), "values": list(part)}
+                    )
+
+    return files.mapInPandas(parse, "path string, i int, values array<double>")
+
+
+def write_fits(pixels: DataFrame, folder: str, name: str, n: int, value: str = "v") -> DataFrame:
+    """One FITS file per map of n*n pixels."""
+
+    def write(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        data = np.zeros((n, n))
+        data[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf[value].to_numpy()
+        return pd.DataFrame({"file": [store(folder, f"{keys[0]}.fits", fits_bytes(data))], "pixels": [len(pdf)]})
+
+    return pixels.select(name, "i", "j", value).groupBy(name).applyInPandas(write, "file string, pixels long")
+
+
 def geometry_bytes(planes: Sequence[tuple], transforms: Sequence[tuple], box: float) -> bytes:
     """Light-cone geometry record: plane and snapshot counts, a, chi, chi_out, box sizes, transforms.
 
