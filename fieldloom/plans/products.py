@@ -52,8 +52,8 @@ def _(spark, sf):
 @query("s04_chunk_accumulation", cte("particles") + "select ptype, cast(floor(z / 20.5::double) as bigint) as slab, sum(mass) as mass, count(*) as n from particles group by all")
 def _(spark, sf):
     folder = shared_folder(spark, "chunks")
-    source = f"{sf}/lineitem.parquet"
-    chunks = snapshots.stream_chunks(spark, source, spark.read.parquet(source).schema)
+    schema = tables.read_table(spark, sf, "lineitem").schema
+    chunks = snapshots.stream_chunks(spark, sf, schema, "lineitem.parquet")
 
     def partial(batch):
         z = "cast((l_suppkey*15013 + l_orderkey*389 + l_linenumber*7) % 205000 as double)/1000D"
