@@ -18,23 +18,36 @@ def _edge_tree(x: Column, edges: Sequence[float], lo: int, hi: int, strict: bool
     return F.when(below, _edge_tree(x, edges, lo, mid, strict)).otherwise(_edge_tree(x, edges, mid, hi, strict))
 
 
+def in_range(x: Column, edges: Sequence[float], side: str) -> Column:
+    first, last = F.lit(float(edges[0])), F.lit(float(edges[-1]))
+    return {
+        "hist": (x >= first) & (x <= last),
+        "left": (x >= first) & (x < last),
+        "right": (x > first) & (x <= last),
+        "below": x <= last,
+    }[side]
+
+
 def bin_index(x: Column, edges: Sequence[float], side: str = "hist") -> Column:
     """0-based bin of ``x``; NULL outside the edges.
 
     hist:  [lo, hi), the last bin closed.   left:  [lo, hi) throughout.
     right: (lo, hi].                        below: (lo, hi], values under the first edge in bin 0.
     """
-    first, last = F.lit(float(edges[0])), F.lit(float(edges[-1]))
-    n = len(edges) - 1
     strict = side in ("right", "below")
-    tree = _edge_tree(x, [float(e) for e in edges], 0, n, strict)
-    inside = {
-        "hist": (x >= first) & (x <= last),
-        "left": (x >= first) & (x < last),
-        "right": (x > first) & (x <= last),
-        "below": x <= last,
-    }[side]
-    return F.when(inside, tree)
+    tree = _edge_tree(x, [float(e) for e in edges], 0, len(edges) - 1, strict)
+    return F.when(in_range(x, edges, side), tree)
+
+
+def with_bin(df: DataFrame, x: str, edges: Sequence[float], side: str = "hist", name: str = "bin") -> DataFrame:
+    """Rows inside the edges with their bin.
+
+    The range test is a filter on ``x`` itself. A filter on the bin number would be pushed below
+    the column's definition and copy it into every comparison of the tree.
+    """
+    strict = side in ("right", "below")
+    tree = _edge_tree(F.col(x), [float(e) for e in edges], 0, len(edges) - 1, strict)
+    return df.where(in_range(F.col(x), edges, side)).withColumn(name, tree)
 
 
 def uniform_bin_index(x: Column, lo: float, hi: float, n: int) -> Column:

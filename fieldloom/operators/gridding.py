@@ -54,6 +54,7 @@ def assign(
     for a, nm in zip(axes, names):
         t = wrap(F.col(a), box) / F.lit(box / n) + F.lit(origin)
         out = out.withColumn(f"_t{nm}", t).withColumn(f"_h{nm}", F.floor(F.col(f"_t{nm}")).cast("int"))
+        out = out.withColumn(f"_d{nm}", F.col(f"_t{nm}") - F.col(f"_h{nm}"))
     powers = [()]
     for _ in range(dims):
         powers = [p + (q,) for p in powers for q in range(degree + 1)]
@@ -62,7 +63,7 @@ def assign(
         term = F.col(weight)
         for nm, q in zip(names, p):
             for _ in range(q):
-                term = term * (F.col(f"_t{nm}") - F.col(f"_h{nm}"))
+                term = term * F.col(f"_d{nm}")
         moments.append(F.sum(term).alias("_m" + "".join(map(str, p))))
     homes = [f"_h{nm}" for nm in names[:dims]]
     cells = out.groupBy(*keys, *homes).agg(*moments)

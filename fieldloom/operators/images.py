@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bins import bin_index, bin_table, with_spine
+from ..functions.bins import bin_index, bin_table, with_bin, with_spine
 from .lines import smooth
 from .stats import density, histogram
 
@@ -79,7 +79,7 @@ def peak_counts_value(pixels: DataFrame, keys: Sequence[str], n: int, edges: Seq
 
 def on_all_maps(pixels: DataFrame, found: DataFrame, keys: Sequence[str], value: str, edges: Sequence[float]) -> DataFrame:
     """Counts per bin for every map, also for maps without any extremum."""
-    counts = found.withColumn("bin", bin_index(F.col(value), edges, "hist")).where(F.col("bin").isNotNull())
+    counts = with_bin(found, value, edges, "hist")
     counts = counts.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     spine = with_spine(pixels.select(*keys).distinct(), len(edges) - 1)
     return spine.join(counts, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

@@ -123,7 +123,7 @@ def aperture_mass(pixels: DataFrame, keys: Sequence[str], n: int, theta: float,
 def born_convergence(planes: DataFrame, weights: DataFrame, keys: Sequence[str], value: str = "delta") -> DataFrame:
     """Weighted sum over planes; ``weights`` (plane, weight) has one row per lens plane."""
     return (
-        planes.join(F.broadcast(weights), "plane")
+        planes.join(weights, "plane")
         .groupBy(*keys, "i", "j")
         .agg(F.sum(F.col("weight") * F.col(value)).alias("kappa"))
     )

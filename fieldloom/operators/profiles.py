@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import RADIAL_EDGES, STATS_RADII
-from ..functions.bins import bin_index, bin_table, with_spine
+from ..functions.bins import bin_table, with_bin, with_spine
 from ..functions.geometry import shell_volume
 
 GAS, DM, STARS = 0, 1, 4
@@ -25,7 +25,7 @@ def _sum_if(cond: Column, value: Column) -> Column:
 def radial_profile(pairs: DataFrame, edges: Sequence[float] = RADIAL_EDGES, side: str = "hist", keys: Sequence[str] = ("halo_id", "r200")) -> DataFrame:
     """Mass and count per shell, in total and by type; only shells that hold particles."""
     m = F.col("mass")
-    binned = pairs.withColumn("bin", bin_index(F.col("r"), edges, side)).where(F.col("bin").isNotNull())
+    binned = with_bin(pairs, "r", edges, side)
     return binned.groupBy(*keys, "bin").agg(
         F.sum(m).alias("mass"),
         F.count(F.lit(1)).alias("n"),
@@ -67,10 +67,8 @@ def masses_within(pairs: DataFrame, radii: Sequence[float] = STATS_RADII, keys:
     """
     m = F.col("mass")
     edges = [-1.0, *radii]
-    inner = bin_index(F.col("r"), edges, "left" if strict else "right")
     shells = (
-        pairs.withColumn("ring", inner)
-        .where(F.col("ring").isNotNull())
+        with_bin(pairs, "r", edges, "left" if strict else "right", "ring")
         .groupBy(*keys, "ring")
         .agg(
             F.sum(m).alias("t"),

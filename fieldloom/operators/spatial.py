@@ -32,29 +32,37 @@ def largest(df: DataFrame, radius: Column) -> float:
 
 
 def point_cell(cols: tuple[str, str, str], n: int, box: float) -> Column:
-    c = [F.pmod(F.floor(wrap(F.col(k), box) / F.lit(box / n)).cast("long"), F.lit(n)) for k in cols]
+    """Cell of a position in [0, box)."""
+    top, c = F.lit(n - 1).cast("long"), []
+    for k in cols:
+        c.append(F.greatest(F.lit(0).cast("long"), F.least(top, F.floor(F.col(k) / F.lit(box / n)))))
     return (c[0] * n + c[1]) * n + c[2]
 
 
 def expand_balls(balls: DataFrame, radius: Column, n: int, box: float, cols: tuple[str, str, str] = CENTRE) -> DataFrame:
-    """One row per (ball, touched cell), cell ids wrapped, each at most once per ball."""
+    """One row per touched cell and image of the ball: ``_cell`` and the image's centre _c0, _c1, _c2.
+
+    A cell left of the box sees the ball's image one box further right, and so on. The image is
+    settled here, on the short side, so the pair test is a plain distance.
+    """
     side = box / n
-    out = balls.withColumn("_pad", radius * F.lit(1.0 + 1e-9) + F.lit(1e-9))
+    reach = F.least(radius, F.lit(box / 2))
+    out = balls.withColumn("_pad", reach * F.lit(1.0 + 1e-9) + F.lit(1e-9))
     gaps, ids = [], []
     for k, c in enumerate(cols):
         pos = wrap(F.col(c), box)
         lo = F.floor((pos - F.col("_pad")) / F.lit(side))
         hi = F.floor((pos + F.col("_pad")) / F.lit(side))
-        whole = (hi - lo) >= n
-        span = F.when(whole, F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).otherwise(F.sequence(lo, hi))
-        out = out.withColumn(f"_whole{k}", whole).withColumn(f"_i{k}", F.explode(span))
+        out = out.withColumn(f"_i{k}", F.explode(F.sequence(lo, hi)))
         i = F.col(f"_i{k}")
-        gap = F.greatest(i * F.lit(side) - pos, pos - (i + 1) * F.lit(side), F.lit(0.0))
-        gaps.append(F.when(F.col(f"_whole{k}"), F.lit(0.0)).otherwise(gap))
+        out = out.withColumn(f"_c{k}", pos - F.floor(i / F.lit(n)) * F.lit(box))
+        gaps.append(F.greatest(i * F.lit(side) - pos, pos - (i + 1) * F.lit(side), F.lit(0.0)))
         ids.append(F.pmod(i, F.lit(n)))
-    out = out.where(norm3(*gaps) <= F.col("_pad") + F.lit(1e-6))
+    # a ball wider than the box also reaches the corners beyond half a box
+    corner = F.when(radius >= F.lit(box / 2), F.lit(box)).otherwise(F.col("_pad"))
+    out = out.where(norm3(*gaps) <= corner + F.lit(1e-6))
     out = out.withColumn("_cell", (ids[0] * n + ids[1]) * n + ids[2])
-    return out.drop("_pad", "_whole0", "_whole1", "_whole2", "_i0", "_i1", "_i2")
+    return out.drop("_pad", "_i0", "_i1", "_i2")
 
 
 def ball_join(
@@ -67,32 +75,50 @@ def ball_join(
     how: str = "inner",
     strict: bool = False,
     salt: int = 1,
+    wrapped: bool = True,
     point_cols: tuple[str, str, str] = POINT,
     centre_cols: tuple[str, str, str] = CENTRE,
     extra: Column | None = None,
     distance: str = "d",
+    offsets: bool = False,
 ) -> DataFrame:
     """Points within ``radius`` of ball centres (``how`` = inner, left_semi or left_anti).
 
-    ``salt`` > 1 spreads the points of a crowded cell over that many keys, the balls being
-    repeated for each.
+    Point coordinates lie in [0, box), or are brought there with ``wrapped=False``. ``max_radius``
+    sets the cell width; a larger radius is an error. ``salt`` > 1 spreads the points of a crowded
+    cell over that many keys, the balls being repeated for each. ``offsets`` keeps the
+    displacement from the centre as dx, dy, dz.
     """
-    n = cells_per_side(max_radius if max_radius is not None else largest(balls, radius), box)
-    left = points.withColumn("_cell", point_cell(point_cols, n, box))
-    right = expand_balls(balls.withColumn("_radius", radius), F.col("_radius"), n, box, centre_cols)
+    limit = max_radius if max_radius is not None else largest(balls, radius)
+    n = cells_per_side(limit, box)
+    ok = radius <= F.lit(limit * (1 + 1e-9))
+    checked = F.when(radius.isNull() | ok, radius).otherwise(F.raise_error(F.lit("ball radius above max_radius")))
+    left = points
+    if not wrapped:
+        for c in point_cols:
+            left = left.withColumn(c, wrap(F.col(c), box))
+    left = left.withColumn("_cell", point_cell(point_cols, n, box))
+    right = expand_balls(balls.withColumn("_radius", checked), F.col("_radius"), n, box, centre_cols)
     right = right.withColumnRenamed("_cell", "_bcell")
     keys = F.col("_cell") == F.col("_bcell")
     if salt > 1:
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*point_cols), F.lit(salt)))
         right = right.withColumn("_bsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
         keys = keys & (F.col("_salt") == F.col("_bsalt"))
-    dist = norm3(*[min_image(F.col(p) - F.col(c), box) for p, c in zip(point_cols, centre_cols)])
-    inside = (dist < F.col("_radius")) if strict else (dist <= F.col("_radius"))
-    cond = keys & inside if extra is None else keys & inside & extra
+    d = [F.col(p) - F.col(f"_c{k}") for k, p in enumerate(point_cols)]
+    dist = norm3(*d)
+    cond = keys & ((dist < F.col("_radius")) if strict else (dist <= F.col("_radius")))
+    if limit >= box / 2:  # only then can two images of one ball hold the same point
+        for c in d:
+            cond = cond & (c >= F.lit(-box / 2)) & (c < F.lit(box / 2))
+    if extra is not None:
+        cond = cond & extra
     out = left.join(right, cond, how)
     if how == "inner":
         out = out.withColumn(distance, dist)
-    return out.drop("_cell", "_bcell", "_radius", "_salt", "_bsalt")
+        if offsets:
+            out = out.withColumns(dict(zip(("dx", "dy", "dz"), d)))
+    return out.drop("_cell", "_bcell", "_radius", "_salt", "_bsalt", "_c0", "_c1", "_c2")
 
 
 def in_sphere(points: DataFrame, centre: tuple[float, float, float], radius: float, box: float = BOX_SIZE) -> DataFrame:

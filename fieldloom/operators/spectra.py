@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BOX_SIZE, FIELD_SIZE_DEG, logspace, linspace
-from ..functions.bins import bin_index
+from ..functions.bins import with_bin
 from .gridding import assign, overdensity
 from .lines import fft
 
@@ -33,7 +33,7 @@ def mode_power(pixels: DataFrame, keys: Sequence[str], n: int, value: str = "v",
 
 def radial_average(modes: DataFrame, keys: Sequence[str], unit: float, edges: Sequence[float], norm: float) -> DataFrame:
     """Mean power per half-open shell of |k| = unit * |mode|; only shells that hold modes."""
-    binned = modes.withColumn("bin", bin_index(F.sqrt("m2") * F.lit(unit), edges, "left")).where(F.col("bin").isNotNull())
+    binned = with_bin(modes.withColumn("k_abs", F.sqrt("m2") * F.lit(unit)), "k_abs", edges, "left")
     return binned.groupBy(*keys, "bin").agg(
         (F.avg("power") * F.lit(norm)).alias("power"), F.count(F.lit(1)).alias("n_modes")
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bins import bin_index, bin_table, overlapping_bins, with_spine
+from ..functions.bins import bin_table, overlapping_bins, with_bin, with_spine
 from .ordering import exact_quantiles, row_ranks
 
 MAD_SCALE = 1.4826
@@ -78,7 +78,7 @@ def binned_statistic(
     df: DataFrame, x: str, y: str, edges: Sequence[float], statistic: str = "mean", error: str | None = None
 ) -> DataFrame:
     """bin, y_stat, y_err, n over bins whose last edge is closed; empty bins give NULL."""
-    b = df.withColumn("bin", bin_index(F.col(x), edges, "hist")).where(F.col("bin").isNotNull())
+    b = with_bin(df, x, edges, "hist")
     n = F.count(F.lit(1))
     v = F.col(y)
     if statistic == "mean":
@@ -182,6 +182,30 @@ def bootstrap_means(df: DataFrame, value: str, tie: str, n_resamples: int = 1000
     )
 
 
+def bootstrap_rows(df: DataFrame, row: str, axis: Sequence[str], value: str, n_resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """(b, axis, mean): whole rows (all their bins together) resampled with replacement.
+
+    A row drawn several times is counted first, so it meets its bins once per resample.
+    """
+    rows = df.select(row).distinct().withColumn("_tie", F.col(row))
+    ranked = row_ranks(rows, row, "_tie")
+    size = ranked.agg(F.count(F.lit(1)).alias("n"))
+    draws = (
+        ranked.select(F.col("rank").alias("k"))
+        .crossJoin(F.broadcast(size))
+        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+        .select("b", draw(F.col("b").cast("long"), F.col("k"), F.col("n"), seed).alias("rank"))
+        .groupBy("b", "rank")
+        .agg(F.count(F.lit(1)).alias("_times"))
+    )
+    picked = draws.join(ranked.select("rank", row), "rank")
+    cells = df.groupBy(row, *axis).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    joined = picked.join(cells, row)
+    return joined.groupBy("b", *axis).agg(
+        (F.sum(F.col("_times") * F.col("_s")) / F.sum(F.col("_times") * F.col("_c"))).alias("mean")
+    )
+
+
 def confidence_interval(estimates: DataFrame, value: str, keys: Sequence[str] = (), confidence: float = 0.68) -> DataFrame:
     a = (1 - confidence) / 2
     return exact_quantiles(estimates, list(keys), value, [a, 1 - a], ["ci_low", "ci_high"])
@@ -209,8 +233,7 @@ def moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, edges: Sequence[float], side: str = "hist") -> DataFrame:
     """Counts on a full skeleton of bins for every key present in ``df``."""
-    b = df.withColumn("bin", bin_index(F.col(value), edges, side))
-    counts = b.where(F.col("bin").isNotNull()).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
+    counts = with_bin(df, value, edges, side).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_all"))
     spine = with_spine(totals, len(edges) - 1)
     return spine.join(counts, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

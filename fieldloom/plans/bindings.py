@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.spatial import ball_join
-from ..sources.tables import read_table
+from ..sources.tables import read_table, spread
 
 REACH = 5.0
 MAX_R200 = 4.9
@@ -194,7 +194,7 @@ def halos(spark: SparkSession, sf: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Particles within five R200 of each halo, with r in units of R200."""
-    p = particles(spark, sf).select("pid", "sim", "ptype", "mass", "x", "y", "z")
+    p = spread(particles(spark, sf).select("pid", "sim", "ptype", "mass", "x", "y", "z"), "pid")
     out = ball_join(p, halos(spark, sf), F.col("r200") * F.lit(REACH), max_radius=MAX_R200 * REACH)
     return out.withColumn("r", F.col("d") / F.col("r200"))
 

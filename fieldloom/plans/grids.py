@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..constants import STATS_RADII
 from ..operators import bcm, gridding, profiles, spatial
 from ..sources.config import transform_table
+from ..sources.tables import spread
 from . import bindings as b
 from .bindings import R, cte, dist_sql, min_image_sql, num, num_list, query, r
 from .columns import MOVED_SQL, TRANSFORMS_SQL
@@ -119,10 +120,28 @@ _LP = 16
  select sim, lp, plane, i, j, {R('mass', 4)} as mass from grid""",
 )
 def _(spark, sf):
-    g = gridding.lens_planes(b.particles(spark, sf), transform_table(spark), _LP, keys=_KEYS, on=("snap_index",))
+    p = spread(b.particles(spark, sf).select("pid", "sim", "snap_index", "x", "y", "z", "mass"), "pid")
+    g = gridding.lens_planes(p, transform_table(spark), _LP, keys=_KEYS, on=("snap_index",))
     return _out(g, ("sim", "lp", "plane", "i", "j"), digits=4)
 
 
+@query(
+    "r10_replace_grid_3d",
+    cte("particles", "halos").rstrip()
+    + f""", f as (select x, y, z, mass, 'a' as grp from particles p where sim = 'dmo' and not exists (select 1 from halos h where {dist_sql()} <= h.r200 * 5.0::double and h.log_mass >= 13.0::double)
+ union all select x, y, z, mass, 'a' from particles p where sim = 'hydro' and exists (select 1 from halos h where {dist_sql()} <= h.r200 * 5.0::double and h.log_mass >= 13.0::double)),
+ {_cic_sql('f', ['x', 'y', 'z'], 'grp', 16)} select i, j, k, {R('mass', 5)} as mass from grid where mass > 1e-9""",
+)
+def _(spark, sf):
+    from ..operators.replace import replace_field, select_halos
+
+    p = b.particles(spark, sf).select("pid", "sim", "mass", "x", "y", "z")
+    h = select_halos(b.halos(spark, sf), 13.0, float("inf"))
+    side = lambda s: p.where(F.col("sim") == s)
+    field = replace_field(side("dmo"), side("hydro"), h, F.col("r200") * 5.0, max_radius=b.MAX_R200 * 5)
+    return _out(_drop_zero(gridding.assign(field, ("x", "y", "z"), 16, "cic")), ("i", "j", "k"))
+
+
 @query("m09_roll", cte("kappa") + f"select map_id, cast((i + 10) % 64 as int) as i, cast((j + 57) % 64 as int) as j, {R('v')} as v from kappa")
 def _(spark, sf):
     return gridding.roll(b.kappa(spark, sf), 64, 10, -7).select("map_id", "i", "j", r("v").alias("v"))
@@ -184,7 +203,7 @@ def _additive_sql(reach: str) -> str:
 
 
 def _displaced(spark, sf):
-    p = b.particles(spark, sf).where(F.col("sim") == "dmo").select("pid", "ptype", "mass", "x", "y", "z")
+    p = spread(b.particles(spark, sf).where(F.col("sim") == "dmo").select("pid", "ptype", "mass", "x", "y", "z"), "pid")
     return bcm.displace_additive(p, b.halos(spark, sf), F.col("r200") * 5.0, _shift(), max_radius=b.MAX_R200 * 5)
 
 
@@ -210,7 +229,7 @@ _RD = "sqrt(ax*ax + ay*ay + az*az)"
  fin as (select *, row_number() over (partition by pid order by k desc) as last from mv) select pid, mass, {', '.join(R(_PM(c)) + f' as {c}' for c in ('x', 'y', 'z'))} from fin where last = 1""",
 )
 def _(spark, sf):
-    p = b.particles(spark, sf).where(F.col("sim") == "dmo").select("pid", "mass", "x", "y", "z")
+    p = spread(b.particles(spark, sf).where(F.col("sim") == "dmo").select("pid", "mass", "x", "y", "z"), "pid")
     shift = lambda d, h: bcm.tabulated(d / h["r200"], h["log_mass"], R_KNOTS, M_KNOTS, D_TABLE)
     out = bcm.displace_sequential(
         p, b.halos(spark, sf), F.col("r200") * 5.0, "halo_id", shift, ["r200", "log_mass"], max_radius=b.MAX_R200 * 5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import MASS_BIN_EDGES, RADIAL_EDGES, REPLACE_MASS_BINS, STATS_RADII, logspace
-from ..functions.bins import bin_index, bin_table, with_spine
+from ..functions.bins import bin_index, bin_table, with_bin, with_spine
 from ..operators import profiles as prof
 from ..operators import stats, windows
 from ..operators.ordering import exact_quantiles
@@ -68,7 +68,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     m = F.col("mass")
-    binned = b.pairs(spark, sf).withColumn("bin", bin_index(F.col("r"), WIDE_EDGES, "left")).where(F.col("bin").isNotNull())
+    binned = with_bin(b.pairs(spark, sf), "r", WIDE_EDGES, "left")
     hydro = F.col("sim") == "hydro"
     pick = lambda cond, nm: F.sum(F.when(cond, m).otherwise(F.lit(0.0))).alias(nm)
     one_pass = binned.groupBy("halo_id", "bin").agg(
@@ -216,7 +216,7 @@ _LOGM = [12.5, 13.0, 13.5, 14.0, 14.5, 15.0]
 )
 def _(spark, sf):
     d = _deficit(spark, sf).where(F.col("radius") == 3.0).join(b.halos(spark, sf), "halo_id")
-    d = d.withColumn("mass_bin", bin_index(F.col("log_mass"), _LOGM, "below")).where(F.col("mass_bin").isNotNull())
+    d = with_bin(d, "log_mass", _LOGM, "below", "mass_bin")
     return d.groupBy("mass_bin").agg(r(F.avg("deficit")).alias("deficit"), F.count(F.lit(1)).alias("n"))
 
 
@@ -414,6 +414,21 @@ def _(spark, sf):
     return stats.confidence_interval(_boot(spark, sf), "mean").select(r("ci_low", 4).alias("ci_low"), r("ci_high", 4).alias("ci_high"))
 
 
+_DRAW2 = """u as (select bt, k, n, ((bt + 1) * 48271 + 5) % 2147483647 as u from (select unnest(range(50)) as bt), (select row_number() over (order by realization) - 1 as k, count(*) over () as n from (select distinct realization from stats))),
+ h1 as (select bt, k, n, (u * (k + 7) + 12345) % 2147483647 as h from u), h2 as (select bt, k, n, (h * ((h + 69621) % 2147483647)) % 2147483647 as h from h1),
+ h3 as (select bt, k, n, (h * 16807 + k) % 2147483647 as h from h2), h4 as (select bt, k, n, (h * ((h + 40692) % 2147483647)) % 2147483647 as h from h3),
+ rk as (select realization, row_number() over (order by realization) - 1 as rank from (select distinct realization from stats))"""
+
+
+@query(
+    "g23_bootstrap_rows",
+    cte("stats").rstrip() + f", {_DRAW2} select cast(bt as int) as b, bin, {R('avg(value)', 4)} as mean from h4 join rk on rk.rank = h4.h % h4.n join stats using (realization) group by all",
+)
+def _(spark, sf):
+    m = stats.bootstrap_rows(b.stats(spark, sf), "realization", ["bin"], "value", 50, 5)
+    return m.select("b", "bin", r("mean", 4).alias("mean"))
+
+
 @query(
     "g24_jackknife",
     f"""with {_EV}, t as (select event_type, sum(y) as s, count(*) as n from ev group by all), l as (select event_type, n, (s - y) / (n - 1) as rep from ev join t using (event_type)),

@@ -1,11 +1,11 @@
-"""Session settings and the one place where lineage is cut."""
+"""Session settings and shared working folders."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -31,9 +31,3 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the checkpoint folder, seen by every executor."""
     return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
