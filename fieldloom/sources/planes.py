@@ -19,7 +19,8 @@ def read_planes(spark: SparkSession, path: str, components: int = 1, expected: i
     """(path, n, i, values, error): one row per grid line, ``values`` in file order.
 
     A file whose header, footer or length disagree gives one row with ``error`` set instead of
-    failing the job. Files are read by the tasks; a task handles one file at a time.
+    failing the job. Files are read by the tasks; a task handles one file at a time. Spark lists no
+    empty files, so those show up as absent when the result is compared with what was expected.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
 
