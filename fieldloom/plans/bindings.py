@@ -58,13 +58,13 @@ def bin_sql(x: str, edges, side: str = "hist") -> str:
     e, n = num_list(edges), len(edges) - 1
     below = f"len(list_filter({e}, lambda e: e <= {x}))"
     strictly = f"len(list_filter({e}, lambda e: e < {x}))"
-    if side == "hist":
-        return f"(case when {x} < {num(edges[0])} or {x} > {num(edges[-1])} then null when {x} = {num(edges[-1])} then {n - 1} else {below} - 1 end)"
-    if side == "left":
-        return f"(case when {x} < {num(edges[0])} or {x} >= {num(edges[-1])} then null else {below} - 1 end)"
-    if side == "right":
-        return f"(case when {x} <= {num(edges[0])} or {x} > {num(edges[-1])} then null else {strictly} - 1 end)"
-    return f"(case when {x} > {num(edges[-1])} then null else greatest({strictly} - 1, 0) end)"
+    cases = {
+        "hist": f"when {x} < {num(edges[0])} or {x} > {num(edges[-1])} then null when {x} = {num(edges[-1])} then {n - 1} else {below} - 1",
+        "left": f"when {x} < {num(edges[0])} or {x} >= {num(edges[-1])} then null else {below} - 1",
+        "right": f"when {x} <= {num(edges[0])} or {x} > {num(edges[-1])} then null else {strictly} - 1",
+        "below": f"when {x} > {num(edges[-1])} then null else greatest({strictly} - 1, 0)",
+    }
+    return f"cast(case {cases[side]} end as int)"
 
 
 def cte(*names: str) -> str:

@@ -75,7 +75,7 @@ def _(spark, sf):
 
 @query(
     "c05_round_robin",
-    "select o_orderkey % 7 as worker, count(*) as n_items, sum(o_custkey) as load from orders group by all",
+    "select o_orderkey % 7 as worker, count(*) as n_items, cast(sum(o_custkey) as bigint) as load from orders group by all",
 )
 def _(spark, sf):
     o = read_table(spark, sf, "orders")

@@ -311,7 +311,7 @@ def _(spark, sf):
 @query(
     "g17_stacked_sum",
     cte("pairs").rstrip()
-    + f""", {_DPROF} select sim, {bin_sql('log_mass', MASS_BIN_EDGES, 'left')} as mass_bin, bin, {R('sum(density)')} as stacked, sum(n) as n_particles, count(distinct halo_id) as n_halos from dens group by all""",
+    + f""", {_DPROF} select sim, {bin_sql('log_mass', MASS_BIN_EDGES, 'left')} as mass_bin, bin, {R('sum(density)')} as stacked, cast(sum(n) as bigint) as n_particles, count(distinct halo_id) as n_halos from dens group by all""",
 )
 def _(spark, sf):
     d = _density(spark, sf).withColumn("mass_bin", bin_index(F.col("log_mass"), MASS_BIN_EDGES, "left"))

@@ -82,7 +82,7 @@ def _(spark, sf):
     t = s.withColumn("m_lo", lo).withColumn("m_hi", hi).withColumn("alpha", alpha).where(F.col("m_hi") < math.inf)
     t = resp.tile_index(t, MASS_EDGES, ALPHA_EDGES).select("mass_idx", "shell_idx", "bin", "s")
     d = resp.tile_response(t, resp.baseline(s))
-    return d.select(F.col("mass_idx").cast("long").alias("mass_idx"), F.col("shell_idx").cast("long").alias("shell_idx"), "bin", r("dF").alias("dF"))
+    return d.select("mass_idx", "shell_idx", "bin", r("dF").alias("dF"))
 
 
 _PAT = f"""edges as (select cast(a as int) as mass_idx, cast(i as int) as shell_idx, {num_list(MASS_EDGES)}[a+1] as m_lo_t, {num_list(ALPHA_EDGES)}[i+2] as a_hi from (select unnest(range(4)) as a), (select unnest(range(4)) as i)),
@@ -122,7 +122,7 @@ def _(spark, sf):
 @query("q07_multipoles", f"{_ALL} select mass_idx, shell_idx, bin, {R('case when abs(sum(F) over (partition by bin)) > 1e-30 then F / sum(F) over (partition by bin) else 0 end', 5)} as mu from ti")
 def _(spark, sf):
     m = resp.multipoles(_indexed(spark, sf))
-    return m.select(F.col("mass_idx").cast("long").alias("mass_idx"), F.col("shell_idx").cast("long").alias("shell_idx"), "bin", r("mu", 5).alias("mu"))
+    return m.select("mass_idx", "shell_idx", "bin", r("mu", 5).alias("mu"))
 
 
 @query(
