@@ -77,7 +77,10 @@ def bin_summary(halos: DataFrame, bins: Sequence[tuple[float, float, str]], colu
 def binned_statistic(
     df: DataFrame, x: str, y: str, edges: Sequence[float], statistic: str = "mean", error: str | None = None
 ) -> DataFrame:
-    """bin, y_stat, y_err, n over bins whose last edge is closed; empty bins give NULL."""
+    """bin, y_stat, y_err, n over bins whose last edge is closed.
+
+    Empty bins give NULL, but zero for sums and counts, and zero where no error is defined.
+    """
     b = with_bin(df, x, edges, "hist")
     n = F.count(F.lit(1))
     v = F.col(y)
@@ -95,7 +98,12 @@ def binned_statistic(
         fn = {"min": F.min, "max": F.max, "std": F.stddev_pop, "count": F.count}[statistic]
         out = b.groupBy("bin").agg(fn(v).cast("double").alias("y_stat"), F.lit(0.0).alias("y_err"), n.alias("n"))
     spine = bin_table(df.sparkSession, edges).select("bin", ((F.col("lo") + F.col("hi")) / 2).alias("x_center"))
-    return spine.join(out, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = spine.join(out, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    if statistic in ("sum", "count"):
+        out = out.withColumn("y_stat", F.coalesce("y_stat", F.lit(0.0)))
+    if statistic not in ("mean", "median"):
+        out = out.withColumn("y_err", F.coalesce("y_err", F.lit(0.0)))
+    return out
 
 
 def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, error: str) -> DataFrame:

@@ -166,7 +166,7 @@ _LOGD = linspace(-2.0, 2.0, 41)
 @query(
     "g28_overdensity_pdf",
     cte("particles").rstrip()
-    + f""", {_tsc_sql('particles', 'x', 'y', 'sim', N)}, m as (select *, avg(mass) over (partition by sim) as mu from grid), d as (select sim, log10(greatest(mass / mu, 1e-10::double)) as d from m),
+    + f""", {_tsc_sql('particles', 'x', 'y', 'sim', N)}, m as (select *, sum(mass) over (partition by sim) / {N * N} as mu from grid), d as (select sim, log10(greatest(mass / mu, 1e-10::double)) as d from m),
  c as (select sim, {bin_sql('d', _LOGD)} as bin, count(*) as n from d group by all), t as (select sim, sum(n) as t from c where bin is not null group by all), sp as (select sim, cast(k as int) as bin from t, (select unnest(range(40)) as k))
  select sp.sim, sp.bin, {R(f'coalesce(n, 0) / (t * ({num_list(_LOGD)}[sp.bin+2] - {num_list(_LOGD)}[sp.bin+1]))')} as pdf from sp join t using (sim) left join c on c.sim = sp.sim and c.bin = sp.bin""",
 )
@@ -296,7 +296,7 @@ def _grid(spark, sf, n=N):
 
 @query(
     "x01_plane_spectrum",
-    _GRID + f", c as (select sim, i, j, mass / (sum(mass) over (partition by sim) / {N * N}) - 1 as v from grid), {dft_sql('c', 'sim', N)} {radial_sql('sim', N, 2 * math.pi / 205.0, _KB, (205.0 / N) ** 2, 4)}",
+    _GRID + f", c as (select sim, i, j, mass / (sum(mass) over (partition by sim) / {N * N}) as v from grid), {dft_sql('c', 'sim', N)} {radial_sql('sim', N, 2 * math.pi / 205.0, _KB, (205.0 / N) ** 2, 4)}",
 )
 def _(spark, sf):
     return _spec(spectra.plane_spectrum(_grid(spark, sf), ["sim"], N), ["sim"], 4)

@@ -345,7 +345,7 @@ def _binned(name, stat, y_sql, err_sql):
 
 
 _binned("g18_binned_mean", "mean", "avg(y)", "stddev_pop(y) / sqrt(count(y))")
-_binned("g18_binned_sum", "sum", "sum(y)", "sqrt(sum(y))")
+_binned("g18_binned_sum", "sum", "coalesce(sum(y), 0)", "coalesce(sqrt(sum(y)), 0)")
 _binned("g18_binned_median", "median", "quantile_cont(y, 0.5)", "1.4826 * mad(y) / sqrt(count(y))")
 _binned("g18_binned_max", "max", "max(y)", "0::double")
 
