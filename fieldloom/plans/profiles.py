@@ -401,17 +401,17 @@ def _boot(spark, sf):
     return stats.bootstrap_means(_events(spark, sf), "y", "event_id", _NBOOT, 11)
 
 
-@query("g23_bootstrap_means", f"with {_EV}, {_DRAW} select cast(b as int) as b, {R('mean', 4)} as mean from bm")
+@query("g23_bootstrap_means", f"with {_EV}, {_DRAW} select cast(b as int) as b, {R('mean')} as mean from bm")
 def _(spark, sf):
-    return _boot(spark, sf).select("b", r("mean", 4).alias("mean"))
+    return _boot(spark, sf).select("b", r("mean").alias("mean"))
 
 
 @query(
     "g23_bootstrap_interval",
-    f"with {_EV}, {_DRAW} select {R('quantile_cont(mean, 0.16)', 4)} as ci_low, {R('quantile_cont(mean, 0.84)', 4)} as ci_high from bm",
+    f"with {_EV}, {_DRAW} select {R('quantile_cont(mean, 0.16)')} as ci_low, {R('quantile_cont(mean, 0.84)')} as ci_high from bm",
 )
 def _(spark, sf):
-    return stats.confidence_interval(_boot(spark, sf), "mean").select(r("ci_low", 4).alias("ci_low"), r("ci_high", 4).alias("ci_high"))
+    return stats.confidence_interval(_boot(spark, sf), "mean").select(r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"))
 
 
 _DRAW2 = """u as (select bt, k, n, ((bt + 1) * 48271 + 5) % 2147483647 as u from (select unnest(range(50)) as bt), (select row_number() over (order by realization) - 1 as k, count(*) over () as n from (select distinct realization from stats))),
@@ -422,11 +422,11 @@ _DRAW2 = """u as (select bt, k, n, ((bt + 1) * 48271 + 5) % 2147483647 as u from
 
 @query(
     "g23_bootstrap_rows",
-    cte("stats").rstrip() + f", {_DRAW2} select cast(bt as int) as b, bin, {R('avg(value)', 4)} as mean from h4 join rk on rk.rank = h4.h % h4.n join stats using (realization) group by all",
+    cte("stats").rstrip() + f", {_DRAW2} select cast(bt as int) as b, bin, {R('avg(value)')} as mean from h4 join rk on rk.rank = h4.h % h4.n join stats using (realization) group by all",
 )
 def _(spark, sf):
     m = stats.bootstrap_rows(b.stats(spark, sf), "realization", ["bin"], "value", 50, 5)
-    return m.select("b", "bin", r("mean", 4).alias("mean"))
+    return m.select("b", "bin", r("mean").alias("mean"))
 
 
 @query(
