@@ -1,33 +1,15 @@
-"""Session settings and shared working folders."""
+"""The session's shared working folder."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def configure(spark: SparkSession) -> SparkSession:
-    """Settings the operators rely on; all of them can be changed at run time."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.adaptive.enabled", "true")
-    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
-    spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
-    return spark
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a scratch one only without it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        named = tempfile.mkdtemp(prefix="fieldloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder below the checkpoint folder, seen by every executor."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder below the one that the session names in spark.checkpoint.dir, which every executor has to see."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{named.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
