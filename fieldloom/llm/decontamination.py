@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
-from .textcode import LOWER, Codes, _VALUES, blocks, mix, shingle_codes, signed, words
+from .textcode import LOWER, Codes, VALUES, blocks, mix, shingle_codes, signed, words
 
 WINDOW, LITERALS, COVERED = 5, 3, 0.8
 #: Bits of the window bitmap: 2 MB.
@@ -56,7 +56,7 @@ def _unit_codes() -> np.ndarray:
 
 
 def _core_codes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, lower: bool) -> np.ndarray:
-    c = Codes(data, _VALUES[LOWER] if lower else _VALUES)
+    c = Codes(data, VALUES[LOWER] if lower else VALUES)
     return mix(c.of(lo, hi) + (hi - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 

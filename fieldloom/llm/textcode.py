@@ -28,7 +28,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_VALUES = mix(np.arange(256, dtype=np.uint64), 7)
+VALUES = mix(np.arange(256, dtype=np.uint64), 7)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -45,7 +45,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Codes:
     """Codes of any span of a byte array."""
 
-    def __init__(self, data: np.ndarray, values: np.ndarray = _VALUES) -> None:
+    def __init__(self, data: np.ndarray, values: np.ndarray = VALUES) -> None:
         up, self.down = _powers(len(data) + 1)
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(values[data] * up[:-1], out=self.sums[1:])
@@ -85,11 +85,11 @@ def blocks(column: pa.Array, most: int = BLOCK) -> Iterator[tuple[int, int, np.n
         i = j
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row offsets): the byte span of each word, and where each row's words begin among them."""
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row offsets): the byte span of each word, and where each row's words begin among them. ``space``: bytes between words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     cut = offsets[:-1][offsets[:-1] < len(data)]
@@ -103,7 +103,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_codes(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, lower: bool = True) -> np.ndarray:
-    c = Codes(data, _VALUES[LOWER] if lower else _VALUES)
+    c = Codes(data, VALUES[LOWER] if lower else VALUES)
     return mix(c.of(lo, hi) + (hi - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 import string
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,59 +25,54 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .textcode import LOWER, VALUES, Codes, blocks, mix, words
 
 #: Codes of words and of word beginnings: a fixed table of 2 MB.
 BUCKETS = 1 << 18
-#: Letters of a word beginning, as bytes.
-STEM = 5
+#: Bytes of the word beginnings.
+STEMS = (4, 6)
 #: Standard errors by which a weight must stand out, and the prior's documents.
 SURE, PRIOR = 4.0, 50.0
-#: What a word without weight costs.
-STEP = 0.05
+#: What each word costs, and what a word with weight pays besides, so that words only a little commoner in toxic documents don't add up.
+STEP, MARGIN = 0.05, 1.5
 #: Labelled rows, at most, for the calibration; chosen by hash.
 CALIBRATE = 50_000
 #: Chance of a significant segment in a non-toxic document.
 CHANCE = 0.02
 THRESHOLD = 0.3
-#: Everything in ASCII that ends a word becomes a space; capitals become small.
-_PLAIN = bytes.maketrans(
-    (string.punctuation + string.ascii_uppercase).encode(), b" " * len(string.punctuation) + string.ascii_lowercase.encode()
-)
+_BETWEEN = np.zeros(256, dtype=bool)
+_BETWEEN[[*range(33), *string.punctuation.encode(), 127]] = True
 
 
-def _words(text: bytes) -> list[bytes]:
-    return text.translate(_PLAIN).split()
-
-
-def _codes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    crc, top = zlib.crc32, BUCKETS - 1
-    whole = np.fromiter((crc(w) & top for w in words), np.int64, len(words))
-    stem = np.fromiter((crc(w[:STEM], 77) & top for w in words), np.int64, len(words))
-    return whole, stem
+def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The table codes of each word, whole and by its beginnings, and the row offsets. ASCII punctuation ends words, A-Z become small."""
+    lo, hi, rows = words(data, offsets, _BETWEEN)
+    c = Codes(data, VALUES[LOWER])
+    ends = [hi, *(np.minimum(hi, lo + k) for k in STEMS)]
+    return [(mix(c.of(lo, e) + (e - lo).astype(np.uint64) * np.uint64(0xA24BAED4963EE407), k) >> np.uint64(46)).astype(np.int64) for k, e in enumerate(ends)], rows
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    column = batch.column(batch.schema.get_field_index("text"))
-    return [(t or "").encode() for t in column.to_pylist()]
-
-
 def document_counts(labelled: DataFrame) -> DataFrame:
     """(code, n0, n1): labelled documents of either kind that hold a code. ``labelled``: (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+        counts = np.zeros(2 * BUCKETS, dtype=np.int64)
+        docs = np.zeros(2, dtype=np.int64)
         for b in batches:
-            for t, y in zip(_texts(b), b.column("toxic").to_pylist(), strict=True):
-                whole, stem = _codes(list(set(_words(t))))
-                seen = np.unique(np.concatenate([whole, stem]))
-                counts[y, seen] += 1
-                counts[y, BUCKETS] += 1  # the documents themselves
-        at = np.flatnonzero(counts.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], ["code", "n0", "n1"])
+            kind = b.column("toxic").to_numpy()
+            docs += np.bincount(kind, minlength=2)
+            for i, j, data, offsets in blocks(b.column("text")):
+                codes, rows = word_buckets(data, offsets)
+                row = np.repeat(np.arange(j - i), np.diff(rows))
+                once = np.unique(np.concatenate([row * BUCKETS + c for c in codes]))
+                counts += np.bincount(kind[i + once // BUCKETS] * BUCKETS + once % BUCKETS, minlength=2 * BUCKETS)
+        n = np.concatenate([counts.reshape(2, BUCKETS), docs[:, None]], axis=1)
+        at = np.flatnonzero(n.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], ["code", "n0", "n1"])
 
     found = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "code long, n0 long, n1 long")
     return found.groupBy("code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -122,11 +116,10 @@ def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
     return [(int(s), int(e), hi - lo) for s, e, lo, hi in found]
 
 
-def word_scores(words: list[bytes], w: np.ndarray) -> np.ndarray:
-    whole, stem = _codes(words)
-    a, b = w[whole], w[stem]
-    x = np.where(np.abs(a) >= np.abs(b), a, b)
-    return np.where(x > 0, x, -STEP)
+def word_scores(codes: list[np.ndarray], w: np.ndarray) -> np.ndarray:
+    """Each word's strongest evidence, less the margin, or the step."""
+    best = np.max([w[c] for c in codes], axis=0) if len(codes[0]) else np.zeros(0)
+    return np.where(best > MARGIN, best - MARGIN, 0.0) - STEP
 
 
 SHAPE = "doc_id long, held_out boolean, words long, starts array<long>, ends array<long>, scores array<double>"
@@ -139,12 +132,15 @@ def scan(docs: DataFrame, w: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [])
-            for t in _texts(b):
-                words = _words(t)
-                found = segments(word_scores(words, w))
-                out[0].append(len(words))
-                for k in range(3):
-                    out[k + 1].append([f[k] for f in found])
+            for i, j, data, offsets in blocks(b.column("text")):
+                codes, rows = word_buckets(data, offsets)
+                x = word_scores(codes, w)
+                hit = np.add.reduceat(np.concatenate([x > 0, [False]]), rows[:-1]) if j > i else []
+                for k in range(j - i):
+                    found = segments(x[rows[k] : rows[k + 1]]) if rows[k + 1] > rows[k] and hit[k] else []
+                    out[0].append(int(rows[k + 1] - rows[k]))
+                    for c in range(3):
+                        out[c + 1].append([f[c] for f in found])
             arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.list_(pa.int64())), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), *arrays], ["doc_id", "held_out", "words", "starts", "ends", "scores"])
 
@@ -153,14 +149,15 @@ def scan(docs: DataFrame, w: np.ndarray) -> DataFrame:
 
 
 def _gumbel(best: np.ndarray, words: np.ndarray) -> tuple[float, float]:
-    """(rate, shift) of best segment scores of non-toxic texts: P(best < s) = exp(-words * exp(shift - rate * s)), by moments."""
+    """(rate, shift) of best segment scores of non-toxic texts: P(best < s) = exp(-words * exp(shift - rate * s)), by
+    the median and the upper tenth."""
     if len(best) < 20:
         return 1.0, 0.0
     rate = 1.0
-    for _ in range(20):  # the spread left after the logarithm of the length is taken out
-        rest = best - np.log(words) / rate
-        rate = min(max(math.pi / math.sqrt(6) / max(float(rest.std()), 1e-3), 0.2), 10.0)
-    return rate, float(rate * (best - np.log(words) / rate).mean() - 0.5772)
+    for _ in range(30):  # the spread left after the logarithm of the length is taken out
+        mid, high = np.quantile(best - np.log(words) / rate, [0.5, 0.9])
+        rate = min(max(1.884 / max(float(high - mid), 1e-3), 0.5), 4.0)  # between these quantiles of the standard law
+    return rate, float(rate * np.median(best - np.log(words) / rate) - 0.3665)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
