@@ -25,6 +25,8 @@ from .common import table, written
 from .textcode import LOWER, Codes, VALUES, blocks, mix, shingle_codes, signed, words
 
 WINDOW, LITERALS, COVERED = 5, 3, 0.8
+#: Share of an item's values that stand for one value each in the document.
+CONSISTENT = 0.9
 #: Bits of the window bitmap: 2 MB.
 BITMAP = 1 << 24
 #: Units that may follow a number; fixed values.
@@ -157,7 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     covered = pairs.groupBy(*place).agg(F.countDistinct("w").alias("covered"), F.first("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"))
     coverage = F.col("covered") / F.col("windows")
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
-    consistent = (values == 0) | (values / F.greatest(F.size("pairs"), F.lit(1)) >= COVERED)
+    consistent = (values == 0) | (values / F.greatest(F.size("pairs"), F.lit(1)) >= CONSISTENT)
     changed = F.exists("pairs", lambda p: p["item"] != p["doc"])
     good = covered.where((coverage >= COVERED) & consistent).select("doc_id", "code", "item_id", F.round(coverage, 6).alias("coverage"), values.cast("long").alias("slots"), changed.alias("reparameterised"))
     best = F.min("reparameterised")  # if the item itself is there as well, it is that

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash60, table, written
@@ -90,47 +90,31 @@ def assign(df: DataFrame, h: Column, n_bytes: Column, limit: int = SHARD_BYTES)
     hashed = df.withColumn("__h", h).withColumn("__n", F.coalesce(n_bytes, F.lit(0)).cast("long"))
     out = None
     for bits in sorted(depths):
-        part = hashed.join(cells.where(F.col("bits") == bits).drop("bits"), _prefix(F.col("__h"), bits) == F.col("cell"))
+        part = cells.where(F.col("bits") == bits).select(F.col("cell").alias("__cell"), F.col("depth").alias("__depth"), F.col("bytes").alias("__bytes"))
+        part = hashed.join(part, _prefix(F.col("__h"), bits) == F.col("__cell"))
         out = part if out is None else out.unionByName(part)
     if out is None:  # an empty table
-        out = hashed.withColumns({"cell": F.lit(0).cast("long"), "depth": F.lit(0), "bytes": F.lit(0).cast("long")})
-    if crowded.isEmpty():
-        out = out.withColumn("page", F.lit(0).cast("long"))
-    else:
-        out = _paged(out, crowded, limit)
-    bits = F.lpad(F.bin(_prefix(F.col("__h"), F.col("depth"))), F.col("depth"), "0")
-    bits = F.when(F.col("depth") == 0, F.lit("")).otherwise(bits)
-    return out.withColumns(
-        {
-            "shard": F.when(F.col("page") == 0, bits).otherwise(F.concat(bits, F.lit("."), F.col("page").cast("string"))),
-            "depth": F.col("depth").cast("int"),
-            "shard_bytes": F.col("bytes"),
-        }
-    ).select(*df.columns, *OUT)
+        out = hashed.withColumns({"__cell": F.lit(0).cast("long"), "__depth": F.lit(0), "__bytes": F.lit(0).cast("long")})
+    out = out.withColumn("__page", F.lit(0).cast("long")) if crowded.isEmpty() else _paged(out, crowded, limit)
+    bits = F.when(F.col("__depth") == 0, F.lit("")).otherwise(F.lpad(F.bin(_prefix(F.col("__h"), F.col("__depth"))), F.col("__depth"), "0"))
+    shard = F.when(F.col("__page") == 0, bits).otherwise(F.concat(bits, F.lit("."), F.col("__page").cast("string")))
+    out = out.withColumns({"shard": shard, "depth": F.col("__depth").cast("int"), "page": F.col("__page"), "shard_bytes": F.col("__bytes")})
+    return out.select(*df.columns, *OUT)
 
 
 def _paged(out: DataFrame, crowded: DataFrame, limit: int) -> DataFrame:
     """Rows of an overflowing hash by pages. Equal rows are interchangeable, so they are counted and written out again page by page;
-    no window has to hold them."""
-    same = [c for c in out.columns]
-    alone = out.join(crowded, out["__h"] == crowded["h"], "left_anti").withColumn("page", F.lit(0).cast("long"))
-    groups = out.join(crowded.select("h"), out["__h"] == F.col("h"), "left_semi").groupBy(*same).agg(F.count("*").alias("__rows"))
+    no window has to hold them. Rows of one hash that differ don't share pages: their page numbers start with a rank among them."""
+    same = out.columns
+    crowded = crowded.select(F.col("h").alias("__of"))
+    alone = out.join(crowded, F.col("__h") == F.col("__of"), "left_anti").withColumn("__page", F.lit(0).cast("long"))
+    groups = out.join(crowded, F.col("__h") == F.col("__of"), "left_semi").groupBy(*same).agg(F.count("*").alias("__rows"))
     room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("__n"), F.lit(1)))).cast("long")
-    pages = groups.withColumn("__room", room).withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__rows") - 1) / F.col("__room")).cast("long"))))
-    # Different rows of one hash don't share pages: the page number starts with a code of the row.
-    code = F.row_number().over(_by_hash(same))
-    numbered = groups.select(*same, code.alias("__code"))
-    on = [pages[c].eqNullSafe(numbered[c]) for c in same]
-    pages = pages.join(numbered, on).select(*[pages[c] for c in same], "__rows", "__room", "__p", "__code")
+    groups = groups.withColumn("__rank", F.row_number().over(Window.partitionBy("__h").orderBy(*same)) - 1).withColumn("__room", room)
+    pages = groups.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__rows") - 1) / F.col("__room")).cast("long"))))
     copies = F.least(F.col("__room"), F.col("__rows") - F.col("__p") * F.col("__room"))
-    spread = pages.withColumn("page", (F.col("__code") - 1) * (1 << 32) + F.col("__p")).repartition("__h", "page")
-    return alone.unionByName(spread.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*same, "page"))
-
-
-def _by_hash(columns: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("__h").orderBy(*columns)
+    pages = pages.withColumn("__page", F.col("__rank") * (1 << 32) + F.col("__p")).repartition("__h", "__page")
+    return alone.unionByName(pages.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*same, "__page"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:

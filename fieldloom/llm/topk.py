@@ -131,7 +131,7 @@ def _search(k: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     return search
 
 
-def bucketed(vectors: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def bucketed(vectors: DataFrame, bucket: int) -> DataFrame:
     """``vectors`` with ``bucket``, of similar length and one dimension, in parts of about ``bucket`` rows."""
     n = vectors.count()
     cuts = max(1, math.ceil(n / bucket))
@@ -147,19 +147,19 @@ def bucketed(vectors: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return out.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(10)), F.col("parts")).cast("int"))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K, bucket: int = BUCKET, seeds: int = SEEDS) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest products of each query with all rows of other ids, ties to the smaller id.
     ``vectors`` as of ``quantised``."""
-    stored = written(bucketed(vectors), "topk-vectors")
+    stored = written(bucketed(vectors, bucket), "topk-vectors")
     queries = stored.where(is_query).select("vec_id", "v", "dim", "norm").dropDuplicates(["vec_id", "v"])
     blocks = max(1, math.ceil(queries.count() / QUERIES))
     queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int"))
     # The longest vectors, a fixed number of them, give each query a score to start from.
-    seeds = stored.orderBy(F.col("norm").desc(), "vec_id").limit(SEEDS).select("vec_id", "v", "dim", "norm")
-    seeds = seeds.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    longest = stored.orderBy(F.col("norm").desc(), "vec_id").limit(seeds).select("vec_id", "v", "dim", "norm")
+    longest = longest.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     shape = "query_id long, query_key long, vec_id long, score long"
     started = queries.withColumns({"query_key": F.xxhash64("v"), "floor": F.lit(None).cast("double")})
-    first = started.groupBy("block", "dim").cogroup(_renewed(seeds).groupBy("block", "dim")).applyInPandas(_search(k), shape)
+    first = started.groupBy("block", "dim").cogroup(_renewed(longest).groupBy("block", "dim")).applyInPandas(_search(k), shape)
     reached = F.when(F.count("*") >= k, F.element_at(F.array_sort(F.collect_list("score")), -k))  # k scores at most
     floor = first.groupBy("query_id", "query_key").agg(reached.cast("double").alias("floor"))
     queries = started.drop("floor").join(floor, (F.col("vec_id") == F.col("query_id")) & (started["query_key"] == floor["query_key"]), "left")

@@ -184,6 +184,7 @@ def evidence(rate: float, shift: float) -> Column:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, starts, ends): score 0 to 1, and the word spans of significant passages."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("toxic"))
+    docs = docs.select("doc_id", "text")
     learned = docs.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("of"))
     w = weights(document_counts(learned))
     found = written(scan(docs, w), "toxic-segments")
