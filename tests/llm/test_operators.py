@@ -271,7 +271,7 @@ def test_leaks_are_found_and_clean_texts_stay(spark, docs, empty):
 
 def test_template_canonicalisation():
     text = b"Pay 30 kg to Ann. Then go on, (now) 5km -- Bob 7"
-    codes, slots, rows = decontamination.template(np.frombuffer(text, np.uint8), np.array([0, 20, 20, len(text)]), decontamination._unit_codes())
+    codes, slots, rows = decontamination.template(np.frombuffer(text, np.uint8), np.array([0, 18, 18, len(text)]), decontamination._unit_codes())
     assert rows.tolist() == [0, 5, 5, len(codes)]
     kinds = {int(decontamination._NUM): "n", int(decontamination._NAME): "N", int(decontamination._UNIT): "u"}
     assert "".join(kinds.get(int(c), ".") for c in codes) == ".nu.N....nNn"
