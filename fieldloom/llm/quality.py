@@ -14,9 +14,6 @@ are ignored by ``score`` and kept by ``keep``.
 from __future__ import annotations
 
 import math
-import operator
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +47,15 @@ def measures(text: Column) -> dict[str, Column]:
     }
 
 
-def _bin(x: Column) -> Column:
-    return reduce(operator.add, [(x > F.lit(e)).cast("int") for e in EDGES])
+def bins(text: Column) -> Column:
+    """The bin number of each measure. Each measure is written once, so it is computed once."""
+    edges = F.array(*[F.lit(e) for e in EDGES])
+    return F.transform(F.array(*measures(text).values()), lambda x: F.size(F.filter(edges, lambda e: x > e)))
 
 
 def binned(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, bins): a bin number for each measure."""
-    bins = F.array(*[_bin(x) for x in measures(F.col("text")).values()])
-    return docs.select("doc_id", "source", "lang", bins.alias("bins"))
+    return docs.select("doc_id", "source", "lang", bins(F.col("text")).alias("bins"))
 
 
 def _logit(p: Column) -> Column:
@@ -77,9 +75,11 @@ def learn(rows: DataFrame, labels: DataFrame) -> list[list[float]]:
     return [[math.log(part[k][b][1] / part[k][b][0]) for b in range(n)] for k in range(m)]
 
 
-def evidence(bins: Column, weights: list[list[float]]) -> Column:
-    tables = [F.element_at(F.array(*[F.lit(w) for w in ws]), F.element_at(bins, k + 1) + 1) for k, ws in enumerate(weights)]
-    return F.round(reduce(operator.add, tables) / F.lit(TEMPER), 6)
+def evidence(of: Column, weights: list[list[float]]) -> Column:
+    """The weights of the bins ``of``, summed."""
+    tables = F.array(*[F.array(*[F.lit(w) for w in ws]) for ws in weights])
+    parts = F.zip_with(of, tables, lambda b, t: F.element_at(t, b + 1))
+    return F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.lit(TEMPER), 6)
 
 
 def _shrunk(good: Column, n: Column, prior: Column, strength: Column) -> Column:
@@ -140,9 +140,8 @@ def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     _, weights, sites = fit(docs, labels)
     sites = sites.select(*[F.col(c).alias(f"__{c}") for c in sites.columns])
     rows = docs.join(sites, F.col("source").eqNullSafe(F.col("__host")) & F.col("lang").eqNullSafe(F.col("__path")))
-    bins = F.array(*[_bin(x) for x in measures(F.col("text")).values()])
-    rows = rows.withColumn("__evidence", evidence(bins, weights))
-    return rows.where(_posterior(F.col("__evidence"), F.col("__path_prior")) >= least).select(*docs.columns)
+    posterior = _posterior(evidence(bins(F.col("text")), weights), F.col("__path_prior"))
+    return rows.where(posterior >= least).select(*docs.columns)
 
 
 def op8_site_posteriors(spark, sf_dir):
