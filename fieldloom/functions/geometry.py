@@ -95,7 +95,7 @@ def density_contrast(mass: Column, n: int, side: float, thickness: float, omega_
 
 
 # substrings that name a unit family, in the order in which they are tried
-UNIT_FAMILIES = [("length", ("coord", "pos")), ("mass", ("mass",)), ("velocity", ("vel",)), ("length", ("radius", "r_"))]
+UNIT_FAMILIES = [("length", ("coordinate", "pos")), ("mass", ("mass",)), ("velocity", ("vel",)), ("length", ("radius", "r_"))]
 
 
 def convert_units(value: Column, field: Column, h: float, a: float, to_physical: bool = True) -> Column:

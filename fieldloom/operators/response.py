@@ -190,6 +190,8 @@ def format_model(lo: Column, hi: Column, alpha: Column, prefix: str = "replace")
     def sci(c: Column) -> Column:
         exp = F.floor(F.log10(c) + 1e-9)
         mant = F.round(c / F.pow(F.lit(10.0), exp), 2)
+        # rounding may carry: 9.996 is 1.00 of the next power
+        exp, mant = F.when(mant >= 10, exp + 1).otherwise(exp), F.when(mant >= 10, mant / 10).otherwise(mant)
         return F.concat(F.format_string("%.2f", mant), F.lit("e"), F.lpad(exp.cast("string"), 2, "0"))
 
     upper = F.when(hi == F.lit(math.inf), F.lit("inf")).otherwise(sci(hi))

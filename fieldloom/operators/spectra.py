@@ -99,7 +99,9 @@ def jackknife_spectrum(pixels: DataFrame, keys: Sequence[str], n: int, patches:
     """Spread of P(k) when each of patches^2 squares in turn is set to the map mean."""
     mean = pixels.groupBy(*keys).agg(F.avg(value).alias("_mean"))
     width = n // patches
-    home = F.floor(F.col("i") / width) * patches + F.floor(F.col("j") / width)
+    row, column = F.floor(F.col("i") / width), F.floor(F.col("j") / width)
+    # columns and rows left over by the division belong to no patch and are never masked
+    home = F.when((row < patches) & (column < patches), row * patches + column).otherwise(-1)
     masked = (
         pixels.join(mean, list(keys))
         .withColumn("patch", F.explode(F.sequence(F.lit(0), F.lit(patches * patches - 1))))

@@ -74,13 +74,26 @@ def bin_summary(halos: DataFrame, bins: Sequence[tuple[float, float, str]], colu
     return labels.join(counts, "label", "left").select("label", F.coalesce("n", F.lit(0)).alias("n_halos"))
 
 
+def data_edges(df: DataFrame, x: str, n: int) -> list[float]:
+    """Edges of n equal bins over the range of ``x``; a single value gets a range of one around it."""
+    lo, hi = df.agg(F.min(x).cast("double"), F.max(x).cast("double")).first()
+    if lo is None:
+        lo, hi = 0.0, 1.0
+    elif lo == hi:
+        lo, hi = lo - 0.5, hi + 0.5
+    return [lo + (hi - lo) * k / n for k in range(n)] + [hi]
+
+
 def binned_statistic(
-    df: DataFrame, x: str, y: str, edges: Sequence[float], statistic: str = "mean", error: str | None = None
+    df: DataFrame, x: str, y: str, edges: Sequence[float] | int, statistic: str = "mean", error: str | None = None
 ) -> DataFrame:
-    """bin, y_stat, y_err, n over bins whose last edge is closed.
+    """bin, y_stat, y_err, n over bins whose last edge is closed. A number of bins stands for equal ones from the least to the
+    greatest ``x``, so that no row is left out.
 
     Empty bins give NULL, but zero for sums and counts, and zero where no error is defined.
     """
+    if isinstance(edges, int):
+        edges = data_edges(df, x, edges)
     b = with_bin(df, x, edges, "hist")
     n = F.count(F.lit(1))
     v = F.col(y)
@@ -160,13 +173,20 @@ _P = 2147483647  # 2**31 - 1
 
 
 def draw(b: Column, k: Column, n: Column, seed: int = 0) -> Column:
-    """Row number in [0, n) of draw k in resample b: integer arithmetic, the same on any engine."""
-    u = F.pmod((b + 1) * 48271 + F.lit(seed), F.lit(_P))
-    h = F.pmod(u * (k + 7) + 12345, F.lit(_P))
-    h = F.pmod(h * F.pmod(h + 69621, F.lit(_P)), F.lit(_P))
-    h = F.pmod(h * 16807 + k, F.lit(_P))
-    h = F.pmod(h * F.pmod(h + 40692, F.lit(_P)), F.lit(_P))
-    return F.pmod(h, n)
+    """Row number in [0, n) of draw k in resample b: integer arithmetic, the same on any engine.
+
+    Two mixed values of 31 bits make an index of 62, so any table's last row can be drawn and no product overflows.
+    """
+
+    def mixed(s: int) -> Column:
+        low, high = F.pmod(k, F.lit(_P)), F.pmod(F.floor(k / F.lit(_P)), F.lit(_P))
+        u = F.pmod((b + 1) * 48271 + F.lit(s) + high * 69621, F.lit(_P))
+        h = F.pmod(u * (low + 7) + 12345, F.lit(_P))
+        h = F.pmod(h * F.pmod(h + 69621, F.lit(_P)), F.lit(_P))
+        h = F.pmod(h * 16807 + low, F.lit(_P))
+        return F.pmod(h * F.pmod(h + 40692, F.lit(_P)), F.lit(_P))
+
+    return F.pmod(mixed(seed) * F.lit(1 << 31) + mixed(seed + 1_000_003), n)
 
 
 def bootstrap_means(df: DataFrame, value: str, tie: str, n_resamples: int = 1000, seed: int = 0) -> DataFrame:

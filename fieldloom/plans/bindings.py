@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.spatial import ball_join
-from ..sources.tables import read_table, spread
+from ..sources.tables import read_table
 
 REACH = 5.0
 MAX_R200 = 4.9
@@ -125,10 +125,11 @@ SQL: dict[str, str] = {
  select distinct l_orderkey as pid, case when l_linenumber <= 5 then l_suppkey else (l_suppkey + 1) % (select count(*) from supplier) end as halo
    from lineitem""",
     "kappa": """
- select map_id, i, j, v from (
-  select *, count(*) over (partition by map_id) as n_pix from (
-   select vec_id // 64 as map_id, cast(vec_id % 64 as int) as i, cast(unnest(range(len(embedding))) as int) as j,
-          cast(unnest(embedding) as double) as v from embeddings)) where n_pix = 4096""",
+ select map_id, i, j, coalesce(v, 0::double) as v
+   from (select map_id, i, j from (select distinct vec_id // 64 as map_id from embeddings)
+         cross join (select cast(unnest(range(64)) as int) as i) cross join (select cast(unnest(range(64)) as int) as j)) m
+   left join (select vec_id // 64 as map_id, cast(vec_id % 64 as int) as i, cast(unnest(range(len(embedding))) as int) as j,
+                     cast(unnest(embedding) as double) as v from embeddings) e using (map_id, i, j)""",
     "stats": """
  select case event_type when 'view' then 'dmo' when 'click' then 'hydro'
              when 'purchase' then 'replace'
@@ -194,7 +195,7 @@ def halos(spark: SparkSession, sf: str) -> DataFrame:
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Particles within five R200 of each halo, with r in units of R200."""
-    p = spread(particles(spark, sf).select("pid", "sim", "ptype", "mass", "x", "y", "z"), "pid")
+    p = particles(spark, sf).select("pid", "sim", "ptype", "mass", "x", "y", "z")
     out = ball_join(p, halos(spark, sf), F.col("r200") * F.lit(REACH), max_radius=MAX_R200 * REACH)
     return out.withColumn("r", F.col("d") / F.col("r200"))
 
@@ -212,13 +213,14 @@ def hydro_members(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kappa(spark: SparkSession, sf: str) -> DataFrame:
-    """64 x 64 maps; maps with missing lines are left out."""
+    """64 x 64 maps; lines that a map lacks are zero, the mean of a convergence field."""
     e = read_table(spark, sf, "embeddings").selectExpr(
         "vec_id div 64 as map_id", "cast(vec_id % 64 as int) as i", "embedding"
     )
-    full = e.groupBy("map_id").agg(F.sum(F.size("embedding")).alias("_n")).where(F.col("_n") == 4096).select("map_id")
-    lines = e.join(full, "map_id", "left_semi")
-    return lines.select("map_id", "i", F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
+    maps = e.select("map_id").distinct().select("map_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
+    lines = maps.join(e, ["map_id", "i"], "left")
+    filled = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.coalesce(F.get("embedding", j).cast("double"), F.lit(0.0)))
+    return lines.select("map_id", "i", F.posexplode(filled).alias("j", "v"))
 
 
 def _pick(names: list[str], index: str) -> str:

@@ -151,7 +151,7 @@ _FIELDS = "['Coordinates','GroupPos','Masses','GroupMass','Velocities','GroupVel
     "p11_convert_units",
     cte("particles").rstrip()
     + f""", f as (select pid, mass, {_FIELDS}[cast(l_partkey_mod as int) + 1] as field from (select *, pid % 10 as l_partkey_mod from particles)),
- g as (select *, lower(field) as n from f) select pid, field, {R("case when n like '%coord%' or n like '%pos%' then mass * 0.8 / 0.6774 / 1000 when n like '%mass%' then mass * 1e10 / 0.6774 / 1e10 when n like '%vel%' then mass when n like '%radius%' or contains(n, 'r_') then mass * 0.8 / 0.6774 / 1000 else mass end", 7)} as value from g""",
+ g as (select *, lower(field) as n from f) select pid, field, {R("case when n like '%coordinate%' or n like '%pos%' then mass * 0.8 / 0.6774 / 1000 when n like '%mass%' then mass * 1e10 / 0.6774 / 1e10 when n like '%vel%' then mass when n like '%radius%' or contains(n, 'r_') then mass * 0.8 / 0.6774 / 1000 else mass end", 7)} as value from g""",
 )
 def _(spark, sf):
     names = ["Coordinates", "GroupPos", "Masses", "GroupMass", "Velocities", "GroupVel", "Group_R_Crit200", "SubhaloRadius", "ParticleIDs", "MassPos"]

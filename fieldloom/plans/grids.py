@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..constants import STATS_RADII
 from ..operators import bcm, gridding, profiles, spatial
 from ..sources.config import transform_table
-from ..sources.tables import spread
 from . import bindings as b
 from .bindings import R, cte, dist_sql, min_image_sql, num, num_list, query, r
 from .columns import MOVED_SQL, TRANSFORMS_SQL
@@ -120,7 +119,7 @@ _LP = 16
  select sim, lp, plane, i, j, {R('mass', 4)} as mass from grid""",
 )
 def _(spark, sf):
-    p = spread(b.particles(spark, sf).select("pid", "sim", "snap_index", "x", "y", "z", "mass"), "pid")
+    p = b.particles(spark, sf).select("pid", "sim", "snap_index", "x", "y", "z", "mass")
     g = gridding.lens_planes(p, transform_table(spark), _LP, keys=_KEYS, on=("snap_index",))
     return _out(g, ("sim", "lp", "plane", "i", "j"), digits=4)
 
@@ -203,7 +202,7 @@ def _additive_sql(reach: str) -> str:
 
 
 def _displaced(spark, sf):
-    p = spread(b.particles(spark, sf).where(F.col("sim") == "dmo").select("pid", "ptype", "mass", "x", "y", "z"), "pid")
+    p = b.particles(spark, sf).where(F.col("sim") == "dmo").select("pid", "ptype", "mass", "x", "y", "z")
     return bcm.displace_additive(p, b.halos(spark, sf), F.col("r200") * 5.0, _shift(), max_radius=b.MAX_R200 * 5)
 
 
@@ -229,7 +228,7 @@ _RD = "sqrt(ax*ax + ay*ay + az*az)"
  fin as (select *, row_number() over (partition by pid order by k desc) as last from mv) select pid, mass, {', '.join(R(_PM(c)) + f' as {c}' for c in ('x', 'y', 'z'))} from fin where last = 1""",
 )
 def _(spark, sf):
-    p = spread(b.particles(spark, sf).where(F.col("sim") == "dmo").select("pid", "mass", "x", "y", "z"), "pid")
+    p = b.particles(spark, sf).where(F.col("sim") == "dmo").select("pid", "mass", "x", "y", "z")
     shift = lambda d, h: bcm.tabulated(d / h["r200"], h["log_mass"], R_KNOTS, M_KNOTS, D_TABLE)
     out = bcm.displace_sequential(
         p, b.halos(spark, sf), F.col("r200") * 5.0, "halo_id", shift, ["r200", "log_mass"], max_radius=b.MAX_R200 * 5

@@ -466,12 +466,11 @@ def _(spark, sf):
 
 @query(
     "s11_valid_maps",
-    _K.replace("where n_pix = 4096", "") + f", t as (select map_id, case when map_id % 3 = 0 and i = 0 and j = 0 then null when map_id % 5 = 1 then 0.5::double else v end as v from kappa) select map_id, count(*) as n from t group by all having count(v) = count(*) and max(v) > min(v)",
+    _K + f", t as (select map_id, case when map_id % 3 = 0 and i = 0 and j = 0 then null when map_id % 5 = 1 then 0.5::double else v end as v from kappa) select map_id, count(*) as n from t group by all having count(v) = count(*) and max(v) > min(v)",
 )
 def _(spark, sf):
     # two kinds of broken maps are made: one with a NaN pixel, one constant
-    e = b.read_table(spark, sf, "embeddings").selectExpr("vec_id div 64 as map_id", "cast(vec_id % 64 as int) as i", "embedding")
-    k = e.select("map_id", "i", F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
+    k = b.kappa(spark, sf)
     broken = F.when((F.col("map_id") % 3 == 0) & (F.col("i") == 0) & (F.col("j") == 0), F.lit(float("nan")))
     k = k.withColumn("v", broken.when(F.col("map_id") % 5 == 1, F.lit(0.5)).otherwise(F.col("v")))
     return images.valid_maps(k, K).groupBy("map_id").agg(F.count(F.lit(1)).alias("n"))

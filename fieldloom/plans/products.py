@@ -53,7 +53,7 @@ def _(spark, sf):
 def _(spark, sf):
     folder = shared_folder(spark, "chunks")
     schema = tables.read_table(spark, sf, "lineitem").schema
-    chunks = snapshots.stream_chunks(spark, sf, schema, "lineitem.parquet")
+    chunks = snapshots.stream_chunks(spark, f"{sf}/lineitem.parque[t]", schema)  # one file or a folder of parts
 
     def partial(batch):
         z = "cast((l_suppkey*15013 + l_orderkey*389 + l_linenumber*7) % 205000 as double)/1000D"

@@ -324,7 +324,7 @@ def _(spark, sf):
 _XE = [0.0, 50.0, 100.0, 150.0, 200.0, 250.0, 1000000.0]
 # amounts in whole cents, so that sums are exact
 _EV = "ev as (select event_id, cast(user_id as double) as x, cast(round(value * 100) as double) as y, event_type from events)"
-_XBINS = [0.0, 30.0, 60.0, 90.0, 120.0, 149.0]
+_NBINS = 5
 
 
 def _events(spark, sf):
@@ -333,12 +333,15 @@ def _events(spark, sf):
     )
 
 
-_C = f"spine as (select cast(k as int) as bin, ({num_list(_XBINS)}[k+1] + {num_list(_XBINS)}[k+2]) / 2 as x_center from (select unnest(range({len(_XBINS) - 1})) as k)), bb as (select *, {bin_sql('x', _XBINS)} as bin from ev)"
+_C = f"""span as (select min(x) as lo, max(x) as hi from ev),
+ ed as (select case when k = {_NBINS} then hi else lo + (hi - lo) * k / {_NBINS}::double end as e, k from span, (select unnest(range({_NBINS + 1})) as k)),
+ spine as (select cast(a.k as int) as bin, (a.e + b.e) / 2 as x_center from ed a join ed b on b.k = a.k + 1),
+ bb as (select ev.*, cast(least((select count(*) from ed where e <= x) - 1, {_NBINS - 1}) as int) as bin from ev)"""
 
 
 def _binned(name, stat, y_sql, err_sql):
     def fn(spark, sf):
-        s = stats.binned_statistic(_events(spark, sf), "x", "y", _XBINS, stat)
+        s = stats.binned_statistic(_events(spark, sf), "x", "y", _NBINS, stat)
         return s.select("bin", "x_center", r("y_stat", 4).alias("y_stat"), r("y_err", 4).alias("y_err"), "n")
 
     query(name, f"with {_EV}, {_C} select bin, x_center, {R(y_sql, 4)} as y_stat, {R(err_sql, 4)} as y_err, count(y) as n from spine left join bb using (bin) group by all")(fn)
@@ -390,11 +393,23 @@ def _(spark, sf):
 
 
 _NBOOT = 200
-_DRAW = """u as (select bt, k, n, ((bt + 1) * 48271 + 11) % 2147483647 as u from (select unnest(range({nb})) as bt), (select row_number() over (order by y, event_id) - 1 as k, count(*) over () as n from ev)),
- h1 as (select bt, k, n, (u * (k + 7) + 12345) % 2147483647 as h from u), h2 as (select bt, k, n, (h * ((h + 69621) % 2147483647)) % 2147483647 as h from h1),
- h3 as (select bt, k, n, (h * 16807 + k) % 2147483647 as h from h2), h4 as (select bt, k, n, (h * ((h + 40692) % 2147483647)) % 2147483647 as h from h3),
+def _draw_sql(b: str, k: str, n: str, seed: int) -> str:
+    """A row number in SQL, from two mixed values of 31 bits."""
+    p = 2147483647
+
+    def mixed(seed: int) -> str:
+        h = f"((({b} + 1) * 48271 + {seed} + ({k} // {p}) % {p} * 69621) % {p} * ({k} % {p} + 7) + 12345) % {p}"
+        h = f"(({h}) * (({h} + 69621) % {p})) % {p}"
+        h = f"(({h}) * 16807 + {k} % {p}) % {p}"
+        return f"(({h}) * (({h} + 40692) % {p})) % {p}"
+
+    return f"(({mixed(seed)}) * 2147483648 + {mixed(seed + 1_000_003)}) % {n}"
+
+
+_DRAW = f"""u as (select bt, k, n from (select unnest(range({_NBOOT})) as bt), (select row_number() over (order by y, event_id) - 1 as k, count(*) over () as n from ev)),
+ h4 as (select bt, {_draw_sql('bt', 'k', 'n', 11)} as drawn from u),
  rk as (select y, row_number() over (order by y, event_id) - 1 as rank from ev),
- bm as (select bt as b, sum(y) / count(*) as mean from h4 join rk on rk.rank = h4.h % h4.n group by all)""".format(nb=_NBOOT)
+ bm as (select bt as b, sum(y) / count(*) as mean from h4 join rk on rk.rank = h4.drawn group by all)"""
 
 
 def _boot(spark, sf):
@@ -414,15 +429,14 @@ def _(spark, sf):
     return stats.confidence_interval(_boot(spark, sf), "mean").select(r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"))
 
 
-_DRAW2 = """u as (select bt, k, n, ((bt + 1) * 48271 + 5) % 2147483647 as u from (select unnest(range(50)) as bt), (select row_number() over (order by realization) - 1 as k, count(*) over () as n from (select distinct realization from stats))),
- h1 as (select bt, k, n, (u * (k + 7) + 12345) % 2147483647 as h from u), h2 as (select bt, k, n, (h * ((h + 69621) % 2147483647)) % 2147483647 as h from h1),
- h3 as (select bt, k, n, (h * 16807 + k) % 2147483647 as h from h2), h4 as (select bt, k, n, (h * ((h + 40692) % 2147483647)) % 2147483647 as h from h3),
+_DRAW2 = f"""u as (select bt, k, n from (select unnest(range(50)) as bt), (select row_number() over (order by realization) - 1 as k, count(*) over () as n from (select distinct realization from stats))),
+ h4 as (select bt, {_draw_sql('bt', 'k', 'n', 5)} as drawn from u),
  rk as (select realization, row_number() over (order by realization) - 1 as rank from (select distinct realization from stats))"""
 
 
 @query(
     "g23_bootstrap_rows",
-    cte("stats").rstrip() + f", {_DRAW2} select cast(bt as int) as b, bin, {R('avg(value)')} as mean from h4 join rk on rk.rank = h4.h % h4.n join stats using (realization) group by all",
+    cte("stats").rstrip() + f", {_DRAW2} select cast(bt as int) as b, bin, {R('avg(value)')} as mean from h4 join rk on rk.rank = h4.drawn join stats using (realization) group by all",
 )
 def _(spark, sf):
     m = stats.bootstrap_rows(b.stats(spark, sf), "realization", ["bin"], "value", 50, 5)

@@ -14,16 +14,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame, *cols: str) -> DataFrame:
-    """Use all cores for a scan that comes in fewer pieces than there are cores.
-
-    A table of few row groups would be joined by few tasks. Tables of many files are left alone,
-    so nothing is shuffled where there is already enough parallel work.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *cols) if df.rdd.getNumPartitions() < cores else df
-
-
 def scale_particles(raw: DataFrame, resolution: int, sim: Column, length: float = LENGTH_UNIT, mass: float = MASS_UNIT) -> DataFrame:
     """kpc/h and 1e10 Msun/h to Mpc/h and Msun/h; dark matter without a mass gets its constant."""
     table = DM_PARTICLE_MASS[resolution]

@@ -8,10 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_chunks(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", max_files: int = 64) -> DataFrame:
-    """Particle files of a folder as a stream; a trigger takes at most ``max_files``."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    return reader.option("pathGlobFilter", pattern).parquet(folder)
+def stream_chunks(spark: SparkSession, path: str, schema, max_files: int = 64) -> DataFrame:
+    """Particle files as a stream; a trigger takes at most ``max_files``. ``path``: a folder, or a glob of files and folders."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def accumulate(

@@ -104,3 +104,25 @@ def test_interpolation_clamps(spark):
     df = spark.createDataFrame([(0, 1.0, 10.0), (0, 2.0, 20.0), (0, 4.0, 0.0)], "g int, x double, y double")
     got = [r.y_at for r in windows.interpolate(df, ["g"], "x", "y", [0.0, 1.5, 2.0, 3.0, 9.0]).orderBy("x_at").collect()]
     assert got == list(np.interp([0.0, 1.5, 2.0, 3.0, 9.0], [1, 2, 4], [10, 20, 0]))
+
+
+def test_draws_reach_every_row_of_large_tables(spark):
+    n = 5_000_000_000
+    d = spark.range(20_000).select((F.col("id") * 250_000).alias("k"))
+    out = d.select(stats.draw(F.lit(3).cast("long"), F.col("k"), F.lit(n)).alias("r")).agg(F.min("r"), F.max("r"), F.avg("r"), F.countDistinct("r")).first()
+    assert 0 <= out[0] < n * 0.001 and n * 0.999 < out[1] < n
+    assert abs(out[2] / n - 0.5) < 0.02 and out[3] > 19_990
+
+
+def test_bins_from_the_data_hold_every_row(spark):
+    df = spark.createDataFrame([(float(x), 1.0) for x in (3, 4, 9, 28, 28)], "x double, y double")
+    assert [r["n"] for r in stats.binned_statistic(df, "x", "y", 5).orderBy("bin").collect()] == [2, 1, 0, 0, 2]
+    assert sum(r["n"] for r in stats.binned_statistic(df.where("x = 9"), "x", "y", 3).collect()) == 1
+
+
+def test_model_names_carry(spark):
+    from fieldloom.operators import response
+
+    df = spark.createDataFrame([(9.996e12, 1e13, 3.0), (9.994e12, 9.999e13, 0.5)], "lo double, hi double, a double")
+    names = [r[0] for r in df.select(response.format_model(F.col("lo"), F.col("hi"), F.col("a"))).collect()]
+    assert names == ["replace_Ml_1.00e13_Mu_1.00e13_R_3.0", "replace_Ml_9.99e12_Mu_1.00e14_R_0.5"]
