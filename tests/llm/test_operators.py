@@ -302,7 +302,8 @@ def test_compact_windows_partition_the_passages():
     s = rng.integers(0, 2**63, 300, dtype=np.uint64)
     rows = np.array([0, 120, 120, 300])
     row, place, key = passages.minima(s, rows, 0, 10)
-    left, right = passages.compact_windows(row, place, key, rows)
+    own, last, left, right = passages.compact_windows(row, place, key, rows)
+    assert len(own) == len(place) and (last == place).all()  # no value comes twice
     x = passages.mix(s, 100)
     for lo in (0, 5, 60, 120, 200):
         for hi in range(lo + 9, 120 if lo < 120 else 300):
@@ -311,6 +312,14 @@ def test_compact_windows_partition_the_passages():
             assert [place[k] for k in hit] == [c]
 
 
+def test_repetitive_texts_have_few_windows():
+    s = np.tile(np.arange(1, 4, dtype=np.uint64), 2000)
+    rows = np.array([0, 6000])
+    row, place, key = passages.minima(s, rows, 0, 46)
+    own, last, left, right = passages.compact_windows(row, place, key, rows)
+    assert len(own) == 1 and (left[0], right[0]) == (0, 5999) and last[0] > 5900
+
+
 def test_segments_are_maximal():
     rng = np.random.default_rng(4)
 
