@@ -191,9 +191,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     best = F.coalesce(F.array_max("scores"), F.lit(0.0))
     sample = found.where("not held_out").join(known, F.col("doc_id") == F.col("of")).select("doc_id", "toxic", "words", best.alias("best"), "scores")
     sample = written(sample.orderBy(F.xxhash64("doc_id")).limit(CALIBRATE), "toxic-calibration")
-    pdf = sample.where("toxic = 0").select("best", "words").orderBy("best", "words").toPandas()  # bounded
+    pdf = sample.where("toxic = 0").select("best", "words").toPandas().sort_values(["best", "words"])  # bounded
     rate, shift = _gumbel(pdf["best"].to_numpy(dtype=float), np.maximum(pdf["words"].to_numpy(dtype=float), 1))
-    pairs = sample.select("toxic", evidence(rate, shift).alias("x")).orderBy("x", "toxic").toPandas()
+    pairs = sample.select("toxic", evidence(rate, shift).alias("x")).toPandas().sort_values(["x", "toxic"])
     if pairs["toxic"].nunique() < 2:
         value = F.lit(0.0)
     else:
