@@ -9,6 +9,10 @@ every distinct fingerprint is sent down them; each leaf is a shard, in which res
 A leaf above ``LEAF`` rows is dealt over several tasks. A task returns a spanning forest of the links it found instead of all pairs; the
 forests' connected components are the links' components.
 
+Links of three bits reach only texts that are all but equal: those of similarity 0.8 differ by ten bits, a distance at which triangle bounds prune
+nothing. ``similar`` therefore adds links of verified word similarity, from texts that agree in a band of min-hashes and have fingerprints
+within ``WIDE`` bits.
+
 Copies of a fingerprint are one node throughout. Nulls: a null text counts as empty (fingerprint zero); null ids are kept, and a component
 without any other id gets a null one. An empty table gives an empty result; extra columns are ignored.
 """
@@ -26,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .textcode import mix
 
 BITS_APART = 3
 SEED = 42
@@ -35,40 +40,70 @@ SAMPLE, SAMPLE_LEAF = 40_000, 40
 LEAF = 50_000
 #: Shingles hashed at once.
 RUN = 1 << 16
+#: Min-hashes of a band, and bands: of pairs of similarity 0.8, 0.998 share a band.
+BAND, BANDS = 4, 12
+#: Members of a group of one band that are compared with each other; larger groups are dealt into blocks.
+BLOCK = 256
+#: Texts of similarity 0.8 have fingerprints 9.7 +- 2.9 bits apart; beyond this their words aren't compared.
+WIDE = 24
+_FACTORS = mix(np.arange(BAND * BANDS, dtype=np.uint64), 77) | np.uint64(1)
 _HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 
 
-def fingerprint(text: bytes, size: int) -> int:
+def shingles(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, in runs; nothing for a text without words."""
     words = text.lower().split()  # bytes: A-Z only, and ASCII white space
     if not words:
-        return 0
+        return
+    digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    n = len(words) - size + 1
-    counts, digest = np.zeros(64, dtype=np.int64), xxhash.xxh64_intdigest
-    for s in range(0, n, RUN):
+        yield np.array([digest(b" ".join(words), SEED)], np.uint64)
+        return
+    for s in range(0, len(words) - size + 1, RUN):
         part = words[s : s + RUN + size - 1]
         joined = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
         starts = np.concatenate([[0], ends[:-1]])
         m = len(part) - size + 1
-        h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:m].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, m)
+        yield np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:m].tolist(), (ends[size - 1 :] - 1).tolist(), strict=True)), np.uint64, m)
+
+
+def sketch(text: bytes, size: int, bands: bool) -> tuple[int, np.ndarray]:
+    """The fingerprint, and the band keys of the shingles' min-hashes if asked for and there are words."""
+    counts, n, least = np.zeros(64, dtype=np.int64), 0, None
+    for h in shingles(text, size):
         counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * counts > n, bitorder="little")
-    return int(bits.view(np.uint64)[0])
+        n += len(h)
+        if bands:
+            low = np.fromiter(((h * a).min() for a in _FACTORS), np.uint64, len(_FACTORS))
+            least = low if least is None else np.minimum(least, low)
+    fp = int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
+    if least is None:
+        return fp, np.zeros(0, np.int64)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for k in range(BAND):
+        key = mix(key + least[k::BAND], 31 + k)
+    return fp, key.view(np.int64)
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, code, fp): a hash of the text, and a signed long whose bits are the fingerprint."""
+def fingerprint(text: bytes, size: int) -> int:
+    return sketch(text, size, False)[0]
+
+
+def fingerprints(docs: DataFrame, size: int = 3, bands: bool = False) -> DataFrame:
+    """(doc_id, code, fp): a hash of the text, and a signed long whose bits are the fingerprint; with ``bands`` also (keys), the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").cast(pa.large_binary()) if not pa.types.is_null(b.column("text").type) else b.column("text")
-            fp = np.fromiter((fingerprint(t.as_py() or b"", size) for t in texts), np.uint64, len(texts))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("code"), pa.array(fp.view(np.int64))], ["doc_id", "code", "fp"])
+            found = [sketch(t.as_py() or b"", size, bands) for t in texts]
+            out = {"doc_id": b.column("doc_id"), "code": b.column("code"), "fp": pa.array(np.array([x for x, _ in found], np.uint64).view(np.int64))}
+            if bands:
+                out["keys"] = pa.array([x for _, x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_pydict(out)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("code"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, code long, fp long")
+    return rows.mapInArrow(run, "doc_id long, code long, fp long" + ", keys array<long>" * bands)
 
 
 def distance(a: np.ndarray, b: np.ndarray, mask: np.uint64) -> np.ndarray:
@@ -184,6 +219,64 @@ def links(distinct: DataFrame) -> DataFrame:
     return left.union(right).groupBy("leaf", "p", "q").applyInPandas(compare, "a long, b long").distinct()
 
 
+def similar_links(docs: DataFrame, coded: DataFrame, size: int, similar: float) -> DataFrame:
+    """(a, b): links between the fingerprints of texts whose sets of shingles have a Jaccard similarity of ``similar`` or more. ``coded``: a
+    stored table of ``fingerprints`` with band keys.
+
+    Texts that agree in a band meet in a group; groups of the same members are one. A group above ``BLOCK`` is dealt into blocks, in another way for
+    each band, and two of its members go to all of them. A block returns a spanning forest of the verified links.
+    """
+    rows = written(coded.select("code", "fp", F.explode("keys").alias("key")).distinct().withColumn("o", F.xxhash64("code", "key")), "simhash-bands")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("code")).alias("who"), F.min("o").alias("lo"), F.max("o").alias("hi"), F.min("fp").alias("x"), F.max("fp").alias("y"))
+    groups = groups.where("n > 1 and x < y").withColumn("who", F.when(F.col("n") <= BLOCK, F.col("who")).otherwise(F.col("key")))
+    once = groups.groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
+    groups = groups.join(once, "key", "left_semi").select("key", "lo", "hi", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
+    part = F.when(F.col("o").isin(F.col("lo"), F.col("hi")), everywhere).otherwise(F.array(F.pmod("o", F.col("parts")).cast("int")))
+    members = written(rows.join(groups, "key").select("key", "code", "fp", F.explode(part).alias("part")), "simhash-members")
+    # The words of each text that is needed, from one row that has it.
+    first = coded.groupBy("code").agg(F.min("doc_id").alias("first")).withColumnRenamed("code", "of")
+    first = first.join(members.select(F.col("code").alias("of")).distinct(), "of", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("code"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(first, (F.col("code") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("first"))).select("code", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for code, t in zip(b.column("code").to_pylist(), b.column("text").cast(pa.large_binary()), strict=True):
+                words = np.unique(np.concatenate(list(shingles(t.as_py(), size))))
+                yield pa.RecordBatch.from_pydict({"code": pa.array([code]), "words": pa.array([words.tobytes()], pa.binary())})
+
+    sets = written(texts.mapInArrow(run, "code long, words binary").dropDuplicates(["code"]), "simhash-sets")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["fp", "code"])
+        fp, words = pdf["fp"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["words"]]
+        root, a, b = list(range(len(fp))), [], []
+
+        def top(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        near = np.triu(distance(fp.view(np.uint64)[:, None], fp.view(np.uint64)[None, :], np.uint64(2**64 - 1)) <= WIDE, 1)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            p, q = top(i), top(j)
+            m, n = sorted((len(words[i]), len(words[j])))
+            if p == q or m < similar * n:
+                continue
+            if fp[i] != fp[j]:
+                both = len(np.intersect1d(words[i], words[j], assume_unique=True))
+                if both < similar * (m + n - both):
+                    continue
+                a.append(fp[i])
+                b.append(fp[j])
+            root[max(p, q)] = min(p, q)
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return members.join(sets, "code").select("key", "part", "code", "fp", "words").groupBy("key", "part").applyInPandas(compare, "a long, b long").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of all nodes with links: large-star and small-star steps until nothing changes."""
     edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
@@ -201,12 +294,15 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, similar: float | None = None) -> DataFrame:
     """(doc_id, code, fp, root, component_id): the component by a fingerprint, and by the smallest id that links of at most three bits
-    lead to."""
-    coded = written(fingerprints(docs, size), "simhash-codes")
+    lead to; with ``similar`` also links of texts of that Jaccard similarity."""
+    coded = written(fingerprints(docs, size, similar is not None), "simhash-codes")
     distinct = written(coded.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    roots = components(links(distinct))
+    edges = links(distinct)
+    if similar is not None:
+        edges = edges.union(similar_links(docs, coded, size, similar))
+    roots = components(edges)
     grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     grouped = written(grouped, "simhash-grouped")
     ids = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -214,10 +310,10 @@ def near_duplicates(docs: DataFrame, size: int = 3) -> DataFrame:
     return coded.join(named, coded["fp"] == named["of"]).select("doc_id", "code", "fp", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, size: int = 5) -> DataFrame:
+def keep_one(docs: DataFrame, size: int = 5, similar: float | None = None) -> DataFrame:
     """One row of ``docs`` for each component: of its smallest id (null last), of several texts with that id the one of the least hash,
     of repeated rows any one."""
-    near = written(near_duplicates(docs, size), "simhash-near")
+    near = written(near_duplicates(docs, size, similar), "simhash-near")
     best = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "code").agg(F.count("*").alias("__n"))
     least = best.groupBy("root").agg(F.min("code").alias("least"))
     kept = best.join(least, "root").where("code = least").select(F.col("doc_id").alias("__id"), F.col("code").alias("__code"), "__n")

@@ -380,3 +380,39 @@ def test_empty_tables(spark, empty):
     assert passages.near_duplicate_passages(empty).count() == 0 and pseudonyms.pseudonymise(empty, b"k").count() == 0
     v = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.top_k(v, F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_similar_texts_are_linked(spark, monkeypatch, block):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(5000)}"
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(120)]
+        texts.append(" ".join(base))
+        for _ in range(rng.integers(0, 9)):
+            copy = list(base)
+            for at in rng.integers(0, 120, rng.integers(1, 4)):
+                copy[at] = word()
+            texts.append(" ".join(copy))
+    texts += ["", None, "one two", "one two", "ONE  two", "one two three"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(*[(t or "").lower().split()[k:] for k in range(5)])) or {tuple((t or "").lower().split())} for t in texts]
+    best = list(range(len(texts)))
+
+    def top(i):
+        while best[i] != i:
+            i = best[i]
+        return i
+
+    fps = [fingerprints.fingerprint((t or "").encode(), 5) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) or (fps[i] ^ fps[j]).bit_count() <= 3:
+                p, q = top(i), top(j)
+                best[max(p, q)] = min(p, q)
+    got = {r["doc_id"]: r["component_id"] for r in fingerprints.near_duplicates(df, 5, 0.8).collect()}
+    assert got == {i: top(i) for i in range(len(texts))}
+    kept = {r["doc_id"] for r in fingerprints.keep_one(df, similar=0.8).collect()}
+    assert kept == {top(i) for i in range(len(texts))}
