@@ -53,11 +53,6 @@ def bins(text: Column) -> Column:
     return F.transform(F.array(*measures(text).values()), lambda x: F.size(F.filter(edges, lambda e: x > e)))
 
 
-def binned(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, lang, bins): a bin number for each measure."""
-    return docs.select("doc_id", "source", "lang", bins(F.col("text")).alias("bins"))
-
-
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
@@ -96,9 +91,11 @@ def _strength(sites: DataFrame, prior: Column) -> float:
     return 1 / min(max(rho, 1e-4), 0.99) - 1
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[list[float]], DataFrame]:
-    """(binned rows, weights, sites): ``sites`` has (host, path, host_prior, path_prior) for each source and language."""
-    rows = written(binned(docs), "quality-bins")
+def fit(docs: DataFrame, labels: DataFrame, columns: list[str]) -> tuple[DataFrame, list[list[float]], DataFrame]:
+    """(rows, weights, sites): ``rows`` are ``columns`` of ``docs`` and ``__bins``, a bin number for each measure, stored; ``sites`` has (host,
+    path, host_prior, path_prior) for each source and language."""
+    stored = written(docs.select(*columns, bins(F.col("text")).alias("__bins")), "quality-bins")
+    rows = stored.select("doc_id", "source", "lang", F.col("__bins").alias("bins"))
     weights = learn(rows, labels)
     known = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality").alias("p")).first()["p"]
     base = _inside(known if known is not None else 0.5)
@@ -113,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[list[float]
     paths = paths.join(hosts, F.col("source").eqNullSafe(F.col("host")))
     prior = _shrunk(F.col("good"), F.col("n"), F.col("host_prior"), F.lit(_strength(paths, F.col("host_prior"))))
     sites = paths.select("host", F.col("lang").alias("path"), F.round("host_prior", 6).alias("host_prior"), F.round(prior, 6).alias("path_prior"))
-    return rows, weights, written(sites, "quality-sites")
+    return stored, weights, written(sites, "quality-sites")
 
 
 def _inside(p: float) -> float:
@@ -130,17 +127,18 @@ def _with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, lang, evidence, host_prior, path_prior, posterior)."""
-    rows, weights, sites = fit(docs, labels)
+    rows, weights, sites = fit(docs, labels, ["doc_id", "source", "lang"])
+    rows = rows.select("doc_id", "source", "lang", F.col("__bins").alias("bins"))
     out = _with_site(rows.withColumn("evidence", evidence(F.col("bins"), weights)), sites)
     return out.select("doc_id", "source", "lang", "evidence", "host_prior", "path_prior", _posterior(F.col("evidence"), F.col("path_prior")).alias("posterior"))
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose posterior reaches ``least``."""
-    _, weights, sites = fit(docs, labels)
+    rows, weights, sites = fit(docs, labels, docs.columns)  # texts are stored with their bins: the patterns cost far more than a copy
     sites = sites.select(*[F.col(c).alias(f"__{c}") for c in sites.columns])
-    rows = docs.join(sites, F.col("source").eqNullSafe(F.col("__host")) & F.col("lang").eqNullSafe(F.col("__path")))
-    posterior = _posterior(evidence(bins(F.col("text")), weights), F.col("__path_prior"))
+    rows = rows.join(sites, F.col("source").eqNullSafe(F.col("__host")) & F.col("lang").eqNullSafe(F.col("__path")))
+    posterior = _posterior(evidence(F.col("__bins"), weights), F.col("__path_prior"))
     return rows.where(posterior >= least).select(*docs.columns)
 
 
