@@ -234,10 +234,22 @@ def fill_missing_with_mean(pixels: DataFrame, keys: Sequence[str], value: str =
     return pixels.join(mean, list(keys)).withColumn(value, F.coalesce(ok, F.col("_mean"))).drop("_mean")
 
 
+_P = 2147483647  # 2**31 - 1
+
+
 def add_noise(pixels: DataFrame, keys: Sequence[str], sigma: float, seed: int = 0, value: str = "v") -> DataFrame:
-    """Gaussian shape noise from a hash of the pixel address: the same after any retry."""
-    unit = lambda s: (F.pmod(F.xxhash64(*keys, "i", "j", F.lit(seed), F.lit(s)), F.lit(2**52)) + F.lit(0.5)) / F.lit(float(2**52))
-    normal = F.sqrt(F.lit(-2.0) * F.log(unit(1))) * F.cos(F.lit(2 * math.pi) * unit(2))
+    """Gaussian shape noise from the pixel address (integer keys, i, j): the same after any retry and on any engine."""
+
+    def unit(s: int) -> Column:
+        h = F.lit(s % _P).cast("long")
+        for c in [*keys, "i", "j"]:
+            # both halves of the address part; no product passes 62 bits
+            part = F.pmod(F.col(c).cast("long"), F.lit(_P)) + F.pmod(F.floor(F.col(c) / F.lit(_P)), F.lit(_P)) * 40692
+            h = F.pmod(h * 48271 + F.pmod(part, F.lit(_P)) * 16807 + 12345, F.lit(_P))
+            h = F.pmod(h * F.pmod(h + 69621, F.lit(_P)), F.lit(_P))
+        return (F.pmod(h * F.pmod(h + 40692, F.lit(_P)), F.lit(_P)) + F.lit(0.5)) / F.lit(float(_P))
+
+    normal = F.sqrt(F.lit(-2.0) * F.log(unit(seed))) * F.cos(F.lit(2 * math.pi) * unit(seed + 1_000_003))
     return pixels.withColumn(value, F.col(value) + F.lit(sigma) * normal)
 
 

@@ -241,7 +241,25 @@ def _(spark, sf):
     return images.standardise(b.kappa(spark, sf), K).select("map_id", "i", "j", r("snr").alias("snr"))
 
 
-@query("x16_noise")
+def _unit_sql(src: str, name: str, seed: int) -> str:
+    """CTEs that add column ``name``, a number in (0, 1) from map, row and column, to ``src``; the last one is called ``name`` too."""
+    p = 2147483647
+    steps, last = [], f"(select *, {seed}::bigint as h from {src})"
+    for k, c in enumerate(("map_id", "i", "j")):
+        part = f"(({c}::bigint % {p} + ({c}::bigint // {p}) % {p} * 40692) % {p})"
+        steps.append(f"{name}{k}a as (select * replace ((h * 48271 + {part} * 16807 + 12345) % {p} as h) from {last})")
+        steps.append(f"{name}{k} as (select * replace ((h * ((h + 69621) % {p})) % {p} as h) from {name}{k}a)")
+        last = f"{name}{k}"
+    steps.append(f"{name} as (select * exclude (h), ((h * ((h + 40692) % {p})) % {p} + 0.5::double) / {p}::double as {name} from {last})")
+    return ", ".join(steps)
+
+
+@query(
+    "x16_noise",
+    _K
+    + f", {_unit_sql('kappa', 'ua', 2020)}, {_unit_sql('ua', 'ub', 1002023)}, noisy as (select map_id, v + 0.3::double * (sqrt(-2::double * ln(ua)) * cos({num(2 * math.pi)} * ub)) as v from ub)"
+    + f" select map_id, {R('avg(v)', 8)} as mean, {R('stddev_pop(v)', 8)} as std, count(v) as n from noisy group by all",
+)
 def _(spark, sf):
     noisy = images.add_noise(b.kappa(spark, sf), K, 0.3, 2020)
     return images.summary(noisy, K).select("map_id", r("mean", 8).alias("mean"), r("std", 8).alias("std"), "n")

@@ -386,7 +386,25 @@ def _(spark, sf):
     return stats.pearson(_events(spark, sf), ["event_type"], "x", "y").select("event_type", r("r").alias("r"), "n")
 
 
-@query("g22_correlation_p_value")
+def _p_value_sql() -> str:
+    """The two-sided Student p-value of t with nu degrees of freedom, by the same quadrature."""
+    x = "(nu / 2)"
+    y = f"({x} + 16)"
+    total = " + ".join(f"{num(w)} * pow(cos(u0 + half * ({num(q)} + 1)), nu - 1)" for q, w in stats.QUADRATURE)
+    shift = " * ".join(f"(({x} + {k}) / ({x} + {k}.5))" for k in range(16))
+    log_ratio = f"ln({y}) / 2 - 1 / (8 * {y}) + 1 / (192 * pow({y}, 3)) - 1 / (640 * pow({y}, 5)) + 17 / (14336 * pow({y}, 7))"
+    return f"least(1.0::double, 2 / sqrt(pi()) * exp({log_ratio}) * {shift} * half * ({total}))"
+
+
+@query(
+    "g22_correlation_p_value",
+    f"""with {_EV}, c as (select event_type, corr(x, y) as r, (count(*) - 2)::double as nu from ev where isfinite(x) and isfinite(y) group by all),
+ ct as (select *, case when nu > 0 and abs(r) < 1 then r * sqrt(nu / (1.0::double - r * r)) end as t from c),
+ cu as (select *, atan(abs(t) / sqrt(nu)) as u0 from ct where t is not null),
+ ch as (select *, (least(pi() / 2, sqrt(u0 * u0 + 90 / greatest(nu - 1, 1e-9::double))) - u0) / 2 as half from cu),
+ pv as (select event_type, {_p_value_sql()} as p from ch)
+ select event_type, {R('r')} as r, coalesce({R('p')}, 'nan'::double) as p from c left join pv using (event_type)""",
+)
 def _(spark, sf):
     p = stats.pearson(_events(spark, sf), ["event_type"], "x", "y")
     return p.select("event_type", r("r").alias("r"), r(stats.correlation_p_value("t", "n")).alias("p"))

@@ -153,3 +153,17 @@ def test_model_names(spark):
     assert rows[names[0]] == (1e12, float("inf"), 0.5)
     assert rows[names[1]] == (3.16e12, 1e13, 5.0)
     assert rows["dmo"] == (None, None, None)
+
+
+def test_noise_is_normal_and_repeatable(spark):
+    flat = spark.range(3 * 64 * 64).selectExpr(
+        "id div 4096 + 3000000000 * (id div 4096) as map_id", "cast(id div 64 % 64 as int) as i", "cast(id % 64 as int) as j", "1.0D as v"
+    )
+    noisy = [r.v for r in images.add_noise(flat, ["map_id"], 0.5, 7).orderBy("map_id", "i", "j").collect()]
+    again = [r.v for r in images.add_noise(flat.repartition(5), ["map_id"], 0.5, 7).orderBy("map_id", "i", "j").collect()]
+    z = (np.array(noisy) - 1) / 0.5
+    assert noisy == again and len(set(noisy)) == len(noisy)
+    assert abs(z.mean()) < 0.04 and abs(z.std() - 1) < 0.03 and abs((z**3).mean()) < 0.1 and abs((z**4).mean() - 3) < 0.25
+    maps = z.reshape(3, 64, 64)
+    for a, b in ((maps[:, :, 1:], maps[:, :, :-1]), (maps[:, 1:], maps[:, :-1]), (maps[1:], maps[:-1])):
+        assert abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.05

@@ -6,8 +6,8 @@ from compare import compare
 from fieldloom.plans import registry
 
 QUERIES, ORACLES = registry.load()
-# at this scale these results are legitimately empty or come from seeded noise
-MAY_BE_EMPTY = {"f01_mass_filter", "f08_halo_lookup", "j02_single_sphere", "c06_pending_configurations", "g22_correlation_p_value", "x16_noise", "g33_complete_stack", "q16_observable_from_profiles"}
+# at this scale these results are legitimately empty
+MAY_BE_EMPTY = {"f01_mass_filter", "f08_halo_lookup", "j02_single_sphere", "c06_pending_configurations", "g33_complete_stack", "q16_observable_from_profiles"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

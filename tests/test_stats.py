@@ -1,5 +1,7 @@
 """Order statistics, resampling and stacks against NumPy."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -79,6 +81,12 @@ def test_correlation_p_value(spark):
     p = [r.p for r in df.select(stats.correlation_p_value("t", "n").alias("p")).collect()]
     assert p[0] == pytest.approx(0.05, abs=1e-6) and p[1] == pytest.approx(1.0)
     assert 0 < p[2] < 1e-4
+    # one degree of freedom in closed form, and very many against the normal distribution; none gives NaN
+    df = spark.createDataFrame([(2.0, 3), (-2.0, 3), (1.96, 10**9 + 2), (40.0, 10**6), (1.0, 2), (None, 9)], "t double, n long")
+    p = [r.p for r in df.select(stats.correlation_p_value("t", "n").alias("p")).collect()]
+    assert p[0] == p[1] == pytest.approx(1 - 2 / math.pi * math.atan(2), rel=1e-12)
+    assert p[2] == pytest.approx(math.erfc(1.96 / math.sqrt(2)), rel=1e-6) and p[3] < 1e-300
+    assert all(math.isnan(v) for v in p[4:])
 
 
 def test_binned_statistic_line(spark):
