@@ -50,17 +50,14 @@ def offsets(lengths: DataFrame, order: str, length: str) -> DataFrame:
     Running totals are taken inside slices of the order and shifted by the totals of the slices
     before, so the sum does not pass through one task.
     """
-    from ..operators.ordering import SLICES
+    from ..operators.ordering import before_slices, sliced
     from pyspark.sql import Window
 
-    cuts = lengths.agg(F.percentile_approx(order, [k / SLICES for k in range(1, SLICES)], 10 * SLICES).alias("_c"))
-    s = lengths.crossJoin(F.broadcast(cuts)).withColumn("_s", F.size(F.filter("_c", lambda c: c < F.col(order)))).drop("_c")
-    totals = s.groupBy("_s").agg(F.sum(length).alias("_t"))
-    before = Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    shift = totals.select("_s", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_off"))
-    inside = Window.partitionBy("_s").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = s.withColumn("_run", F.sum(length).over(inside)).join(F.broadcast(shift), "_s")
-    return out.withColumn("stop", F.col("_off") + F.col("_run")).withColumn("start", F.col("stop") - F.col(length)).drop("_s", "_run", "_off")
+    s = sliced(lengths, [], F.col(order))
+    shift = before_slices(s.groupBy("_hi", "_lo").agg(F.sum(length).alias("_t")), [], "_t")
+    inside = Window.partitionBy("_hi", "_lo").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = s.withColumn("_run", F.sum(length).over(inside)).join(shift, ["_hi", "_lo"])
+    return out.withColumn("stop", F.col("_off") + F.col("_run")).withColumn("start", F.col("stop") - F.col(length)).drop("_hi", "_lo", "_run", "_off", "_total")
 
 
 def attributes(df: DataFrame, json_column: str, schema: str) -> DataFrame:

@@ -25,7 +25,7 @@ def test_exact_quantiles(spark, kind):
     }[kind]
     g = (np.arange(len(v)) % 3 == 0).astype(int)  # a third of the rows under one key
     probs = [0.0, 0.16, 0.5, 0.84, 1.0]
-    got = ordering.exact_quantiles(frame(spark, v, g), ["g"], "v", probs, [f"q{k}" for k in range(5)], slices=8)
+    got = ordering.exact_quantiles(frame(spark, v, g), ["g"], "v", probs, [f"q{k}" for k in range(5)], slice_rows=4)
     for r in got.collect():
         want = np.percentile(v[g == r.g], [100 * p for p in probs])
         assert [r[f"q{k}"] for k in range(5)] == pytest.approx(list(want))
@@ -34,7 +34,7 @@ def test_exact_quantiles(spark, kind):
 def test_row_ranks_with_a_dominant_value(spark):
     rng = np.random.default_rng(3)
     v = np.concatenate([np.full(2000, 7.0), rng.integers(0, 15, 1000)])
-    got = {r.k: r["rank"] for r in ordering.row_ranks(frame(spark, v), "v", "k", slices=8).collect()}
+    got = {r.k: r["rank"] for r in ordering.row_ranks(frame(spark, v), "v", "k", slice_rows=4).collect()}
     order = np.lexsort((np.arange(len(v)), v))
     assert [got[k] for k in order] == list(range(len(v)))
 
@@ -134,3 +134,14 @@ def test_model_names_carry(spark):
     df = spark.createDataFrame([(9.996e12, 1e13, 3.0), (9.994e12, 9.999e13, 0.5)], "lo double, hi double, a double")
     names = [r[0] for r in df.select(response.format_model(F.col("lo"), F.col("hi"), F.col("a"))).collect()]
     assert names == ["replace_Ml_1.00e13_Mu_1.00e13_R_3.0", "replace_Ml_9.99e12_Mu_1.00e14_R_0.5"]
+
+
+def test_slices_of_one_group_stay_bounded(spark):
+    df = spark.range(40000).selectExpr("cast(id as double) as v", "id as k", "1 as g")
+    for slice_rows in (3, 50):  # with three, there are coarse slices too
+        sizes = ordering.sliced(df, ["g"], F.col("v"), slice_rows).groupBy("_hi", "_lo").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        rows = sizes.orderBy("_hi", "_lo").collect()
+        assert len(rows) >= 0.8 * 40000 / slice_rows and max(r.n for r in rows) <= 14 * slice_rows
+        assert all(a.hi < b.lo for a, b in zip(rows, rows[1:])) and (rows[-1]["_hi"] > 0) == (slice_rows == 3)
+    ranks = ordering.ranked_values(df, ["g"], "v", 3).where("before <> v or total <> 40000 or n <> 1")
+    assert ranks.isEmpty() and ordering.row_ranks(df, "v", "k", 3).where("rank <> k").isEmpty()
