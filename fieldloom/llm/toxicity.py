@@ -56,25 +56,38 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def document_counts(labelled: DataFrame) -> DataFrame:
-    """(code, n0, n1): labelled documents of either kind that hold a code. ``labelled``: (text, toxic)."""
+def distinct_codes(docs: DataFrame) -> DataFrame:
+    """(doc_id, codes): the different codes of each text; what the join with the labels moves in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * BUCKETS, dtype=np.int64)
-        docs = np.zeros(2, dtype=np.int64)
         for b in batches:
-            kind = b.column("toxic").to_numpy()
-            docs += np.bincount(kind, minlength=2)
             for i, j, data, offsets in blocks(b.column("text")):
                 codes, rows = word_buckets(data, offsets)
                 row = np.repeat(np.arange(j - i), np.diff(rows))
                 once = np.unique(np.concatenate([row * BUCKETS + c for c in codes]))
-                counts += np.bincount(kind[i + once // BUCKETS] * BUCKETS + once % BUCKETS, minlength=2 * BUCKETS)
+                ends = np.searchsorted(once, np.arange(j - i + 1) * BUCKETS)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(once % BUCKETS, pa.int32()))
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), lists], ["doc_id", "codes"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, codes array<int>")
+
+
+def document_counts(labelled: DataFrame) -> DataFrame:
+    """(code, n0, n1): labelled documents of either kind that hold a code. ``labelled``: (codes, toxic)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(2 * BUCKETS, dtype=np.int64)
+        docs = np.zeros(2, dtype=np.int64)
+        for b in batches:
+            kind, codes = b.column("toxic").to_numpy(), b.column("codes")
+            docs += np.bincount(kind, minlength=2)
+            of = np.repeat(kind.astype(np.int64), codes.value_lengths().to_numpy())
+            counts += np.bincount(of * BUCKETS + codes.flatten().to_numpy(), minlength=2 * BUCKETS)
         n = np.concatenate([counts.reshape(2, BUCKETS), docs[:, None]], axis=1)
         at = np.flatnonzero(n.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], ["code", "n0", "n1"])
 
-    found = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "code long, n0 long, n1 long")
+    found = labelled.select("codes", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "code long, n0 long, n1 long")
     return found.groupBy("code").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -185,7 +198,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted, starts, ends): score 0 to 1, and the word spans of significant passages."""
     known = labels.where(F.col("toxic").isin(0, 1)).groupBy(F.col("doc_id").alias("of")).agg(F.max("toxic").alias("toxic"))
     docs = docs.select("doc_id", "text")
-    learned = docs.where(~held_out(F.col("doc_id"))).join(known, F.col("doc_id") == F.col("of"))
+    # The labels grow with the corpus, so they aren't broadcast at any size.
+    known = known.hint("merge")
+    learned = distinct_codes(docs.where(~held_out(F.col("doc_id")))).join(known, F.col("doc_id") == F.col("of"))
     w = weights(document_counts(learned))
     found = written(scan(docs, w), "toxic-segments")
     best = F.coalesce(F.array_max("scores"), F.lit(0.0))
