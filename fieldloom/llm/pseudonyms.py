@@ -57,6 +57,12 @@ def permuted(x: int, n: int, key: bytes, kind: str, back: bool = False) -> int:
             return x
 
 
+def moved(x: int, n: int, key: bytes, kind: str, back: bool = False) -> int:
+    """A permutation of 0 .. n - 1 that leaves none in place, for sets so small that a value would often stay: a shift of permuted numbers."""
+    shift = 1 + _round(key, kind, ROUNDS, 0, n - 1)
+    return permuted((permuted(x, n, key, kind) + (-shift if back else shift)) % n, n, key, kind, True)
+
+
 def characters(value: str, alphabets: list[str | None], key: bytes, kind: str, back: bool = False) -> str:
     """``value`` with each character permuted within its alphabet (None: kept), all of them together."""
     at = [i for i, s in enumerate(alphabets) if s]
@@ -66,7 +72,7 @@ def characters(value: str, alphabets: list[str | None], key: bytes, kind: str, b
     x = 0
     for i in at:
         x = x * len(alphabets[i]) + alphabets[i].index(value[i])
-    x = feistel(x, size[0], size[1], key, kind, back)
+    x = moved(x, size[1], key, kind, back) if len(at) == 1 else feistel(x, size[0], size[1], key, kind, back)
     out = list(value)
     for i in reversed(at):
         x, c = divmod(x, len(alphabets[i]))
@@ -142,18 +148,21 @@ def _date(value: str, key: bytes, back: bool) -> str | None:
     return sep.join(text[k] for k in order)
 
 
+#: Country codes of one and two digits; all others have three. No code is the beginning of another.
+_COUNTRY = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]")
+
+
 def _phone(value: str, key: bytes, back: bool) -> str | None:
     digits = [i for i, c in enumerate(value) if c.isdigit()]
-    keep = value.startswith("+") and (re.match(r"\+\d+", value).end()) or 0
-    own = [i for i in digits if i >= keep]
-    if not 7 <= len(own) <= 12:
-        return None
+    keep = 0
+    if value.startswith("+"):
+        run = re.match(r"[0-9]+", value[1:])[0]
+        code = _COUNTRY.match(run)
+        # The country code stays, as far as seven digits are left; a code that is cut short by a separator ends there.
+        keep = min(len(code[0]) if code else 3, len(run), max(len(digits) - 7, 0))
     alphabets: list[str | None] = [None] * len(value)
-    for k, i in enumerate(own):
-        # Ten digits have area and exchange codes, which start at 2.
-        alphabets[i] = "23456789" if len(own) == 10 and k in (0, 3) else _DIGITS
-        if value[i] not in alphabets[i]:
-            return None
+    for i in digits[keep:]:
+        alphabets[i] = _DIGITS
     return characters(value, alphabets, key, "phone", back)
 
 
@@ -172,7 +181,7 @@ def _ssn(value: str, key: bytes, back: bool) -> str | None:
 
 def _email(value: str, key: bytes, back: bool) -> str | None:
     name, _, host = value.rpartition("@")
-    return f"{characters(name, _classes(name), key, 'email', back)}@{host}" if len(name) > 1 else None
+    return f"{characters(name, _classes(name), key, 'email', back)}@{host}"
 
 
 def _access_key(value: str, key: bytes, back: bool) -> str | None:

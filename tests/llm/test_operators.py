@@ -253,6 +253,18 @@ def test_pseudonyms_keep_format_and_links(spark, docs):
     assert plain == {(r["doc_id"], r["text"]) for r in docs.collect()}
 
 
+def test_every_matched_phone_and_short_address_is_replaced():
+    key = b"k" * 40
+    phones = [f"+1 ({a}{b}7) 555-{c}713" for a in range(10) for b in range(10) for c in (0, 1, 7)]
+    phones += ["+44 7911 123456", "+15551234567", "+4915123456789", "+1 988 155 2485", "+358 40 123 4567", "+2 555 123 4567", "(017) 155-7713", "017-155-7713", "+1 55 12 34"]
+    for v in [*phones, *(f"{c}@x.com" for c in "abyzAZ059"), "a.@x.com"]:
+        new, found = pseudonyms.rewrite(f"call {v} now", key)
+        assert len(found) == 1 and v not in new, v
+        assert pseudonyms.rewrite(new, key, back=True)[0] == f"call {v} now"
+    assert all(pseudonyms.pseudonym("phone", v, key)[: len(c)] == c for v, c in (("+44 7911 123456", "+44"), ("+15551234567", "+1"), ("+358401234567", "+358")))
+    assert sorted(pseudonyms.moved(x, 26, key, "t") for x in range(26)) == list(range(26)) and all(pseudonyms.moved(x, 26, key, "t") != x for x in range(26))
+
+
 def test_leaks_are_found_and_clean_texts_stay(spark, docs, empty):
     rng = random.Random(9)
     items = [prose(rng, 40) for _ in range(6)] + ["Sell 5 apples to Ann and then 7 pears to Bob before the shop closes at 5 today", "too short", None, ""]
