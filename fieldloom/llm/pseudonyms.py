@@ -3,7 +3,8 @@
 Values are found by pattern and validated: payment cards and IBANs by their check digits, dates by the calendar, addresses and numbers by their
 ranges. A valid value is permuted within its format by a keyed Feistel network over mixed radices: each character keeps its class, check digits
 are computed anew, dates stay dates of the same notation. The permutation depends on key, kind and value only, so equal values get equal
-pseudonyms in every document, different ones different ones, and the key's owner can go back (``restore``).
+pseudonyms in every document, different ones different ones, and the key's owner can go back (``restore``). A card or IBAN is also found beside other numbers, where the longer
+reading isn't valid; there its pseudonym is permuted on until that reading stays invalid, so it may differ from the one elsewhere.
 
 Nulls: a null text stays null and has no values; an invalid value stays as it is. Repeated rows give equal results. An empty table
 gives an empty result; extra columns are kept, but ``values`` and ``n_values`` are replaced.
@@ -108,11 +109,13 @@ def _iban_check(country: str, account: str) -> int:
 
 
 def _iban(value: str, key: bytes, back: bool) -> str | None:
-    country, check, account = value[:2], value[2:4], value[4:]
-    if _iban_check(country, account) != int(check):
+    plain = value.replace(" ", "")
+    country, check, account = plain[:2], plain[2:4], plain[4:]
+    if not 15 <= len(plain) <= 34 or _iban_check(country, account) != int(check):
         return None
     account = characters(account, _classes(account), key, f"iban {country}", back)
-    return f"{country}{_iban_check(country, account):02d}{account}"
+    new = iter(f"{country}{_iban_check(country, account):02d}{account}")
+    return "".join(c if c == " " else next(new) for c in value)
 
 
 def _ip(value: str, key: bytes, back: bool) -> str | None:
@@ -197,7 +200,7 @@ KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
     ("email", r"\b[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+\b", _email),
     ("access_key", r"\bAKIA[A-Z0-9]{16}\b", _access_key),
     ("secret", r"(?<=password=)[0-9a-f]{8,64}\b|(?<=token = \")[0-9a-f]{16,64}\b", _secret),
-    ("iban", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b", _iban),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b", _iban),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", _ip),
     ("date", r"(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4})(?![\w/-])", _date),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", _ssn),
@@ -206,6 +209,10 @@ KINDS: list[tuple[str, str, Callable[[str, bytes, bool], str | None]]] = [
 ]
 _PATTERN = re.compile("|".join(f"(?P<{k}>{p})" for k, p, _ in KINDS))
 _BY_KIND = {k: f for k, _, f in KINDS}
+_ONE = {k: re.compile(p) for k, p, _ in KINDS}
+#: A card at a later group of a number that isn't valid, where the groups may be joined by hyphens.
+_INNER = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![\w-])")
+_GROUP = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]")
 
 
 def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | None:
@@ -213,18 +220,57 @@ def pseudonym(kind: str, value: str, key: bytes, back: bool = False) -> str | No
     return _BY_KIND[kind](value, key, back)
 
 
+def _readings(text: str, at: int, inside: int) -> Iterator[tuple[str, int]]:
+    """(kind, end) of the values that may start at ``at``, in the order of KINDS, and numbers and IBANs longest first, cut between groups."""
+    for kind, pattern in _ONE.items():
+        m = pattern.match(text, at) or (kind == "card" and at < inside and _INNER.match(text, at))
+        if m:
+            yield kind, m.end()
+            if kind in ("card", "iban"):
+                yield from ((kind, e) for e in range(m.end() - 1, at, -1) if text[e] in " -")
+
+
+def _first(text: str, at: int, new) -> tuple[str, int, int, str, int] | None:
+    """(kind, start, end, pseudonym, context) of the first valid value from ``at``. What isn't valid is read again from each later group of it;
+    ``context`` is where the first reading begins that was refused and reaches into the value, or -1."""
+    inside, refused = at, []  # end of the refused card, (start, end) of what was refused
+    while True:
+        m = _PATTERN.search(text, at)
+        start = at if at < inside else m.start() if m else -1
+        if start < 0:
+            return None
+        reach = start
+        for kind, end in _readings(text, start, inside):
+            value = new(kind, text[start:end])
+            if value is not None:
+                return kind, start, end, value, min((s for s, e in refused if e > start), default=-1)
+            refused.append((start, end))
+            reach = max(reach, end)
+            if kind == "card":
+                inside = max(inside, end)
+        g = _GROUP.search(text, start + 1, max(reach, inside))
+        at = g.start() if g else max(reach, inside, start + 1)
+
+
 def rewrite(text: str, key: bytes, back: bool = False, cached=None) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and (kind, start, end) of each in it."""
+
+    def new(kind: str, value: str) -> str | None:
+        return (cached or pseudonym)(kind, value, key, back)
+
     out, spans, at, n = [], [], 0, 0
-    for m in _PATTERN.finditer(text):
-        new = (cached or pseudonym)(m.lastgroup, m[0], key, back)
-        if new is None:
-            continue
-        out += [text[at : m.start()], new]
-        n += m.start() - at
-        spans.append((m.lastgroup, n, n + len(new)))
-        n += len(new)
-        at = m.end()
+    while found := _first(text, at, new):
+        kind, start, end, value, context = found
+        if context >= 0:
+            # Other readings of these characters must stay refused, or the way back would take them: walk on until they are.
+            lo, hi = max(0, context - 16), end + 128
+            while (again := _first(text[lo:start] + value + text[end:hi], context - lo, new)) is None or again[:3] != (kind, start - lo, end - lo):
+                value = new(kind, value)
+        out += [text[at:start], value]
+        n += start - at
+        spans.append((kind, n, n + len(value)))
+        n += len(value)
+        at = end
     return ("".join([*out, text[at:]]), spans) if spans else (text, spans)
 
 

@@ -265,6 +265,26 @@ def test_every_matched_phone_and_short_address_is_replaced():
     assert sorted(pseudonyms.moved(x, 26, key, "t") for x in range(26)) == list(range(26)) and all(pseudonyms.moved(x, 26, key, "t") != x for x in range(26))
 
 
+def test_cards_and_ibans_beside_other_numbers():
+    key = b"k" * 40
+    rng = random.Random(4)
+    card, iban = "4111 1111 1111 1111", "DE89 3704 0044 0532 0130 00"
+    solid = pseudonyms.pseudonym("iban", iban.replace(" ", ""), key)
+    assert pseudonyms.pseudonym("iban", iban, key).replace(" ", "") == solid
+    for v in (f"{card} 123", f"77 {card}", f"77-{card.replace(' ', '-')}", f"{card.replace(' ', '-')}-123", f"12 {card} 9", iban, f"{iban} EUR 12", f"AB12 CARD {card}", f"{iban} {card} 5"):
+        new, found = pseudonyms.rewrite(f"x {v} y", key)
+        assert found and not any(x in new for x in (card, card.replace(" ", "-"), iban)), v
+        assert pseudonyms.rewrite(new, key, back=True)[0] == f"x {v} y"
+    for _ in range(2000):  # the way back, where other readings may be valid by chance
+        body = f"4{rng.randrange(10**14):014d}"
+        plain = body + str(pseudonyms.luhn(body))
+        v = f"{rng.randrange(1000)} {' '.join(plain[k : k + 4] for k in range(0, 16, 4))} {rng.randrange(1000)} end"
+        new = pseudonyms.rewrite(v, key)[0]
+        assert new != v and pseudonyms.rewrite(new, key, back=True)[0] == v
+    two = f"{card} 123-45-6789"
+    assert [k for k, _, _ in pseudonyms.rewrite(two, key)[1]] == ["card", "ssn"]
+
+
 def test_leaks_are_found_and_clean_texts_stay(spark, docs, empty):
     rng = random.Random(9)
     items = [prose(rng, 40) for _ in range(6)] + ["Sell 5 apples to Ann and then 7 pears to Bob before the shop closes at 5 today", "too short", None, ""]
