@@ -42,7 +42,7 @@ LEAF = 50_000
 RUN = 1 << 16
 #: Min-hashes of a band, and bands: of pairs of similarity 0.8, 0.998 share a band.
 BAND, BANDS = 4, 12
-#: Members of a group of one band that are compared with each other; larger groups are dealt into blocks.
+#: Members of a group of one band that one task compares; larger groups are dealt into blocks, and all pairs of blocks are compared.
 BLOCK = 256
 #: Texts of similarity 0.8 have fingerprints 9.7 +- 2.9 bits apart; beyond this their words aren't compared.
 WIDE = 24
@@ -223,17 +223,17 @@ def similar_links(docs: DataFrame, coded: DataFrame, size: int, similar: float)
     """(a, b): links between the fingerprints of texts whose sets of shingles have a Jaccard similarity of ``similar`` or more. ``coded``: a
     stored table of ``fingerprints`` with band keys.
 
-    Texts that agree in a band meet in a group; groups of the same members are one. A group above ``BLOCK`` is dealt into blocks, in another way for
-    each band, and two of its members go to all of them. A block returns a spanning forest of the verified links.
+    Texts that agree in a band meet in a group; groups of the same members are one. A group above ``BLOCK`` is dealt into blocks, and each block
+    meets each other one in a task. A task returns a spanning forest of the verified links.
     """
-    rows = written(coded.select("code", "fp", F.explode("keys").alias("key")).distinct().withColumn("o", F.xxhash64("code", "key")), "simhash-bands")
-    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("code")).alias("who"), F.min("o").alias("lo"), F.max("o").alias("hi"), F.min("fp").alias("x"), F.max("fp").alias("y"))
-    groups = groups.where("n > 1 and x < y").withColumn("who", F.when(F.col("n") <= BLOCK, F.col("who")).otherwise(F.col("key")))
+    rows = written(coded.select("code", "fp", F.explode("keys").alias("key")).distinct().withColumn("o", F.xxhash64("code", F.lit(7))), "simhash-bands")
+    groups = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("code")).alias("who"), F.min("fp").alias("x"), F.max("fp").alias("y"))
+    groups = groups.where("n > 1 and x < y")
     once = groups.groupBy("n", "who").agg(F.min("key").alias("key")).select("key")
-    groups = groups.join(once, "key", "left_semi").select("key", "lo", "hi", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
-    everywhere = F.sequence(F.lit(0), F.col("parts") - 1)
-    part = F.when(F.col("o").isin(F.col("lo"), F.col("hi")), everywhere).otherwise(F.array(F.pmod("o", F.col("parts")).cast("int")))
-    members = written(rows.join(groups, "key").select("key", "code", "fp", F.explode(part).alias("part")), "simhash-members")
+    groups = groups.join(once, "key", "left_semi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+    dealt = rows.join(groups, "key").withColumn("part", F.pmod("o", F.col("parts")).cast("int"))
+    dealt = dealt.select("key", "code", "fp", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with"))
+    members = written(dealt.select("key", "code", "fp", "part", F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q")), "simhash-members")
     # The words of each text that is needed, from one row that has it.
     first = coded.groupBy("code").agg(F.min("doc_id").alias("first")).withColumnRenamed("code", "of")
     first = first.join(members.select(F.col("code").alias("of")).distinct(), "of", "left_semi")
@@ -251,6 +251,8 @@ def similar_links(docs: DataFrame, coded: DataFrame, size: int, similar: float)
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["fp", "code"])
         fp, words = pdf["fp"].to_numpy(), [np.frombuffer(x, np.uint64) for x in pdf["words"]]
+        size, part = np.array([len(x) for x in words]), pdf["part"].to_numpy()
+        apart = pdf["p"].iloc[0] != pdf["q"].iloc[0]  # pairs within a block are another task's
         root, a, b = list(range(len(fp))), [], []
 
         def top(i: int) -> int:
@@ -259,22 +261,25 @@ def similar_links(docs: DataFrame, coded: DataFrame, size: int, similar: float)
                 i = root[i]
             return i
 
-        near = np.triu(distance(fp.view(np.uint64)[:, None], fp.view(np.uint64)[None, :], np.uint64(2**64 - 1)) <= WIDE, 1)
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-            p, q = top(i), top(j)
-            m, n = sorted((len(words[i]), len(words[j])))
-            if p == q or m < similar * n:
-                continue
-            if fp[i] != fp[j]:
-                both = len(np.intersect1d(words[i], words[j], assume_unique=True))
-                if both < similar * (m + n - both):
+        for i in range(len(fp)):
+            small, large = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
+            # Copies of a fingerprint are one node, whatever their size.
+            near = ((small >= similar * large) | (fp[i + 1 :] == fp[i])) & ((part[i + 1 :] != part[i]) | ~np.bool_(apart))
+            near &= distance(fp[i + 1 :].view(np.uint64), fp[i : i + 1].view(np.uint64), np.uint64(2**64 - 1)) <= WIDE
+            for j in (np.flatnonzero(near) + i + 1).tolist():
+                p, q = top(i), top(j)
+                if p == q:
                     continue
-                a.append(fp[i])
-                b.append(fp[j])
-            root[max(p, q)] = min(p, q)
+                if fp[i] != fp[j]:
+                    both = len(np.intersect1d(words[i], words[j], assume_unique=True))
+                    if both < similar * (size[i] + size[j] - both):
+                        continue
+                    a.append(fp[i])
+                    b.append(fp[j])
+                root[max(p, q)] = min(p, q)
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return members.join(sets, "code").select("key", "part", "code", "fp", "words").groupBy("key", "part").applyInPandas(compare, "a long, b long").distinct()
+    return members.join(sets, "code").select("key", "p", "q", "part", "code", "fp", "words").groupBy("key", "p", "q").applyInPandas(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

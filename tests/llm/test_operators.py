@@ -448,3 +448,22 @@ def test_similar_texts_are_linked(spark, monkeypatch, block):
     assert got == {i: top(i) for i in range(len(texts))}
     kept = {r["doc_id"] for r in fingerprints.keep_one(df, similar=0.8).collect()}
     assert kept == {top(i) for i in range(len(texts))}
+
+
+def copies(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in fingerprints.near_duplicates(df, 5, 0.8).collect()}
+
+
+def test_similar_pairs_of_a_large_group_are_linked(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BLOCK", 2)
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(50_000)}"
+    shared = [word() for _ in range(110)]
+    texts = []
+    for _ in range(40):  # pairs of similarity 0.84; texts of two pairs have 0.75, so they often meet in a band
+        own = [word() for _ in range(18)]
+        texts += [" ".join(shared + own), " ".join([*shared, word(), *own[1:9], word(), *own[10:17], word()])]
+    sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
+    assert all((len(x & y) >= 0.8 * len(x | y)) == (i // 2 == j // 2) for i, x in enumerate(sets) for j, y in enumerate(sets))
+    assert copies(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
