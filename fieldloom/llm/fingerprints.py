@@ -10,8 +10,8 @@ A leaf above ``LEAF`` rows is dealt over several tasks. A task returns a spannin
 forests' connected components are the links' components.
 
 Links of three bits reach only texts that are all but equal: those of similarity 0.8 differ by ten bits, a distance at which triangle bounds prune
-nothing. ``similar`` therefore adds links of verified word similarity, from texts that agree in a band of min-hashes and have fingerprints
-within ``WIDE`` bits.
+nothing. ``similar`` therefore adds links of verified word similarity, from texts that agree in a band of min-hashes, however far apart their
+fingerprints are.
 
 Copies of a fingerprint are one node throughout. Nulls: a null text counts as empty (fingerprint zero); null ids are kept, and a component
 without any other id gets a null one. An empty table gives an empty result; extra columns are ignored.
@@ -44,8 +44,6 @@ RUN = 1 << 16
 BAND, BANDS = 4, 12
 #: Members of a group of one band that one task compares; larger groups are dealt into blocks, and all pairs of blocks are compared.
 BLOCK = 256
-#: Texts of similarity 0.8 have fingerprints 9.7 +- 2.9 bits apart; beyond this their words aren't compared.
-WIDE = 24
 _FACTORS = mix(np.arange(BAND * BANDS, dtype=np.uint64), 77) | np.uint64(1)
 _HALVES = (np.uint64(0xFFFFFFFF00000000), np.uint64(0x00000000FFFFFFFF))
 
@@ -265,7 +263,6 @@ def similar_links(docs: DataFrame, coded: DataFrame, size: int, similar: float)
             small, large = np.minimum(size[i], size[i + 1 :]), np.maximum(size[i], size[i + 1 :])
             # Copies of a fingerprint are one node, whatever their size.
             near = ((small >= similar * large) | (fp[i + 1 :] == fp[i])) & ((part[i + 1 :] != part[i]) | ~np.bool_(apart))
-            near &= distance(fp[i + 1 :].view(np.uint64), fp[i : i + 1].view(np.uint64), np.uint64(2**64 - 1)) <= WIDE
             for j in (np.flatnonzero(near) + i + 1).tolist():
                 p, q = top(i), top(j)
                 if p == q:

@@ -467,3 +467,11 @@ def test_similar_pairs_of_a_large_group_are_linked(spark, monkeypatch):
     sets = [set(zip(*[t.split()[k:] for k in range(5)])) for t in texts]
     assert all((len(x & y) >= 0.8 * len(x | y)) == (i // 2 == j // 2) for i, x in enumerate(sets) for j, y in enumerate(sets))
     assert copies(spark, texts) == {i: i - i % 2 for i in range(len(texts))}
+
+
+def test_repeated_lines_hide_no_similar_text(spark):
+    rng = np.random.default_rng(12)
+    passage, line = ([f"w{rng.integers(50_000)}" for _ in range(n)] for n in (200, 8))
+    texts = [" ".join(passage + line * k) for k in (1, 1000)]
+    apart = (fingerprints.fingerprint(texts[0].encode(), 5) ^ fingerprints.fingerprint(texts[1].encode(), 5)).bit_count()
+    assert apart > 24 and copies(spark, texts) == {0: 0, 1: 0}
