@@ -5,7 +5,7 @@ after a number become typed placeholders, each with its value as a slot. Windows
 benchmark; a bitmap of fixed size drops nearly all others before they are shuffled. Matches are grouped by document, item and place
 (bands of the difference of positions, overlapping by half), and an item counts as leaked if its windows are covered to at least 0.8
 there and its slots are consistent: equal values of the item stand for equal values in the document, so a re-parameterised question is
-caught, and a text that merely shares phrases isn't.
+caught, and a text that merely shares phrases isn't. Of windows that are repeated, those of the best aligned places count.
 
 Windows need at least three literal words. Items with fewer than five template words have no window and are never matched. Nulls: a null
 text has no words. Repeated documents are matched each and reported once per id and text; repeated items are reported by id. Empty
@@ -150,13 +150,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = windows(keyed, {"doc_id": "long", "code": "long"}, _bitmap(items))
     pairs = found.join(items.select("w", "item_id", F.col("pos").alias("item_pos"), F.col("slots").alias("item_slots")), "w").join(sizes, "item_id")
     # A band is as wide as two items; every place lies in the middle half of one.
-    band = F.floor((F.col("pos") - F.col("item_pos")) / F.col("length"))
+    pairs = pairs.withColumn("shift", F.col("pos") - F.col("item_pos"))
+    band = F.floor(F.col("shift") / F.col("length"))
     pairs = pairs.withColumn("band", F.explode(F.array(band, band + 1)))
     slots = F.filter(F.arrays_zip("item_slots", "slots"), lambda s: s["item_slots"] != 0)
     pairs = pairs.withColumn("pair", F.transform(slots, lambda s: F.struct(s["item_slots"].alias("item"), s["slots"].alias("doc"))))
     place = ["doc_id", "code", "item_id", "band"]
+    # A window that the item or the document repeats meets itself at several shifts; each of the item's places keeps the one that most of its
+    # windows agree with, of those the one with most values unchanged, then the least.
+    hit = F.struct("item_pos", "w", "pair")
+    shifts = pairs.groupBy(*place, "shift").agg(F.collect_set(hit).alias("hits"), F.first("windows").alias("windows"))
+    same = F.size(F.filter("hits", lambda h: ~F.exists(h["pair"], lambda p: p["item"] != p["doc"])))
+    shifts = shifts.withColumn("rank", F.struct(F.size("hits").alias("n"), same.alias("same"), (-F.col("shift")).alias("first")))
+    kept = shifts.select(*place, "windows", "rank", F.explode("hits").alias("hit"))
+    kept = kept.groupBy(*place, "hit.item_pos").agg(F.max_by("hit", "rank").alias("hit"), F.first("windows").alias("windows"))
     # Bounded by the item's length: distinct windows, and distinct pairs of values.
-    covered = pairs.groupBy(*place).agg(F.countDistinct("w").alias("covered"), F.first("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set("pair"))).alias("pairs"))
+    covered = kept.groupBy(*place).agg(F.countDistinct("hit.w").alias("covered"), F.first("windows").alias("windows"), F.array_distinct(F.flatten(F.collect_set("hit.pair"))).alias("pairs"))
     coverage = F.col("covered") / F.col("windows")
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"])))
     consistent = (values == 0) | (values / F.greatest(F.size("pairs"), F.lit(1)) >= CONSISTENT)

@@ -301,6 +301,18 @@ def test_leaks_are_found_and_clean_texts_stay(spark, docs, empty):
     assert decontamination.clean(empty, bench).count() == 0 and decontamination.clean(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_items_that_repeat_a_template_are_found(spark):
+    item = "Sell 5 apples to Ann and sell 7 apples to Bob and then go home"
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    other = item.replace("5", "12").replace("7", "3").replace("Ann", "Eve").replace("Bob", "Dan")
+    texts = [item, f"so. {other} now", item.replace("7", "5").replace("Bob", "Ann"), f"one two three. {item}. {other}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r for r in decontamination.leaks(docs, bench).collect()}
+    assert {k: r["reparameterised"] for k, r in found.items()}.items() >= {0: False, 1: True, 3: False}.items()
+    assert all(r["coverage"] == 1 for k, r in found.items() if k != 1)
+    assert 0 not in {r["doc_id"] for r in decontamination.clean(docs, bench).collect()}
+
+
 def test_template_canonicalisation():
     text = b"Pay 30 kg to Ann. Then go on, (now) 5km -- Bob 7"
     codes, slots, rows = decontamination.template(np.frombuffer(text, np.uint8), np.array([0, 18, 18, len(text)]), decontamination._unit_codes())
