@@ -341,6 +341,28 @@ def test_passages_are_found(docs, rows):
     assert all(sets[a] & sets[b] for a, b in pairs if a in sets and b in sets)
 
 
+@pytest.mark.parametrize("n", [50, 55, 60, 70, 80])
+def test_an_edited_word_parts_no_passage(n):
+    rng = np.random.default_rng(n)
+
+    def codes(w):
+        return np.array([zlib.crc32(bytes(w[k : k + 5].view(np.uint8))) for k in range(len(w) - 4)], np.uint32).view(np.int32)
+
+    for at in range(n):
+        passage, around = rng.integers(0, 2**62, n), rng.integers(0, 2**62, (4, 30))
+        edited = passage.copy()
+        edited[at] = 1
+        for x, y in ((around[1], around[3]), (around[1][:0], around[3][:0])):
+            a, b = codes(np.concatenate([around[0], passage, x])), codes(np.concatenate([around[2][:17], edited, y]))
+            found = passages.verify(a, b, passages.LEAST, passages.SIMILAR)
+            assert found, at
+            for s, e, t, u, j in found:
+                one, two = set(a[s : e + 1].tolist()), set(b[t : u + 1].tolist())
+                assert len(one & two) / len(one | two) == j >= 0.8 and min(e - s, u - t) >= 45
+    exact = passages.verify(codes(np.concatenate([around[0], passage])), codes(np.concatenate([passage, around[1]])), 46, 0.8)
+    assert exact == [(30, 30 + n - 5, 0, n - 5, 1.0)]  # no longer than it is
+
+
 def test_compact_windows_partition_the_passages():
     rng = np.random.default_rng(2)
     s = rng.integers(0, 2**63, 300, dtype=np.uint64)
