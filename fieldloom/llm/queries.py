@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, mixing, passages, pseudonyms, quality, sharding, suffixes, topk, toxicity
+from . import decontamination, fingerprints, mixing, passages, pseudonyms, quality, rules, sharding, suffixes, topk, toxicity
 
 QUERIES = {
     f.__name__: f
@@ -17,7 +17,8 @@ QUERIES = {
         quality.op8_site_posteriors,
         mixing.op9_curriculum_mix,
         topk.op10_norm_buckets,
+        rules.op11_rule_table,
     )
 }
 
-ORACLES = {"op1_extendible_shards": sharding.oracle(), "op9_curriculum_mix": mixing.oracle(), "op10_norm_buckets": topk.oracle()}
+ORACLES = {"op1_extendible_shards": sharding.oracle(), "op9_curriculum_mix": mixing.oracle(), "op10_norm_buckets": topk.oracle(), "op11_rule_table": rules.oracle()}
