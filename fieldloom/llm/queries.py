@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, mixing, passages, pseudonyms, quality, rules, sharding, suffixes, topk, toxicity, turntrie
+from . import decontamination, fingerprints, hardnegatives, mixing, passages, pseudonyms, quality, rules, sharding, suffixes, topk, toxicity, turntrie
 
 QUERIES = {
     f.__name__: f
@@ -18,8 +18,9 @@ QUERIES = {
         mixing.op9_curriculum_mix,
         topk.op10_norm_buckets,
         rules.op11_rule_table,
+        hardnegatives.op12_packed_negatives,
         turntrie.op13_turn_trie,
     )
 }
 
-ORACLES = {"op1_extendible_shards": sharding.oracle(), "op9_curriculum_mix": mixing.oracle(), "op10_norm_buckets": topk.oracle(), "op11_rule_table": rules.oracle(), "op13_turn_trie": turntrie.oracle()}
+ORACLES = {"op1_extendible_shards": sharding.oracle(), "op9_curriculum_mix": mixing.oracle(), "op10_norm_buckets": topk.oracle(), "op11_rule_table": rules.oracle(), "op12_packed_negatives": hardnegatives.oracle(), "op13_turn_trie": turntrie.oracle()}
