@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fieldloom.llm import hardnegatives
 
 SHAPE = "vec_id long, embedding array<float>, label int, row long, shard string, v int, dim string"
-LABEL = F.col("label")
+LABEL = lambda: F.col("label")
 
 
 @pytest.fixture(scope="module")
@@ -49,14 +49,14 @@ def brute(spark, rows, is_anchor, positives, negatives):
 
 @pytest.mark.parametrize("sizes", [(64, 8, 5, 3), (100_000, 16, 100, 100)])
 def test_negatives_are_those_of_brute_force(spark, rows, sizes):
-    data = hardnegatives.prepared(spark.createDataFrame(rows, SHAPE).repartition(4), LABEL)
+    data = hardnegatives.prepared(spark.createDataFrame(rows, SHAPE).repartition(4), LABEL())
     got = hardnegatives.mine(data, F.col("vec_id") % 20 == 0, 5, 10, *sizes)
     want = brute(spark, rows, lambda i: i % 20 == 0, 5, 10)
     assert len(want) > 500 and sorted(map(tuple, got.collect())) == want
 
 
 def test_shards_and_leaves_hold_every_row_once(spark, rows):
-    data = hardnegatives.prepared(spark.createDataFrame(rows, SHAPE), LABEL)
+    data = hardnegatives.prepared(spark.createDataFrame(rows, SHAPE), LABEL())
     leaves, boxes = hardnegatives.tree(data, 64, 8, 3)
     held = [(r["shard"], len(r["ids"]) // 8, len(r["m"]) // 8 // r["dim"]) for r in leaves.collect()]
     assert sum(n for _, n, _ in held) == data.count() and all(n == m <= 8 for _, n, m in held)
@@ -69,4 +69,4 @@ def test_shards_and_leaves_hold_every_row_once(spark, rows):
 def test_none_and_one(spark, rows):
     docs = spark.createDataFrame(rows, SHAPE)
     for some in (docs.where(F.lit(False)), docs.where("vec_id = 20"), docs.where("embedding is null")):
-        assert hardnegatives.mine(hardnegatives.prepared(some, LABEL), F.col("vec_id") % 20 == 0).count() == 0
+        assert hardnegatives.mine(hardnegatives.prepared(some, LABEL()), F.col("vec_id") % 20 == 0).count() == 0
