@@ -169,11 +169,11 @@ def _sent(same: bool):
 
     def sent(asked: pd.DataFrame, boxes: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or boxes.empty:
-            return pd.DataFrame({"block": pd.Series(dtype="int64"), "shard": pd.Series(dtype="object")})
+            return pd.DataFrame({"dim": pd.Series(dtype="int32"), "block": pd.Series(dtype="int64"), "shard": pd.Series(dtype="object")})
         names = boxes["shard"].to_numpy()
         alive = _open(asked, boxes, same)[0] & (names[None, :] != asked["head"].to_numpy()[:, None])
         found = names[alive.any(axis=0)]
-        return pd.DataFrame({"block": np.full(len(found), asked["block"].iloc[0]), "shard": found})
+        return pd.DataFrame({"dim": asked["dim"].iloc[0], "block": asked["block"].iloc[0], "shard": found})
 
     return sent
 
@@ -276,8 +276,8 @@ def search(asked: DataFrame, leaves: DataFrame, boxes: DataFrame, k: int, same:
     rest = asked.join(kth, "anchor", "left")
     raised = F.transform("lo", lambda x, i: F.greatest(x, F.coalesce(F.try_element_at("floors", F.get("w", i)), x)))
     rest = written(rest.withColumn("lo", raised).drop("floors"), "negatives-asked")
-    sent = _meet(spread(rest), chunks, near, _sent(same), "block long, shard string").distinct()
-    second = visit(rest.join(sent, "block").where(F.col("shard") != F.col("head")))
+    sent = _meet(spread(rest), chunks, near, _sent(same), "dim int, block long, shard string").distinct()
+    second = visit(rest.join(sent, ["dim", "block"]).where(F.col("shard") != F.col("head")))
     rank = F.row_number().over(Window.partitionBy("anchor", "w").orderBy(F.col("score").desc(), "vec_id"))
     return first.unionByName(second).withColumn("rank", rank).where(F.col("rank") <= k)
 
