@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_index, bin_table, with_bin, with_spine
-from .lines import smooth
+from .blocks import STRIP, smooth
+from .regions import region_counts
 from .stats import density, histogram
 
 
@@ -161,68 +160,12 @@ def area_and_perimeter(pixels: DataFrame, keys: Sequence[str], thresholds: Seque
     )
 
 
-def region_counts(pixels: DataFrame, keys: Sequence[str], thresholds: Sequence[float]) -> DataFrame:
-    """Edge-connected regions above and not above each threshold.
-
-    Rows of a map are cut into runs of equal class, runs of neighbouring rows that touch are
-    linked, and regions = runs - independent links. Only runs and links, not pixels, meet in the
-    small union-find helper, one (map, threshold) at a time.
-    """
-    th = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(t)).alias("t")) for k, t in enumerate(thresholds)])
-    p = pixels.select(*keys, "i", "j", "v", F.explode(th).alias("_t")).select(
-        *keys, F.col("_t.k").alias("threshold_index"), "i", "j", (F.col("v") > F.col("_t.t")).alias("above")
-    )
-    group = [*keys, "threshold_index"]
-    row = Window.partitionBy(*group, "i").orderBy("j")
-    started = p.withColumn("_new", F.coalesce((F.lag("above").over(row) != F.col("above")).cast("int"), F.lit(1)))
-    runs = (
-        started.withColumn("_run", F.sum("_new").over(row.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .groupBy(*group, "i", "above", "_run")
-        .agg(F.min("j").alias("lo"), F.max("j").alias("hi"))
-    )
-    schema_keys = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.select(*group).schema)
-
-    def count_regions(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0][group].to_dict()
-        pdf = pdf.sort_values(["i", "lo"])
-        rows: dict[int, list[int]] = {}
-        lo, hi, cls, line = (pdf[c].to_numpy() for c in ("lo", "hi", "above", "i"))
-        parent = list(range(len(lo)))
-
-        def find(a: int) -> int:
-            while parent[a] != a:
-                parent[a] = parent[parent[a]]
-                a = parent[a]
-            return a
-
-        for r, i in enumerate(line):
-            rows.setdefault(int(i), []).append(r)
-        for i, here in rows.items():
-            prev = rows.get(i - 1, [])
-            a = b = 0
-            while a < len(prev) and b < len(here):
-                u, w = prev[a], here[b]
-                if cls[u] == cls[w] and lo[u] <= hi[w] and lo[w] <= hi[u]:
-                    ru, rw = find(u), find(w)
-                    if ru != rw:
-                        parent[ru] = rw
-                if hi[u] < hi[w]:
-                    a += 1
-                else:
-                    b += 1
-        roots = {find(r) for r in range(len(lo))}
-        n_above = sum(1 for r in roots if cls[r])
-        return pd.DataFrame([{**head, "n_above": n_above, "n_below": len(roots) - n_above}])
-
-    return runs.groupBy(*group).applyInPandas(count_regions, f"{schema_keys}, n_above long, n_below long")
-
-
 def minkowski(pixels: DataFrame, keys: Sequence[str], n: int, thresholds: Sequence[float], sigma: float, border: int = 5) -> DataFrame:
     """V0 area, V1 perimeter, V2 regions minus holes, each per pixel, on the smoothed interior."""
     inner = smooth(pixels, keys, n, sigma).where(interior(n, border))
     n_pix = float((n - 2 * border) ** 2)
     v01 = area_and_perimeter(inner, keys, thresholds)
-    v2 = region_counts(inner, keys, thresholds)
+    v2 = region_counts(inner, keys, thresholds, max(1, STRIP // n), n)
     euler = F.when(F.col("n_below") > 0, F.col("n_above") - (F.col("n_below") - 1)).otherwise(F.col("n_above"))
     return v01.join(v2, [*keys, "threshold_index"]).withColumn("V2", euler / F.lit(n_pix)).drop("n_above", "n_below")
 

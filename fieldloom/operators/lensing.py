@@ -5,31 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BOX_SIZE, OMEGA_M, SPEED_OF_LIGHT
 from ..functions.geometry import density_contrast
-from .lines import fft
-from .spectra import signed_mode
+from . import blocks
 
-
-def _filtered(modes: DataFrame, keys: Sequence[str], n: int, fields: dict[str, tuple[Column, bool]]) -> DataFrame:
-    """Inverse transforms of several multiples of one spectrum, in one pair of line passes.
-
-    fields: name -> (real factor, True when it is multiplied by the imaginary unit).
-    """
-    parts = []
-    for name, (factor, imaginary) in fields.items():
-        re = -factor * F.col("im") if imaginary else factor * F.col("re")
-        im = factor * F.col("re") if imaginary else factor * F.col("im")
-        parts.append(F.struct(F.lit(name).alias("field"), re.alias("re"), im.alias("im")))
-    spread = modes.select(*keys, "i", "j", F.explode(F.array(*parts)).alias("_f")).select(
-        *keys, "i", "j", F.col("_f.field").alias("field"), F.col("_f.re").alias("re"), F.col("_f.im").alias("im")
-    )
-    back = fft(spread, [*keys, "field"], ("i", "j"), n, ("re", "im"), inverse=True)
-    wide = [F.max(F.when(F.col("field") == nm, F.col("re"))).alias(nm) for nm in fields]
-    return back.groupBy(*keys, "i", "j").agg(*wide)
+DERIVATIVES = ["psi_x", "psi_y", "psi_xx", "psi_xy", "psi_yy"]
 
 
 def potential_derivatives(pixels: DataFrame, keys: Sequence[str], n: int, side: float = BOX_SIZE, omega_m: float = OMEGA_M, value: str = "v") -> DataFrame:
@@ -38,23 +22,15 @@ def potential_derivatives(pixels: DataFrame, keys: Sequence[str], n: int, side:
     The potential is 3 Om (100/c)^2 delta / k^2; first derivatives carry i*k, second ones +k*k,
     and the k=0 mode is dropped. i is the x axis.
     """
-    ku = 2 * math.pi / side
-    modes = fft(pixels, keys, ("i", "j"), n, (value,))
-    kx, ky = signed_mode(F.col("i"), n) * ku, signed_mode(F.col("j"), n) * ku
-    k2 = kx * kx + ky * ky
-    pre = F.when(k2 > 0, F.lit(3 * omega_m * (100.0 / SPEED_OF_LIGHT) ** 2) / k2).otherwise(F.lit(0.0))
-    return _filtered(
-        modes,
-        keys,
-        n,
-        {
-            "psi_x": (kx * pre, True),
-            "psi_y": (ky * pre, True),
-            "psi_xx": (kx * kx * pre, False),
-            "psi_xy": (kx * ky * pre, False),
-            "psi_yy": (ky * ky * pre, False),
-        },
-    )
+    ku, scale = 2 * math.pi / side, 3 * omega_m * (100.0 / SPEED_OF_LIGHT) ** 2
+
+    def factors(i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        kx, ky = blocks.signed(i, n)[:, None] * ku, blocks.signed(j, n)[None, :] * ku
+        k2 = kx * kx + ky * ky
+        pre = np.divide(scale, k2, out=np.zeros_like(k2), where=k2 > 0)
+        return [1j * kx * pre, 1j * ky * pre, kx * kx * pre, kx * ky * pre, ky * ky * pre]
+
+    return blocks.filtered(pixels, keys, n, [value], DERIVATIVES, factors)
 
 
 def convert_planes(masses: DataFrame, keys: Sequence[str], n: int, thickness: float, side: float = BOX_SIZE) -> DataFrame:
@@ -63,30 +39,20 @@ def convert_planes(masses: DataFrame, keys: Sequence[str], n: int, thickness: fl
     return potential_derivatives(delta, keys, n, side)
 
 
-def _shear_factors(n: int) -> tuple[Column, Column]:
+def _shear_factors(i: np.ndarray, j: np.ndarray, n: int) -> list[np.ndarray]:
     """j is the first (x) frequency, i the second, as in image order."""
-    lx, ly = signed_mode(F.col("j"), n) / n, signed_mode(F.col("i"), n) / n
+    lx, ly = blocks.signed(j, n)[None, :], blocks.signed(i, n)[:, None]
     l2 = lx * lx + ly * ly
-    zero = F.lit(0.0)
-    return (
-        F.when(l2 > 0, (lx * lx - ly * ly) / l2).otherwise(zero),
-        F.when(l2 > 0, F.lit(2.0) * lx * ly / l2).otherwise(zero),
-    )
+    part = lambda x: np.divide(x, l2, out=np.zeros_like(l2), where=l2 > 0)
+    return [part(lx * lx - ly * ly), part(2 * lx * ly)]
 
 
 def shear_from_convergence(pixels: DataFrame, keys: Sequence[str], n: int, value: str = "v") -> DataFrame:
-    d1, d2 = _shear_factors(n)
-    return _filtered(fft(pixels, keys, ("i", "j"), n, (value,)), keys, n, {"gamma1": (d1, False), "gamma2": (d2, False)})
+    return blocks.filtered(pixels, keys, n, [value], ["gamma1", "gamma2"], lambda i, j: _shear_factors(i, j, n))
 
 
 def convergence_from_shear(shear: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    d1, d2 = _shear_factors(n)
-    a = fft(shear, keys, ("i", "j"), n, ("gamma1",)).select(*keys, "i", "j", F.col("re").alias("r1"), F.col("im").alias("m1"))
-    b = fft(shear, keys, ("i", "j"), n, ("gamma2",)).select(*keys, "i", "j", F.col("re").alias("r2"), F.col("im").alias("m2"))
-    joined = a.join(b, [*keys, "i", "j"]).select(
-        *keys, "i", "j", (d1 * F.col("r1") + d2 * F.col("r2")).alias("re"), (d1 * F.col("m1") + d2 * F.col("m2")).alias("im")
-    )
-    return fft(joined, keys, ("i", "j"), n, ("re", "im"), inverse=True).select(*keys, "i", "j", F.col("re").alias("kappa"))
+    return blocks.filtered(shear, keys, n, ["gamma1", "gamma2"], ["kappa"], lambda i, j: _shear_factors(i, j, n))
 
 
 def aperture_kernel(theta_pix: float) -> list[tuple[int, int, float]]:
@@ -102,22 +68,10 @@ def aperture_kernel(theta_pix: float) -> list[tuple[int, int, float]]:
 
 
 def aperture_mass(pixels: DataFrame, keys: Sequence[str], n: int, theta: float, pixel: float, value: str = "v") -> DataFrame:
-    """Periodic convolution with the aperture filter.
-
-    Needs an aperture smaller than half a map. Each pixel is sent to the targets in reach and
-    the sums combine before the shuffle.
-    """
+    """Periodic convolution with the aperture filter, as a product of spectra: its cost does not depend on the aperture, which has to be
+    smaller than half a map."""
     taps = aperture_kernel(theta / pixel)
-    arr = F.array(*[F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj"), F.lit(w).alias("w")) for a, b, w in taps])
-    spread = pixels.select(*keys, "i", "j", value, F.explode(arr).alias("_t"))
-    return (
-        spread.groupBy(
-            *keys,
-            F.pmod(F.col("i") + F.col("_t.di"), F.lit(n)).alias("i"),
-            F.pmod(F.col("j") + F.col("_t.dj"), F.lit(n)).alias("j"),
-        )
-        .agg(F.sum(F.col(value) * F.col("_t.w")).alias("m_ap"))
-    )
+    return blocks.filtered(pixels, keys, n, [value], ["m_ap"], blocks.kernel_factors(taps, n))
 
 
 def born_convergence(planes: DataFrame, weights: DataFrame, keys: Sequence[str], value: str = "delta") -> DataFrame:

@@ -1,41 +1,31 @@
-"""Power spectra: transform by line passes, then radial averages in SQL."""
+"""Power spectra: transform by passes over blocks, then radial averages in SQL."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import BOX_SIZE, FIELD_SIZE_DEG, logspace, linspace
 from ..functions.bins import with_bin
+from . import blocks
 from .gridding import assign, overdensity
-from .lines import fft
 
 ELL_EDGES = logspace(math.log10(100), math.log10(20000), 30)
 
 
-def signed_mode(k: Column, n: int) -> Column:
-    """Integer frequency of a transform index, -n/2 .. n/2-1."""
-    return F.when(k < F.lit((n + 1) // 2), k).otherwise(k - n).cast("double")
-
-
 def mode_power(pixels: DataFrame, keys: Sequence[str], n: int, value: str = "v", axes: Sequence[str] = ("i", "j")) -> DataFrame:
-    """|FFT|^2 per mode with ``m2``, the squared length of the integer mode."""
-    modes = fft(pixels, keys, axes, n, [value])
-    m2 = None
-    for a in axes:
-        s = signed_mode(F.col(a), n)
-        m2 = s * s if m2 is None else m2 + s * s
-    return modes.select(*keys, *axes, (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("power"), m2.alias("m2"))
+    """|FFT|^2 of a real field over its half spectrum, with ``m2``, the squared length of the integer mode, and ``weight``, its multiplicity."""
+    return blocks.mode_powers(pixels, keys, axes, n, value)
 
 
 def radial_average(modes: DataFrame, keys: Sequence[str], unit: float, edges: Sequence[float], norm: float) -> DataFrame:
     """Mean power per half-open shell of |k| = unit * |mode|; only shells that hold modes."""
     binned = with_bin(modes.withColumn("k_abs", F.sqrt("m2") * F.lit(unit)), "k_abs", edges, "left")
     return binned.groupBy(*keys, "bin").agg(
-        (F.avg("power") * F.lit(norm)).alias("power"), F.count(F.lit(1)).alias("n_modes")
+        (F.sum(F.col("power") * F.col("weight")) / F.sum("weight") * F.lit(norm)).alias("power"), F.sum("weight").cast("long").alias("n_modes")
     )
 
 
@@ -83,7 +73,7 @@ def spectrum_linear_k(pixels: DataFrame, keys: Sequence[str], n: int, box: float
 
 
 def particle_spectrum_3d(points: DataFrame, keys: Sequence[str], n: int, rule: str = "cic", box: float = BOX_SIZE) -> DataFrame:
-    """3-D P(k), bin b holding modes of length [b+1, b+2) fundamentals: gridding, overdensity, three line passes.
+    """3-D P(k), bin b holding modes of length [b+1, b+2) fundamentals: gridding, overdensity, three passes.
 
     Empty cells have overdensity -1; adding one everywhere leaves all modes but k=0 unchanged,
     so only occupied cells are carried.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..constants import OMEGA_M, SPEED_OF_LIGHT, linspace, logspace
 from ..functions import cosmology as cos
-from ..operators import gridding, images, lensing, lines, spectra, stats, windows
+from ..operators import blocks, gridding, images, lensing, spectra, stats, windows
 from . import bindings as b
 from .bindings import R, bin_sql, cte, num, num_list, query, r
 from .columns import CHI
@@ -27,7 +27,7 @@ TH = [-0.06, -0.03, 0.0, 0.03, 0.06]
 
 
 def smooth_sql(src: str = "kappa", mode: str = "reflect", sigma: float = SIGMA, n: int = N) -> str:
-    w = lines.gaussian_kernel(sigma)
+    w = blocks.gaussian_kernel(sigma)
     rad = len(w) // 2
     rows = ", ".join(f"({k - rad}, {num(v)})" for k, v in enumerate(w))
     refl = lambda e: f"(case when {e} < 0 then -1 - ({e}) when {e} >= {n} then {2 * n - 1} - ({e}) else {e} end)"
@@ -56,12 +56,12 @@ _K = cte("kappa").rstrip()
 
 @query("x08_smooth_reflect", _K + f", {smooth_sql()} select map_id, i, j, {R('v', 8)} as v from sm")
 def _(spark, sf):
-    return lines.smooth(b.kappa(spark, sf), K, N, SIGMA).select("map_id", "i", "j", r("v", 8).alias("v"))
+    return blocks.smooth(b.kappa(spark, sf), K, N, SIGMA).select("map_id", "i", "j", r("v", 8).alias("v"))
 
 
 @query("x08_smooth_wrap", _K + f", {smooth_sql(mode='wrap')} select map_id, i, j, {R('v', 8)} as v from sm")
 def _(spark, sf):
-    return lines.smooth(b.kappa(spark, sf), K, N, SIGMA, "wrap").select("map_id", "i", "j", r("v", 8).alias("v"))
+    return blocks.smooth(b.kappa(spark, sf), K, N, SIGMA, "wrap").select("map_id", "i", "j", r("v", 8).alias("v"))
 
 
 _PK = f", {smooth_sql()}, {ext_sql('max')}, pk as (select * from ex where v = m and v > 0 and {border_sql(2)})"
@@ -132,7 +132,7 @@ def _(spark, sf):
 
 @query("x12_total_peaks", _K + _PK + f" select map_id, count(*) as n_peaks from pk where v / {num(RMS)} >= 1.0 group by all")
 def _(spark, sf):
-    sm = lines.smooth(b.kappa(spark, sf), K, N, SIGMA)
+    sm = blocks.smooth(b.kappa(spark, sf), K, N, SIGMA)
     return images.extrema(sm, K, N, border=2, where=F.col("v") / RMS >= 1.0).groupBy("map_id").agg(F.count(F.lit(1)).alias("n_peaks"))
 
 
@@ -204,7 +204,7 @@ _V01 = f"""inn as (select * from sm where {border_sql(5)}), th as (select unnest
 
 @query("x13_area_perimeter", _K + f", {smooth_sql()}, {_V01} select map_id, threshold_index, threshold, {R('V0')} as V0, {R('V1')} as V1 from v01")
 def _(spark, sf):
-    inner = lines.smooth(b.kappa(spark, sf), K, N, SIGMA).where(images.interior(N, 5))
+    inner = blocks.smooth(b.kappa(spark, sf), K, N, SIGMA).where(images.interior(N, 5))
     v = images.area_and_perimeter(inner, K, TH)
     return v.select("map_id", "threshold_index", "threshold", r("V0").alias("V0"), r("V1").alias("V1"))
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import gridding, images, lensing, lines, response, spectra
+from fieldloom.operators import blocks, gridding, images, lensing, regions, response, spectra
 
 
 def field(spark, arrays):
@@ -35,19 +35,59 @@ def test_tsc_spreads_a_particle_on_its_node(spark):
     assert got[(2, 4)] == pytest.approx(0.75**2) and got[(1, 4)] == pytest.approx(0.125 * 0.75)
 
 
-def test_fourier_passes_equal_fft2(spark):
-    a = np.random.default_rng(10).normal(size=(12, 12))
-    f = lines.fft(field(spark, [a]), ["map_id"], ("i", "j"), 12)
-    want = np.fft.fft2(a)
-    assert np.allclose(grid(f, 12, "re"), want.real) and np.allclose(grid(f, 12, "im"), want.imag)
-    back = lines.fft(f, ["map_id"], ("i", "j"), 12, ("re", "im"), inverse=True)
-    assert np.allclose(grid(back, 12, "re"), a)
+@pytest.fixture(params=[1 << 18, 40])
+def strip(request, monkeypatch):
+    """Blocks of a whole map, and of a few lines or pixels."""
+    monkeypatch.setattr(blocks, "STRIP", request.param)
+
+
+@pytest.mark.parametrize("n", [12, 9])
+def test_mode_powers_equal_fft2(spark, strip, n):
+    a = np.random.default_rng(10).normal(size=(n, n))
+    want = np.abs(np.fft.fft2(a)) ** 2
+    rows = blocks.mode_powers(field(spark, [a]), ["map_id"], ("i", "j"), n, "v").collect()
+    assert len(rows) == n * (n // 2 + 1) and sum(r.weight for r in rows) == n * n
+    assert all(np.isclose(r.power, want[r.i, r.j]) for r in rows)
+    assert sum(r.power * r.weight for r in rows) == pytest.approx(want.sum())
+
+
+def test_mode_powers_of_a_cube(spark, strip):
+    n = 6
+    a = np.random.default_rng(16).normal(size=(n, n, n))
+    cells = [(1, i, j, k, float(a[i, j, k])) for i in range(n) for j in range(n) for k in range(n) if (i + j + k) % 4]
+    want = np.abs(np.fft.fftn(np.where(np.indices(a.shape).sum(axis=0) % 4 > 0, a, 0.0))) ** 2  # absent cells are zero
+    rows = blocks.mode_powers(spark.createDataFrame(cells, "m int, i int, j int, k int, v double"), ["m"], ("i", "j", "k"), n, "v").collect()
+    assert sum(r.weight for r in rows) == n**3 and all(np.isclose(r.power, want[r.i, r.j, r.k]) for r in rows)
+
+
+@pytest.mark.parametrize("n", [12, 9])
+def test_filtered_fields_are_real_parts_of_full_inverses(spark, strip, n):
+    a = np.random.default_rng(17).normal(size=(n, n))
+    k = blocks.signed(np.arange(n), n)
+    want = np.fft.ifft2(1j * k[:, None] * np.fft.fft2(a)).real, np.fft.ifft2((k[:, None] * k[None, :]) * np.fft.fft2(a)).real
+    factors = lambda i, j: [1j * blocks.signed(i, n)[:, None] * np.ones(len(j)), blocks.signed(i, n)[:, None] * blocks.signed(j, n)]
+    got = blocks.filtered(field(spark, [a]), ["map_id"], n, ["v"], ["x", "xy"], factors)
+    assert np.allclose(grid(got, n, "x"), want[0]) and np.allclose(grid(got, n, "xy"), want[1])
+
+
+def test_aperture_mass_equals_the_sum_over_taps(spark, strip):
+    n, theta = 16, 4.3
+    a = np.random.default_rng(18).normal(size=(n, n))
+    want = sum(w * np.roll(a, (di, dj), (0, 1)) for di, dj, w in lensing.aperture_kernel(theta))
+    assert np.allclose(grid(lensing.aperture_mass(field(spark, [a]), ["map_id"], n, theta, 1.0), n, "m_ap"), want)
+
+
+def test_no_pixels_between_passes(spark, small):
+    from fieldloom.plans import bindings
+
+    plan = lensing.potential_derivatives(bindings.kappa(spark, small), ["map_id"], 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInPandas") == 3 and "collect_list" not in plan.split("FlatMapGroupsInPandas")[1]
 
 
 @pytest.mark.parametrize("mode", ["reflect", "wrap"])
-def test_smoothing_keeps_a_constant_and_the_sum(spark, mode):
+def test_smoothing_keeps_a_constant_and_the_sum(spark, strip, mode):
     a = np.random.default_rng(11).normal(size=(9, 9))
-    sm = lines.smooth(field(spark, [a, np.full((9, 9), 2.0)]), ["map_id"], 9, 1.3, mode)
+    sm = blocks.smooth(field(spark, [a, np.full((9, 9), 2.0)]), ["map_id"], 9, 1.3, mode)
     assert np.allclose(grid(sm, 9, "v", 1), 2.0)
     assert grid(sm, 9, "v").sum() == pytest.approx(a.sum())
 
@@ -58,7 +98,7 @@ def test_plane_spectrum_of_a_single_wave(spark):
     a = 1.0 + 0.1 * np.cos(2 * np.pi * 3 * x / n)[:, None] * np.ones(n)
     modes = spectra.mode_power(spectra.contrast(field(spark, [a]), ["map_id"]), ["map_id"], n)
     big = {(r.i, r.j) for r in modes.where(F.col("power") > 1e-6).collect()}
-    assert big == {(3, 0), (n - 3, 0)}
+    assert big == {(3, 0), (n - 3, 0)}  # on the line of the half spectrum that holds both
 
 
 def test_shear_round_trip_without_nyquist(spark):
@@ -92,17 +132,36 @@ def flood_count(mask):
     return count
 
 
-def test_regions_equal_flood_fill(spark):
+@pytest.mark.parametrize("lines", [1, 3, 256])
+def test_regions_equal_flood_fill(spark, lines):
     rng = np.random.default_rng(14)
     maps = [rng.normal(size=(14, 14)) for _ in range(3)]
+    snake = np.zeros((14, 14))  # one region that winds through all strips, and combs that meet in the last line only
+    for i in range(14):
+        snake[i, (0 if i % 4 == 3 else 13) if i % 2 else slice(None)] = 1.0
+    comb = np.zeros((14, 14))
+    comb[:, ::2] = comb[-1] = 1.0
+    maps += [snake, comb, np.ones((14, 14))]
     th = [-0.8, 0.0, 0.8, 99.0]
-    rows = images.region_counts(field(spark, maps), ["map_id"], th).collect()
-    assert len(rows) == 12
+    rows = images.region_counts(field(spark, maps), ["map_id"], th, lines).collect()
+    assert len(rows) == 4 * len(maps)
     for r in rows:
         above = maps[r.map_id] > th[r.threshold_index]
         assert (r.n_above, r.n_below) == (flood_count(above), flood_count(~above))
 
 
+def test_links_contract_to_least_members():
+    rng = np.random.default_rng(19)
+    for n, m in ((1, 0), (50, 30), (400, 390), (300, 299)):
+        a, b = (rng.integers(0, n, m), rng.integers(0, n, m)) if n != 300 else (np.arange(299), np.arange(1, 300))
+        least = regions.contracted(n, a, b)
+        want = list(range(n))
+        for _ in range(n):
+            for x, y in zip(a, b, strict=True):
+                want[x] = want[y] = min(want[x], want[y])
+        assert least.tolist() == want
+
+
 def test_plateau_pixels_all_count_as_peaks(spark):
     a = np.zeros((6, 6))
     a[2, 2] = a[2, 3] = 5.0
