@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bins import bin_table, overlapping_bins, with_bin, with_spine
-from .ordering import exact_quantiles, row_ranks
+from .ordering import exact_quantiles
 
 MAD_SCALE = 1.4826
 
@@ -173,68 +173,88 @@ def correlation_p_value(t: str, n: str) -> Column:
 # --- resampling ------------------------------------------------------------------
 
 _P = 2147483647  # 2**31 - 1
+#: Mixed values from the k-th step on stand for more than k draws.
+POISSON_STEPS = [round(_P * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(11)]
 
 
-def draw(b: Column, k: Column, n: Column, seed: int = 0) -> Column:
-    """Row number in [0, n) of draw k in resample b: integer arithmetic, the same on any engine.
+def mixed_value(b: Column, key: Column, seed: int) -> Column:
+    """A value in [0, 2^31 - 1) for resample ``b`` and the row of integer ``key``: the same on any engine and after any retry."""
+    p = F.lit(_P).cast("long")
+    low, high = F.pmod(key.cast("long"), p), F.pmod(F.floor(key / p), p)
+    h = ((b.cast("long") + 1) * 48271 + F.lit(seed) + high * 69621) % p
+    h = (h * (low + 7) + 12345) % p
+    h = (h * ((h + 69621) % p)) % p
+    h = (h * 16807 + low) % p
+    return (h * ((h + 40692) % p)) % p
 
-    Two mixed values of 31 bits make an index of 62, so any table's last row can be drawn and no product overflows.
+
+def poisson_number(u: Column) -> Column:
+    """The Poisson number of mean one that a mixed value stands for: how often a resample holds a row."""
+    first, *rest = [(u >= F.lit(t)).cast("int") for t in POISSON_STEPS]
+    return sum(rest, first)
+
+
+def resampled(df: DataFrame, key: str, sums: dict[str, Column], keys: Sequence[str] = (), n_resamples: int = 1000, seed: int = 0) -> DataFrame:
+    """(keys, b, n, weight, sums): each sum over the rows of each resample, with their number of rows and of draws.
+
+    A row enters every resample with its own weight, and partial sums combine before the shuffle: what is moved is a row for each resample and
+    task, and no table is joined. Rows with the same ``key`` are drawn together.
     """
+    drawn = df.select(*keys, F.col(key).alias("_key"), *[c.cast("double").alias(nm) for nm, c in sums.items()])
+    drawn = drawn.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+    drawn = drawn.withColumn("_u", mixed_value(F.col("b"), F.col("_key"), seed)).withColumn("_w", poisson_number(F.col("_u")))
+    return drawn.groupBy(*keys, "b").agg(F.count(F.lit(1)).alias("n"), F.sum("_w").alias("weight"), *[F.sum(F.col("_w") * F.col(nm)).alias(nm) for nm in sums])
 
-    def mixed(s: int) -> Column:
-        low, high = F.pmod(k, F.lit(_P)), F.pmod(F.floor(k / F.lit(_P)), F.lit(_P))
-        u = F.pmod((b + 1) * 48271 + F.lit(s) + high * 69621, F.lit(_P))
-        h = F.pmod(u * (low + 7) + 12345, F.lit(_P))
-        h = F.pmod(h * F.pmod(h + 69621, F.lit(_P)), F.lit(_P))
-        h = F.pmod(h * 16807 + low, F.lit(_P))
-        return F.pmod(h * F.pmod(h + 40692, F.lit(_P)), F.lit(_P))
 
-    return F.pmod(mixed(seed) * F.lit(1 << 31) + mixed(seed + 1_000_003), n)
+def sums_for(value: str, other: str | None = None) -> dict[str, Column]:
+    """The sums from which every statistic of ``STATISTICS`` follows; NULL values count as absent."""
+    v = F.col(value)
+    used = v.isNotNull() if other is None else v.isNotNull() & F.col(other).isNotNull()
+    part = lambda c: F.when(used, c).otherwise(0.0)
+    return {"s0": part(F.lit(1.0)), "s1": part(v), "s2": part(v * v), "t1": part(F.col(other)) if other else F.lit(0.0)}
 
 
-def bootstrap_means(df: DataFrame, value: str, tie: str, n_resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """(b, mean): means of resamples with replacement, each as long as the data.
+#: A statistic as an expression over (weighted) sums: s0 count, s1 sum, s2 sum of squares, t1 sum of the other column.
+STATISTICS = {
+    "mean": lambda: F.try_divide(F.col("s1"), F.col("s0")),
+    "std": lambda: F.sqrt(F.greatest(F.try_divide(F.col("s2"), F.col("s0")) - F.pow(F.try_divide(F.col("s1"), F.col("s0")), 2), F.lit(0.0))),
+    "ratio": lambda: F.try_divide(F.col("s1"), F.col("t1")),
+    "sum": lambda: F.try_divide(F.col("s1") * F.col("n"), F.col("weight")),  # at the size of the data
+}
 
-    Resamples are generated as (resample, draw) pairs, counted per row number, and joined to the
-    data by row number; no task ever holds a whole resample.
-    """
-    ranked = row_ranks(df.select(value, tie), value, tie)
-    size = ranked.agg(F.count(F.lit(1)).alias("n"))
-    draws = (
-        ranked.select(F.col("rank").alias("k"))
-        .crossJoin(F.broadcast(size))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-        .select("b", "n", draw(F.col("b").cast("long"), F.col("k"), F.col("n"), seed).alias("rank"))
-    )
-    return (
-        draws.join(ranked.select("rank", value), "rank")
-        .groupBy("b")
-        .agg((F.sum(value) / F.max("n")).alias("mean"))
-    )
+NEEDS = {"mean": ("s0", "s1"), "std": ("s0", "s1", "s2"), "ratio": ("s1", "t1"), "sum": ("s1",)}
+
+
+def bootstrap(
+    df: DataFrame, value: str, key: str, statistic: str = "mean", other: str | None = None, keys: Sequence[str] = (), n_resamples: int = 1000, seed: int = 0
+) -> DataFrame:
+    """(keys, b, statistic) for resamples of rows with replacement: mean, sum, std (population) or ratio of ``value`` to ``other``."""
+    used = {c: v for c, v in sums_for(value, other).items() if c in NEEDS[statistic]}
+    sums = resampled(df, key, used, keys, n_resamples, seed)
+    return sums.select(*keys, "b", STATISTICS[statistic]().alias(statistic))
 
 
 def bootstrap_rows(df: DataFrame, row: str, axis: Sequence[str], value: str, n_resamples: int = 1000, seed: int = 0) -> DataFrame:
-    """(b, axis, mean): whole rows (all their bins together) resampled with replacement.
+    """(b, axis, mean): whole rows (all their bins together) resampled with replacement; ``row`` is an integer."""
+    return bootstrap(df, value, row, "mean", keys=axis, n_resamples=n_resamples, seed=seed).select("b", *axis, "mean")
 
-    A row drawn several times is counted first, so it meets its bins once per resample.
+
+def jackknife(df: DataFrame, value: str, block: Column, statistic: str = "mean", other: str | None = None, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, statistic, error, n_blocks): a statistic of all rows, and its error from leaving out one block after the other.
+
+    A replicate is the statistic of the whole sums minus the block's, so rows are summed once, before the shuffle. With a block for
+    each row it is the leave-one-out error.
     """
-    rows = df.select(row).distinct().withColumn("_tie", F.col(row))
-    ranked = row_ranks(rows, row, "_tie")
-    size = ranked.agg(F.count(F.lit(1)).alias("n"))
-    draws = (
-        ranked.select(F.col("rank").alias("k"))
-        .crossJoin(F.broadcast(size))
-        .withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-        .select("b", draw(F.col("b").cast("long"), F.col("k"), F.col("n"), seed).alias("rank"))
-        .groupBy("b", "rank")
-        .agg(F.count(F.lit(1)).alias("_times"))
-    )
-    picked = draws.join(ranked.select("rank", row), "rank")
-    cells = df.groupBy(row, *axis).agg(F.sum(value).alias("_s"), F.count(value).alias("_c"))
-    joined = picked.join(cells, row)
-    return joined.groupBy("b", *axis).agg(
-        (F.sum(F.col("_times") * F.col("_s")) / F.sum(F.col("_times") * F.col("_c"))).alias("mean")
-    )
+    names = ["n", "weight", "s0", "s1", "s2", "t1"]
+    rows = df.select(*keys, block.alias("_block"), *[c.cast("double").alias(nm) for nm, c in sums_for(value, other).items()])
+    rows = rows.withColumns({"n": F.lit(1.0), "weight": F.lit(1.0)})
+    parts = rows.groupBy(*keys, "_block").agg(*[F.sum(c).alias(c) for c in names])
+    whole = parts.groupBy(*keys).agg(*[F.sum(c).alias(f"_{c}") for c in names], F.count(F.lit(1)).alias("n_blocks"))
+    joined = parts.join(whole, list(keys)) if keys else parts.join(F.broadcast(whole))  # without keys: one row
+    left = joined.select(*keys, "n_blocks", *[(F.col(f"_{c}") - F.col(c)).alias(c) for c in names])
+    spread = left.select(*keys, "n_blocks", STATISTICS[statistic]().alias("_x")).groupBy(*keys, "n_blocks").agg(F.sqrt(F.var_pop("_x") * (F.col("n_blocks") - 1)).alias("error"))
+    full = whole.select(*keys, *[F.col(f"_{c}").alias(c) for c in names]).select(*keys, STATISTICS[statistic]().alias(statistic))
+    return full.join(spread, list(keys)) if keys else full.join(F.broadcast(spread))
 
 
 def confidence_interval(estimates: DataFrame, value: str, keys: Sequence[str] = (), confidence: float = 0.68) -> DataFrame:

@@ -411,27 +411,25 @@ def _(spark, sf):
 
 
 _NBOOT = 200
-def _draw_sql(b: str, k: str, n: str, seed: int) -> str:
-    """A row number in SQL, from two mixed values of 31 bits."""
-    p = 2147483647
 
-    def mixed(seed: int) -> str:
-        h = f"((({b} + 1) * 48271 + {seed} + ({k} // {p}) % {p} * 69621) % {p} * ({k} % {p} + 7) + 12345) % {p}"
-        h = f"(({h}) * (({h} + 69621) % {p})) % {p}"
-        h = f"(({h}) * 16807 + {k} % {p}) % {p}"
-        return f"(({h}) * (({h} + 40692) % {p})) % {p}"
 
-    return f"(({mixed(seed)}) * 2147483648 + {mixed(seed + 1_000_003)}) % {n}"
+def _number_sql(b: str, k: str, seed: int) -> str:
+    """The mixed value of a resample and a row, in SQL."""
+    p = 2147483647
+    h = f"((({b} + 1) * 48271 + {seed} + ({k} // {p}) % {p} * 69621) % {p} * ({k} % {p} + 7) + 12345) % {p}"
+    h = f"(({h}) * (({h} + 69621) % {p})) % {p}"
+    h = f"(({h}) * 16807 + {k} % {p}) % {p}"
+    return f"(({h}) * (({h} + 40692) % {p})) % {p}"
 
 
-_DRAW = f"""u as (select bt, k, n from (select unnest(range({_NBOOT})) as bt), (select row_number() over (order by y, event_id) - 1 as k, count(*) over () as n from ev)),
- h4 as (select bt, {_draw_sql('bt', 'k', 'n', 11)} as drawn from u),
- rk as (select y, row_number() over (order by y, event_id) - 1 as rank from ev),
- bm as (select bt as b, sum(y) / count(*) as mean from h4 join rk on rk.rank = h4.drawn group by all)"""
+_WEIGHT = " + ".join(f"(u >= {t})::int" for t in stats.POISSON_STEPS)
+_DRAW = f"""u as (select bt, x, y, {_number_sql('bt', 'event_id', 11)} as u from ev, (select unnest(range({_NBOOT})) as bt)),
+ w as (select bt, x, y, {_WEIGHT} as w from u),
+ bm as (select bt as b, sum(w * y) / sum(w) as mean, sqrt(greatest(sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2), 0)) as std, sum(w * y) / sum(w * x) as ratio from w group by all)"""
 
 
-def _boot(spark, sf):
-    return stats.bootstrap_means(_events(spark, sf), "y", "event_id", _NBOOT, 11)
+def _boot(spark, sf, statistic="mean", other=None):
+    return stats.bootstrap(_events(spark, sf), "y", "event_id", statistic, other, n_resamples=_NBOOT, seed=11)
 
 
 @query("g23_bootstrap_means", f"with {_EV}, {_DRAW} select cast(b as int) as b, {R('mean')} as mean from bm")
@@ -439,6 +437,16 @@ def _(spark, sf):
     return _boot(spark, sf).select("b", r("mean").alias("mean"))
 
 
+@query("g23_bootstrap_std", f"with {_EV}, {_DRAW} select cast(b as int) as b, {R('std')} as std from bm")
+def _(spark, sf):
+    return _boot(spark, sf, "std").select("b", r("std").alias("std"))
+
+
+@query("g23_bootstrap_ratio", f"with {_EV}, {_DRAW} select cast(b as int) as b, {R('ratio')} as ratio from bm")
+def _(spark, sf):
+    return _boot(spark, sf, "ratio", "x").select("b", r("ratio").alias("ratio"))
+
+
 @query(
     "g23_bootstrap_interval",
     f"with {_EV}, {_DRAW} select {R('quantile_cont(mean, 0.16)')} as ci_low, {R('quantile_cont(mean, 0.84)')} as ci_high from bm",
@@ -447,20 +455,33 @@ def _(spark, sf):
     return stats.confidence_interval(_boot(spark, sf), "mean").select(r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"))
 
 
-_DRAW2 = f"""u as (select bt, k, n from (select unnest(range(50)) as bt), (select row_number() over (order by realization) - 1 as k, count(*) over () as n from (select distinct realization from stats))),
- h4 as (select bt, {_draw_sql('bt', 'k', 'n', 5)} as drawn from u),
- rk as (select realization, row_number() over (order by realization) - 1 as rank from (select distinct realization from stats))"""
-
-
 @query(
     "g23_bootstrap_rows",
-    cte("stats").rstrip() + f", {_DRAW2} select cast(bt as int) as b, bin, {R('avg(value)')} as mean from h4 join rk on rk.rank = h4.drawn join stats using (realization) group by all",
+    cte("stats").rstrip()
+    + f""", u as (select bt, bin, value, {_number_sql('bt', 'realization', 5)} as u from stats, (select unnest(range(50)) as bt)), w as (select bt, bin, value, {_WEIGHT} as w from u)
+ select cast(bt as int) as b, bin, {R('sum(w * value) / nullif(sum(w), 0)')} as mean from w group by all""",
 )
 def _(spark, sf):
     m = stats.bootstrap_rows(b.stats(spark, sf), "realization", ["bin"], "value", 50, 5)
     return m.select("b", "bin", r("mean").alias("mean"))
 
 
+_BLOCKS = 20
+
+
+@query(
+    "g24_jackknife_std",
+    f"""with {_EV}, p as (select event_type, event_id % {_BLOCKS} as block, count(*)::double as s0, sum(y) as s1, sum(y * y) as s2 from ev group by all),
+ a as (select event_type, sum(s0) as a0, sum(s1) as a1, sum(s2) as a2, count(*) as n_blocks from p group by all),
+ l as (select event_type, n_blocks, sqrt(greatest((a2 - s2) / (a0 - s0) - pow((a1 - s1) / (a0 - s0), 2), 0)) as x from p join a using (event_type)),
+ e as (select event_type, n_blocks, sqrt(var_pop(x) * (any_value(n_blocks) - 1)) as error from l group by all)
+ select event_type, {R('sqrt(greatest(a2 / a0 - pow(a1 / a0, 2), 0))', 5)} as std, {R('error', 5)} as error, n_blocks from a join e using (event_type, n_blocks)""",
+)
+def _(spark, sf):
+    j = stats.jackknife(_events(spark, sf), "y", F.col("event_id") % _BLOCKS, "std", keys=["event_type"])
+    return j.select("event_type", r("std", 5).alias("std"), r("error", 5).alias("error"), "n_blocks")
+
+
 @query(
     "g24_jackknife",
     f"""with {_EV}, t as (select event_type, sum(y) as s, count(*) as n from ev group by all), l as (select event_type, n, (s - y) / (n - 1) as rep from ev join t using (event_type)),

@@ -59,13 +59,48 @@ def test_stack_mean_and_median_small_cases(spark):
     assert [r.stacked for r in med] == [2.0, 3.0, 4.0]
 
 
-def test_bootstrap_interval_covers_the_mean(spark):
-    v = np.random.default_rng(6).normal(5, 1, 100)
-    means = stats.bootstrap_means(frame(spark, v), "v", "k", 300, 1)
-    got = np.array([r["mean"] for r in means.collect()])
-    assert len(got) == 300
-    assert abs(got.mean() - v.mean()) < 0.05
-    assert 0.6 < got.std() / (v.std() / 10) < 1.4
+@pytest.mark.parametrize("statistic", ["mean", "std", "sum", "ratio"])
+def test_bootstrap_of_a_statistic_follows_its_sampling_spread(spark, statistic):
+    rng = np.random.default_rng(6)
+    v, x = rng.normal(5, 1, 400), rng.uniform(1, 2, 400)
+    df = spark.createDataFrame([(k, float(a), float(c)) for k, (a, c) in enumerate(zip(v, x))], "k long, v double, x double").repartition(5)
+    of = {"mean": lambda a, c: a.mean(), "std": lambda a, c: a.std(), "sum": lambda a, c: a.sum(), "ratio": lambda a, c: a.sum() / c.sum()}[statistic]
+    got = np.array([r[statistic] for r in stats.bootstrap(df, "v", "k", statistic, "x" if statistic == "ratio" else None, n_resamples=400, seed=1).collect()])
+    picks = rng.integers(0, 400, (2000, 400))
+    want = np.array([of(v[p], x[p]) for p in picks])  # multinomial resamples
+    assert len(got) == 400
+    assert abs(got.mean() - want.mean()) < 4 * want.std() / 20
+    assert 0.85 < got.std() / want.std() < 1.15
+
+
+def test_resamples_join_nothing_and_keep_rows_of_a_key_together(spark):
+    df = spark.createDataFrame([(k // 4, k % 4, float(k)) for k in range(80)], "row long, bin int, v double")
+    plan = stats.bootstrap_rows(df, "row", ["bin"], "v", 30)
+    assert "Join" not in plan._jdf.queryExecution().executedPlan().toString()
+    weights = stats.resampled(df, "row", {"s": F.col("v")}, ["bin"], 30).select("bin", "b", "weight").collect()
+    by_b = {}
+    for r in weights:
+        by_b.setdefault(r.b, set()).add(r.weight)
+    assert all(len(w) == 1 for w in by_b.values())  # every bin of a row has its weight
+
+
+def test_poisson_steps_have_mean_and_variance_one(spark):
+    d = spark.range(40_000).select(stats.poisson_number(stats.mixed_value(F.col("id") % 20, F.col("id") * 987_654_321, 3)).alias("w"))
+    r = d.agg(F.avg("w"), F.var_pop("w"), F.max("w")).first()
+    assert abs(r[0] - 1) < 0.02 and abs(r[1] - 1) < 0.04 and 6 <= r[2] <= 11
+
+
+@pytest.mark.parametrize("statistic", ["mean", "std", "ratio"])
+def test_jackknife_of_a_statistic_equals_leaving_blocks_out(spark, statistic):
+    rng = np.random.default_rng(21)
+    v, x, k = rng.normal(3, 1, 60), rng.uniform(1, 2, 60), np.arange(60)
+    df = spark.createDataFrame([(int(i), float(a), float(c)) for i, a, c in zip(k, v, x)], "k long, v double, x double")
+    of = {"mean": lambda m: v[m].mean(), "std": lambda m: v[m].std(), "ratio": lambda m: v[m].sum() / x[m].sum()}[statistic]
+    for blocks in (60, 12):
+        r = stats.jackknife(df, "v", F.col("k") % blocks, statistic, "x" if statistic == "ratio" else None).first()
+        reps = np.array([of(k % blocks != g) for g in range(blocks)])
+        assert r[statistic] == pytest.approx(of(k >= 0)) and r.n_blocks == blocks
+        assert r.error == pytest.approx(np.sqrt((blocks - 1) / blocks * ((reps - reps.mean()) ** 2).sum()))
 
 
 def test_jackknife_equals_leave_one_out(spark):
@@ -114,14 +149,6 @@ def test_interpolation_clamps(spark):
     assert got == list(np.interp([0.0, 1.5, 2.0, 3.0, 9.0], [1, 2, 4], [10, 20, 0]))
 
 
-def test_draws_reach_every_row_of_large_tables(spark):
-    n = 5_000_000_000
-    d = spark.range(20_000).select((F.col("id") * 250_000).alias("k"))
-    out = d.select(stats.draw(F.lit(3).cast("long"), F.col("k"), F.lit(n)).alias("r")).agg(F.min("r"), F.max("r"), F.avg("r"), F.countDistinct("r")).first()
-    assert 0 <= out[0] < n * 0.001 and n * 0.999 < out[1] < n
-    assert abs(out[2] / n - 0.5) < 0.02 and out[3] > 19_990
-
-
 def test_bins_from_the_data_hold_every_row(spark):
     df = spark.createDataFrame([(float(x), 1.0) for x in (3, 4, 9, 28, 28)], "x double, y double")
     assert [r["n"] for r in stats.binned_statistic(df, "x", "y", 5).orderBy("bin").collect()] == [2, 1, 0, 0, 2]
