@@ -1,45 +1,59 @@
 """One-to-one catalogue matching through shared particle ids.
 
-Counts are taken before any choice is made, and each choice is a max over a struct, so a
-halo with very many particles or partners is still reduced on the map side.
+Counts are taken before any choice is made, and each choice is a max over a struct, so a halo with very many particles or partners is still
+reduced on the map side.
+
+``keys`` names what ids are unique within, such as the run and the snapshot: everything is matched inside each of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Below these a halo takes no part in the canonical matching.
+MIN_MASS, MIN_PARTICLES = 1e12, 100
+
 
-def lookup(queries: DataFrame, members: DataFrame, key: str = "pid", value: str = "halo", missing: int = -1) -> DataFrame:
+def lookup(queries: DataFrame, members: DataFrame, key: str = "pid", value: str = "halo", missing: int = -1, keys: Sequence[str] = ()) -> DataFrame:
     """Halo of each queried id; the lowest halo where an id is listed twice, -1 where absent."""
-    table = members.groupBy(key).agg(F.min(value).alias("_v"))
-    return queries.join(table, key, "left").withColumn(value, F.coalesce("_v", F.lit(missing))).drop("_v")
+    table = members.groupBy(*keys, key).agg(F.min(value).alias("_v"))
+    return queries.join(table, [*keys, key], "left").withColumn(value, F.coalesce("_v", F.lit(missing))).drop("_v")
 
 
-def overlaps(dmo: DataFrame, hydro: DataFrame) -> DataFrame:
-    """(dmo, hydro, shared, n_dmo, n_hydro) for every pair that shares an id."""
-    n_d = dmo.groupBy(F.col("halo").alias("dmo")).agg(F.count(F.lit(1)).alias("n_dmo"))
-    n_h = hydro.groupBy(F.col("halo").alias("hydro")).agg(F.count(F.lit(1)).alias("n_hydro"))
+def overlaps(dmo: DataFrame, hydro: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, dmo, hydro, shared, n_dmo, n_hydro) for every pair that shares an id."""
+    keys = list(keys)
+    n_d = dmo.groupBy(*keys, F.col("halo").alias("dmo")).agg(F.count(F.lit(1)).alias("n_dmo"))
+    n_h = hydro.groupBy(*keys, F.col("halo").alias("hydro")).agg(F.count(F.lit(1)).alias("n_hydro"))
     shared = (
-        dmo.select("pid", F.col("halo").alias("dmo"))
-        .join(hydro.select("pid", F.col("halo").alias("hydro")), "pid")
-        .groupBy("dmo", "hydro")
+        dmo.select(*keys, "pid", F.col("halo").alias("dmo"))
+        .join(hydro.select(*keys, "pid", F.col("halo").alias("hydro")), [*keys, "pid"])
+        .groupBy(*keys, "dmo", "hydro")
         .agg(F.count(F.lit(1)).alias("shared"))
     )
-    return shared.join(n_d, "dmo").join(n_h, "hydro")
+    return shared.join(n_d, [*keys, "dmo"]).join(n_h, [*keys, "hydro"])
+
+
+def members_of(members: DataFrame, halos: DataFrame, keys: Sequence[str] = (), min_mass: float = MIN_MASS, mass: str = "mass") -> DataFrame:
+    """Member rows of the halos of at least ``min_mass``; ``halos`` has halo and its mass."""
+    heavy = halos.where(F.col(mass) >= min_mass).select(*keys, "halo")
+    return members.join(heavy, [*keys, "halo"], "left_semi")
 
 
-def _best(df: DataFrame, side: str, other: str, score: str, keep: list[str]) -> DataFrame:
+def _best(df: DataFrame, side: str, other: str, score: str, keep: list[str], keys: Sequence[str] = ()) -> DataFrame:
     """Row with the highest score per ``side``; ties to the lowest ``other``."""
-    top = df.groupBy(side).agg(
+    top = df.groupBy(*keys, side).agg(
         F.max(F.struct(F.col(score).alias("s"), (-F.col(other)).alias("o"), *[F.col(c) for c in keep])).alias("b")
     )
-    return top.select(side, (-F.col("b.o")).alias(other), *[F.col(f"b.{c}").alias(c) for c in keep])
+    return top.select(*keys, side, (-F.col("b.o")).alias(other), *[F.col(f"b.{c}").alias(c) for c in keep])
 
 
-def best_overlap(pairs: DataFrame, min_fraction: float = 0.5, min_particles: int = 0) -> DataFrame:
+def best_overlap(pairs: DataFrame, min_fraction: float = 0.5, min_particles: int = 0, keys: Sequence[str] = ()) -> DataFrame:
     """Most shared ids per DMO halo, both fractions at least ``min_fraction``, score = sqrt(f*r)."""
-    top = _best(pairs.where(F.col("n_dmo") >= min_particles), "dmo", "hydro", "shared", ["shared", "n_dmo", "n_hydro"])
+    top = _best(pairs.where(F.col("n_dmo") >= min_particles), "dmo", "hydro", "shared", ["shared", "n_dmo", "n_hydro"], keys)
     return (
         top.withColumn("forward", F.col("shared") / F.col("n_dmo"))
         .withColumn("reverse", F.col("shared") / F.col("n_hydro"))
@@ -48,25 +62,25 @@ def best_overlap(pairs: DataFrame, min_fraction: float = 0.5, min_particles: int
     )
 
 
-def one_to_one(matches: DataFrame) -> DataFrame:
+def one_to_one(matches: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Keep the best score per hydro halo, then per DMO halo; first in DMO order on ties."""
-    keep = [c for c in matches.columns if c not in ("dmo", "hydro")]
-    per_hydro = _best(matches, "hydro", "dmo", "score", keep)
-    return _best(per_hydro, "dmo", "hydro", "score", keep)
+    keep = [c for c in matches.columns if c not in ("dmo", "hydro", *keys)]
+    per_hydro = _best(matches, "hydro", "dmo", "score", keep, keys)
+    return _best(per_hydro, "dmo", "hydro", "score", keep, keys)
 
 
-def mutual_best(pairs: DataFrame, min_fraction: float = 0.5, min_particles: int = 1) -> DataFrame:
+def mutual_best(pairs: DataFrame, min_fraction: float = 0.5, min_particles: int = 1, keys: Sequence[str] = ()) -> DataFrame:
     """Pairs that choose each other; score = min of both fractions."""
     eligible = pairs.where((F.col("n_dmo") >= min_particles) & (F.col("n_hydro") >= min_particles))
-    forward = _best(eligible, "dmo", "hydro", "shared", ["shared", "n_dmo", "n_hydro"])
-    back = _best(eligible, "hydro", "dmo", "shared", [])
+    forward = _best(eligible, "dmo", "hydro", "shared", ["shared", "n_dmo", "n_hydro"], keys)
+    back = _best(eligible, "hydro", "dmo", "shared", [], keys)
     return (
-        forward.join(back, ["dmo", "hydro"])
+        forward.join(back, [*keys, "dmo", "hydro"])
         .withColumn("score", F.least(F.col("shared") / F.col("n_dmo"), F.col("shared") / F.col("n_hydro")))
         .where(F.col("score") >= min_fraction)
     )
 
 
-def match_catalogues(dmo: DataFrame, hydro: DataFrame, min_fraction: float = 0.5, min_particles: int = 0) -> DataFrame:
+def match_catalogues(dmo: DataFrame, hydro: DataFrame, min_fraction: float = 0.5, min_particles: int = 0, keys: Sequence[str] = ()) -> DataFrame:
     """Full matching: overlaps, best partner, one-to-one."""
-    return one_to_one(best_overlap(overlaps(dmo, hydro), min_fraction, min_particles))
+    return one_to_one(best_overlap(overlaps(dmo, hydro, keys), min_fraction, min_particles, keys), keys)

@@ -4,6 +4,10 @@ A ball is expanded into the ids of the cells it can touch and joined to points o
 id, with the exact minimum-image test kept in the join condition. The side of a cell is tied
 to the largest ball, so a ball expands to a bounded number of cells; no join hint is given,
 so the ball side is broadcast only when its own size allows it.
+
+Where no largest radius is named, balls are classed by powers of two of their radius, and each class has cells of its own width: a
+catalogue of very unequal balls is a union of equi-joins, in one join on class and cell. Points are repeated for the classes that occur, which a
+subquery of the same plan finds.
 """
 
 from __future__ import annotations
@@ -20,44 +24,55 @@ POINT = ("x", "y", "z")
 CENTRE = ("hx", "hy", "hz")
 
 
+#: Most halvings of the box: cell numbers then fit into 60 bits.
+LEVELS = 20
+
+
 def cells_per_side(max_radius: float, box: float = BOX_SIZE, per_radius: float = 2.0) -> int:
     """Cells along one side when a cell is ``max_radius / per_radius`` wide."""
-    return max(1, min(1024, int(per_radius * box / max_radius)))
+    return max(1, min(1 << LEVELS, int(per_radius * box / max_radius)))
+
+
+def radius_class(radius: Column, box: float = BOX_SIZE) -> Column:
+    """The power of two of cells along one side whose width is between half the radius and the radius."""
+    c = F.floor(F.log2(F.lit(2.0 * box) / F.greatest(radius, F.lit(box * 2.0**-LEVELS))))
+    return F.greatest(F.lit(0), F.least(F.lit(LEVELS), c)).cast("int")
 
 
-def largest(df: DataFrame, radius: Column) -> float:
-    """One number for the whole catalogue; it only sets the cell width."""
-    value = df.agg(F.max(radius)).first()[0]
-    return float(value) if value else 1.0
+def largest_cells(balls: DataFrame, radius: Column, box: float) -> Column:
+    """Cells along one side for the largest ball, as a subquery of the plan that uses it."""
+    n = F.floor(F.lit(2.0 * box) / F.max(radius))
+    return balls.agg(F.greatest(F.lit(1).cast("long"), F.least(F.lit(1 << LEVELS).cast("long"), F.coalesce(n, F.lit(1).cast("long")))).alias("n")).scalar()
 
 
-def point_cell(cols: tuple[str, str, str], n: int, box: float) -> Column:
+def point_cell(cols: tuple[str, str, str], n: Column, box: float) -> Column:
     """Cell of a position in [0, box)."""
-    top, c = F.lit(n - 1).cast("long"), []
+    top, c = n.cast("long") - 1, []
     for k in cols:
-        c.append(F.greatest(F.lit(0).cast("long"), F.least(top, F.floor(F.col(k) / F.lit(box / n)))))
+        c.append(F.greatest(F.lit(0).cast("long"), F.least(top, F.floor(F.col(k) / (F.lit(box) / n)))))
     return (c[0] * n + c[1]) * n + c[2]
 
 
-def expand_balls(balls: DataFrame, radius: Column, n: int, box: float, cols: tuple[str, str, str] = CENTRE) -> DataFrame:
+def expand_balls(balls: DataFrame, radius: Column, n: Column, box: float, cols: tuple[str, str, str] = CENTRE) -> DataFrame:
     """One row per touched cell and image of the ball: ``_cell`` and the image's centre _c0, _c1, _c2.
 
     A cell left of the box sees the ball's image one box further right, and so on. The image is
     settled here, on the short side, so the pair test is a plain distance.
     """
-    side = box / n
+    n = n.cast("long")
+    side = F.lit(box) / n
     reach = F.least(radius, F.lit(box / 2))
     out = balls.withColumn("_pad", reach * F.lit(1.0 + 1e-9) + F.lit(1e-9))
     gaps, ids = [], []
     for k, c in enumerate(cols):
         pos = wrap(F.col(c), box)
-        lo = F.floor((pos - F.col("_pad")) / F.lit(side))
-        hi = F.floor((pos + F.col("_pad")) / F.lit(side))
+        lo = F.floor((pos - F.col("_pad")) / side)
+        hi = F.floor((pos + F.col("_pad")) / side)
         out = out.withColumn(f"_i{k}", F.explode(F.sequence(lo, hi)))
         i = F.col(f"_i{k}")
-        out = out.withColumn(f"_c{k}", pos - F.floor(i / F.lit(n)) * F.lit(box))
-        gaps.append(F.greatest(i * F.lit(side) - pos, pos - (i + 1) * F.lit(side), F.lit(0.0)))
-        ids.append(F.pmod(i, F.lit(n)))
+        out = out.withColumn(f"_c{k}", pos - F.floor(i / n) * F.lit(box))
+        gaps.append(F.greatest(i * side - pos, pos - (i + 1) * side, F.lit(0.0)))
+        ids.append(F.pmod(i, n))
     # a ball wider than the box also reaches the corners beyond half a box
     corner = F.when(radius >= F.lit(box / 2), F.lit(box)).otherwise(F.col("_pad"))
     out = out.where(norm3(*gaps) <= corner + F.lit(1e-6))
@@ -82,25 +97,36 @@ def ball_join(
     distance: str = "d",
     offsets: bool = False,
 ) -> DataFrame:
-    """Points within ``radius`` of ball centres (``how`` = inner, left_semi or left_anti).
+    """Points within ``radius`` of ball centres (``how`` = inner, left, left_semi or left_anti).
 
     Point coordinates lie in [0, box), or are brought there with ``wrapped=False``. ``max_radius``
-    sets the cell width; a larger radius is an error. ``salt`` > 1 spreads the points of a crowded
+    sets the cell width; a larger radius is an error. Without it an inner join has a width for each class of radii, and the other kinds,
+    which need each point once, take the width of the largest ball. ``salt`` > 1 spreads the points of a crowded
     cell over that many keys, the balls being repeated for each. ``offsets`` keeps the
     displacement from the centre as dx, dy, dz.
     """
-    limit = max_radius if max_radius is not None else largest(balls, radius)
-    n = cells_per_side(limit, box)
-    ok = radius <= F.lit(limit * (1 + 1e-9))
-    checked = F.when(radius.isNull() | ok, radius).otherwise(F.raise_error(F.lit("ball radius above max_radius")))
-    left = points
+    left, right = points, balls.withColumn("_radius", radius)
     if not wrapped:
         for c in point_cols:
             left = left.withColumn(c, wrap(F.col(c), box))
-    left = left.withColumn("_cell", point_cell(point_cols, n, box))
-    right = expand_balls(balls.withColumn("_radius", checked), F.col("_radius"), n, box, centre_cols)
+    keys, classed = F.lit(True), max_radius is None and how == "inner"
+    if max_radius is not None:
+        ok = F.col("_radius").isNull() | (F.col("_radius") <= F.lit(max_radius * (1 + 1e-9)))
+        right = right.withColumn("_radius", F.when(ok, F.col("_radius")).otherwise(F.raise_error(F.lit("ball radius above max_radius"))))
+        n_left = n_right = F.lit(cells_per_side(max_radius, box)).cast("long")
+    elif classed:
+        right = right.withColumn("_bclass", radius_class(F.col("_radius"), box))
+        classes = balls.agg(F.sort_array(F.collect_set(radius_class(radius, box))).alias("c")).scalar()  # LEVELS + 1 at most
+        left = left.withColumn("_class", F.explode(classes))
+        keys = F.col("_class") == F.col("_bclass")
+        n_left, n_right = (F.pow(F.lit(2.0), F.col(c)).cast("long") for c in ("_class", "_bclass"))
+    else:
+        left, right = left.withColumn("_n", largest_cells(balls, radius, box)), right.withColumn("_bn", largest_cells(balls, radius, box))
+        n_left, n_right = F.col("_n"), F.col("_bn")
+    left = left.withColumn("_cell", point_cell(point_cols, n_left, box))
+    right = expand_balls(right, F.col("_radius"), n_right, box, centre_cols)
     right = right.withColumnRenamed("_cell", "_bcell")
-    keys = F.col("_cell") == F.col("_bcell")
+    keys = (F.col("_cell") == F.col("_bcell")) & keys if classed else F.col("_cell") == F.col("_bcell")
     if salt > 1:
         left = left.withColumn("_salt", F.pmod(F.xxhash64(*point_cols), F.lit(salt)))
         right = right.withColumn("_bsalt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
@@ -108,17 +134,17 @@ def ball_join(
     d = [F.col(p) - F.col(f"_c{k}") for k, p in enumerate(point_cols)]
     dist = norm3(*d)
     cond = keys & ((dist < F.col("_radius")) if strict else (dist <= F.col("_radius")))
-    if limit >= box / 2:  # only then can two images of one ball hold the same point
+    if max_radius is None or max_radius >= box / 2:  # only then can two images of one ball hold the same point
         for c in d:
             cond = cond & (c >= F.lit(-box / 2)) & (c < F.lit(box / 2))
     if extra is not None:
         cond = cond & extra
     out = left.join(right, cond, how)
-    if how == "inner":
+    if how in ("inner", "left"):
         out = out.withColumn(distance, dist)
         if offsets:
             out = out.withColumns(dict(zip(("dx", "dy", "dz"), d)))
-    return out.drop("_cell", "_bcell", "_radius", "_salt", "_bsalt", "_c0", "_c1", "_c2")
+    return out.drop("_cell", "_bcell", "_radius", "_salt", "_bsalt", "_c0", "_c1", "_c2", "_class", "_bclass", "_n", "_bn")
 
 
 def in_sphere(points: DataFrame, centre: tuple[float, float, float], radius: float, box: float = BOX_SIZE) -> DataFrame:

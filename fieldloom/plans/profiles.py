@@ -536,7 +536,7 @@ def _(spark, sf):
 
     # cell centres inside any ball, found from the balls outwards
     n, side = 41, 5.0
-    cells = expand_balls(b.halos(spark, sf), F.col("r200") * 5.0, n, 205.0)
+    cells = expand_balls(b.halos(spark, sf), F.col("r200") * 5.0, F.lit(n), 205.0)
     centre = lambda k: (F.floor(F.col("_cell") / (n ** (2 - k))) % n + F.lit(0.5)) * F.lit(side)
     from ..functions.geometry import min_image, norm3
 

@@ -139,6 +139,60 @@ def test_sequential_displacement_follows_the_halo_order(spark):
     assert {r.pid: r.x for r in both.collect()}[0] == pytest.approx(52 + 1.0 - 1.5)
 
 
+def test_radius_classes_test_few_pairs_and_miss_none(spark):
+    """Radii over a factor of a thousand: the pairs that meet in a cell stay within a fixed factor of those found."""
+    rng = np.random.default_rng(22)
+    points = rng.uniform(0, L, (4000, 3))
+    at = points[rng.integers(0, 4000, 300)]  # small balls sit on points, so that each finds one
+    balls = [(at[k], 0.04 * 1000 ** (k / 299)) for k in range(300)]
+    p, b = frames(spark, points, balls)
+    out = spatial.ball_join(p, b, F.col("rad"), box=L)
+    assert "first" not in out.columns and joined(out) == brute(points, balls)
+    classes = spatial.radius_class(F.col("rad"), L)
+    cells = spatial.expand_balls(b.withColumn("c", classes), F.col("rad"), F.pow(F.lit(2.0), F.col("c")).cast("long"), L)
+    at_cell = p.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(spatial.LEVELS))))
+    at_cell = at_cell.withColumn("_cell", spatial.point_cell(("x", "y", "z"), F.pow(F.lit(2.0), F.col("c")).cast("long"), L))
+    tested = at_cell.join(cells.select("c", "_cell"), ["c", "_cell"]).count()
+    assert tested < 8 * len(brute(points, balls)) and cells.groupBy("halo_id").count().agg(F.max("count")).first()[0] <= 7**3
+
+
+def test_left_join_keeps_points_in_no_ball(spark):
+    rng = np.random.default_rng(23)
+    points, balls = rng.uniform(0, L, (200, 3)), [(rng.uniform(0, L, 3), 12.0) for _ in range(6)]
+    p, b = frames(spark, points, balls)
+    for limit in (None, 12.0):
+        rows = spatial.ball_join(p, b, F.col("rad"), box=L, how="left", max_radius=limit).collect()
+        assert {(r.pid, r.halo_id) for r in rows if r.halo_id is not None} == brute(points, balls)
+        assert {r.pid for r in rows} == set(range(200)) and all((r.d is None) == (r.halo_id is None) for r in rows)
+
+
+def test_equal_ids_of_two_snapshots_stay_apart(spark):
+    """The same ids, at other places and with other members, in each snapshot."""
+    from fieldloom.operators import matching
+
+    rng = np.random.default_rng(24)
+    shape = "snap int, pid long, mass double, x double, y double, z double"
+    rows = [(s, k, 1.0, *map(float, rng.uniform(0, L, 3))) for s in (0, 1) for k in range(150)]
+    halos = [(s, h, *map(float, rng.uniform(0, L, 3)), 20.0) for s in (0, 1) for h in range(4)]
+    both, hs = spark.createDataFrame(rows, shape), spark.createDataFrame(halos, "snap int, halo_id long, hx double, hy double, hz double, rad double")
+    shift = lambda d, h=None: d * 0.1
+    for move in (
+        lambda p, h, **k: bcm.displace_additive(p, h, F.col("rad"), shift(F.col("d")), box=L, **k),
+        lambda p, h, **k: bcm.displace_sequential(p, h, F.col("rad"), "halo_id", shift, [], box=L, **k),
+    ):
+        got = sorted(tuple(r) for r in move(both, hs, ids=("snap", "pid"), within=("snap",)).collect())
+        alone = [tuple(r) for s in (0, 1) for r in move(both.where(F.col("snap") == s), hs.where(F.col("snap") == s).drop("snap")).collect()]
+        assert len(got) == 300 and np.allclose(np.array(got), np.array(sorted(alone)))
+        assert sum(a[3:] != b[3:] for a, b in zip(got, sorted(rows))) > 20
+    member = lambda shift_by: [(s, k, (k // 10 + s * shift_by) % 6, 1e13 if k < 40 else 1e11) for s in (0, 1) for k in range(60)]
+    d, h = (spark.createDataFrame(member(n), "snap int, pid long, halo long, mass double") for n in (0, 1))
+    found = {(r.snap, r.dmo, r.hydro) for r in matching.match_catalogues(d, h, keys=["snap"]).collect()}
+    assert found == {(0, k, k) for k in range(6)} | {(1, k, (k + 1) % 6) for k in range(6)}
+    heavy = matching.members_of(d, d.groupBy("snap", "halo").agg(F.max("mass").alias("mass")), ["snap"])
+    assert {(r.snap, r.dmo) for r in matching.match_catalogues(heavy, h, min_particles=10, keys=["snap"]).collect()} == {(s, k) for s in (0, 1) for k in range(4)}
+    assert matching.match_catalogues(heavy, h, min_particles=11, keys=["snap"]).count() == 0
+
+
 def test_no_nested_loop_or_cartesian_product_over_particles(spark, small):
     from fieldloom.plans import registry
 
