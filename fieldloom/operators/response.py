@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # policy for a vanishing denominator -> (limit, relative to |S_D|, result)
@@ -46,19 +46,32 @@ def ratio(num: Column, den: Column, scale: Column, policy: str = "null") -> Colu
     return F.when(ok, num / den) if fallback is None else F.when(ok, num / den).otherwise(F.lit(fallback))
 
 
+def beside_baseline(summary: DataFrame, dmo: str = "dmo", hydro: str = "hydro", axis: Sequence[str] = ("bin",)) -> DataFrame:
+    """``summary`` with the baseline's columns on every row, for bins that have both reference models.
+
+    One window over the models of a bin, so the statistics are scanned and summarised once for S_D, S_H and all S_R.
+    """
+    w = Window.partitionBy(*axis)
+    of = lambda m: F.max(F.when(F.col("model") == m, F.struct("s", "s_err", "s_std", "n_real"))).over(w)
+    out = summary.withColumns({"_D": of(dmo), "_H": of(hydro)}).where(F.col("_D").isNotNull() & F.col("_H").isNotNull())
+    names = {"s": "S_{}", "s_err": "S_{}_err", "s_std": "S_{}_std", "n_real": "n_{}"}
+    out = out.select(*summary.columns, *[F.col(f"_{x}.{c}").alias(nm.format(x)) for x in ("D", "H") for c, nm in names.items()])
+    quad = F.sqrt(F.col("S_D_err") * F.col("S_D_err") + F.col("S_H_err") * F.col("S_H_err"))
+    return out.withColumn("Delta_S", F.col("S_H") - F.col("S_D")).withColumn("Delta_S_err", quad)
+
+
 def cumulative_response(
-    summary: DataFrame, base: DataFrame, mask: float = 0.0, policy: str = "null", error: str = "absolute", axis: Sequence[str] = ("bin",),
+    summary: DataFrame, base: DataFrame | None = None, mask: float = 0.0, policy: str = "null", error: str = "absolute", axis: Sequence[str] = ("bin",),
     reference_models: Sequence[str] = ("dmo", "hydro"),
 ) -> DataFrame:
-    """F = (S_R - S_D)/(S_H - S_D) for every other model.
+    """F = (S_R - S_D)/(S_H - S_D) for every other model; without ``base``, the reference models of ``summary`` itself.
 
     error: absolute = sqrt(eR^2+eD^2)/|Delta_S|; relative = |F| times the relative errors of
     numerator and denominator in quadrature; scaled = sqrt(stdR^2+stdD^2)/|Delta_S|/sqrt(min n).
     """
-    r = summary.where(~F.col("model").isin(*reference_models)).select(
-        "model", *axis, F.col("s").alias("S_R"), F.col("s_err").alias("S_R_err"), F.col("s_std").alias("S_R_std"), F.col("n_real").alias("n_R")
-    )
-    j = r.join(base, list(axis)).withColumn("delta_S_R", F.col("S_R") - F.col("S_D"))
+    r = (beside_baseline(summary, *reference_models, axis) if base is None else summary).where(~F.col("model").isin(*reference_models))
+    r = r.withColumnsRenamed({"s": "S_R", "s_err": "S_R_err", "s_std": "S_R_std", "n_real": "n_R"})
+    j = (r if base is None else r.join(base, list(axis))).withColumn("delta_S_R", F.col("S_R") - F.col("S_D"))
     den = F.col("Delta_S")
     if mask > 0:
         den = F.when(F.abs(den / (F.abs("S_D") + F.lit(1e-30))) >= mask, den)

@@ -115,6 +115,31 @@ def _(spark, sf):
     return j.select("dmo", "hydro", r("score").alias("score"), "log_mass_dmo", "log_mass_hydro", r(sep).alias("separation"))
 
 
+_SNAPPED = """with heavy as (select s_suppkey as halo from supplier where 120 + s_suppkey % 30 >= 125),
+dm as (select distinct l_linenumber % 2 as snap, l_orderkey as pid, l_suppkey as halo from lineitem where l_suppkey in (select halo from heavy)),
+hm as (select distinct l_linenumber % 2 as snap, l_orderkey as pid, case when l_linenumber <= 5 then l_suppkey else (l_suppkey + 1) % (select count(*) from supplier) end as halo from lineitem),
+nd as (select snap, halo as dmo, count(*) as n_dmo from dm group by all), nh as (select snap, halo as hydro, count(*) as n_hydro from hm group by all),
+ov as (select d.snap, d.halo as dmo, h.halo as hydro, count(*) as shared from dm d join hm h using (snap, pid) group by all),
+fo as (select * from ov join nd using (snap, dmo) join nh using (snap, hydro) where n_dmo >= 3),
+bs as (select *, sqrt((shared / n_dmo::double) * (shared / n_hydro::double)) as score from (select *, row_number() over (partition by snap, dmo order by shared desc, hydro) as k from fo)
+ where k = 1 and shared / n_dmo::double >= 0.5 and shared / n_hydro::double >= 0.5),
+o1 as (select * from (select *, row_number() over (partition by snap, hydro order by score desc, dmo) as k2 from bs) where k2 = 1)
+"""
+
+
+@query("j09_matched_by_snapshot", _SNAPPED + f"select snap, dmo, hydro, shared, {R('score')} as score from (select *, row_number() over (partition by snap, dmo order by score desc, hydro) as k3 from o1) where k3 = 1")
+def _(spark, sf):
+    """Two snapshots with the same ids, the halos above a mass, of at least three particles."""
+    n = tables.read_table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
+    li = tables.read_table(spark, sf, "lineitem")
+    halo = F.when(F.col("l_linenumber") <= 5, F.col("l_suppkey")).otherwise((F.col("l_suppkey") + 1) % n)
+    member = lambda h: li.select((F.col("l_linenumber") % 2).alias("snap"), F.col("l_orderkey").alias("pid"), h.alias("halo")).distinct()
+    heavy = b.halos(spark, sf).select(F.col("halo_id").alias("halo"), F.pow(F.lit(10.0), F.col("log_mass")).alias("mass"))
+    dmo = matching.members_of(member(F.col("l_suppkey")), heavy, min_mass=10.0**12.4999)
+    m = matching.match_catalogues(dmo, member(halo), min_particles=3, keys=["snap"])
+    return m.select("snap", "dmo", "hydro", "shared", r("score").alias("score"))
+
+
 # customers act as the second catalogue: positions and masses from their keys
 _SECOND = """second as (select c_custkey as id2, cast((c_custkey*40087) % 205000 as double)/1000 as hx, cast((c_custkey*71993) % 205000 as double)/1000 as hy,
  cast((c_custkey*13007) % 205000 as double)/1000 as hz, cast(1 + c_custkey % 97 as double) as m2 from customer),

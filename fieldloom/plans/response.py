@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import response as resp
 from ..operators import windows
+from ..session import shared_folder
 from . import bindings as b
 from .bindings import ALPHA_EDGES, MASS_EDGES, R, cte, num, num_list, query, r
 
@@ -26,8 +27,7 @@ def _summary(spark, sf):
 
 
 def _responses(spark, sf, **kw):
-    s = _summary(spark, sf)
-    return resp.cumulative_response(s, resp.baseline(s), **kw)
+    return resp.cumulative_response(_summary(spark, sf), **kw)
 
 
 def _parsed(spark, sf, **kw):
@@ -35,13 +35,20 @@ def _parsed(spark, sf, **kw):
     return _responses(spark, sf, **kw).withColumn("m_lo", lo).withColumn("m_hi", hi).withColumn("alpha", alpha)
 
 
-def _cumulative(spark, sf, **kw):
-    c = _parsed(spark, sf, **kw).where(F.col("m_hi") == math.inf)
+def _stored(spark, sf):
+    """The responses as a table: what uses them several times scans the statistics once."""
+    out, path = _parsed(spark, sf), shared_folder(spark, "responses")
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def _cumulative(spark, sf, parsed=None, **kw):
+    c = (_parsed(spark, sf, **kw) if parsed is None else parsed).where(F.col("m_hi") == math.inf)
     return c.withColumn("m_min", F.col("m_lo")).withColumn("alpha_max", F.col("alpha"))
 
 
-def _indexed(spark, sf):
-    t = _parsed(spark, sf).where(F.col("m_hi") < math.inf)
+def _indexed(spark, sf, parsed=None):
+    t = (_parsed(spark, sf) if parsed is None else parsed).where(F.col("m_hi") < math.inf)
     return resp.tile_index(t, MASS_EDGES, ALPHA_EDGES).withColumn("dF", F.col("F"))
 
 
@@ -89,8 +96,8 @@ _PAT = f"""edges as (select cast(a as int) as mass_idx, cast(i as int) as shell_
 pat as (select c.m_min, c.alpha_max, mass_idx, shell_idx, case when a_hi <= alpha_max then 1::double else 0::double end as lam from (select distinct m_min, alpha_max from cum) c, edges where m_lo_t >= m_min)"""
 
 
-def _pattern(spark, sf):
-    configs = _cumulative(spark, sf).select("m_min", "alpha_max").distinct()
+def _pattern(spark, sf, parsed=None):
+    configs = _cumulative(spark, sf, parsed).select("m_min", "alpha_max").distinct()
     return resp.pattern(configs, MASS_EDGES, ALPHA_EDGES)
 
 
@@ -103,19 +110,20 @@ _LIN = "lin as (select m_min, alpha_max, bin, sum(lam * F) as F_lin from pat joi
 _EPS = "ep as (select c.m_min, c.alpha_max, c.bin, (c.F - l.F_lin) / nullif(c.F, 0) as epsilon from cum c join lin l on l.m_min = c.m_min and l.alpha_max = c.alpha_max and l.bin = c.bin)"
 
 
-def _lin(spark, sf):
-    return resp.additive_prediction(_pattern(spark, sf), _indexed(spark, sf))
+def _lin(spark, sf, parsed):
+    return resp.additive_prediction(_pattern(spark, sf, parsed), _indexed(spark, sf, parsed))
 
 
 @query("q05_additive_prediction", f"{_ALL}, {_PAT}, {_LIN} select m_min, alpha_max, bin, {R('F_lin')} as F_lin from lin")
 def _(spark, sf):
-    return _sel(_lin(spark, sf), ["m_min", "alpha_max", "bin"], ["F_lin"])
+    return _sel(_lin(spark, sf, _stored(spark, sf)), ["m_min", "alpha_max", "bin"], ["F_lin"])
 
 
 @query("q06_non_additivity", f"{_ALL}, {_PAT}, {_LIN}, {_EPS} select m_min, alpha_max, {R('avg(abs(epsilon))', 5)} as mean_abs_epsilon from ep group by all")
 def _(spark, sf):
-    true = _cumulative(spark, sf).select("m_min", "alpha_max", "bin", "F")
-    e = resp.mean_non_additivity(resp.non_additivity(true, _lin(spark, sf)))
+    p = _stored(spark, sf)
+    true = _cumulative(spark, sf, p).select("m_min", "alpha_max", "bin", "F")
+    e = resp.mean_non_additivity(resp.non_additivity(true, _lin(spark, sf, p)))
     return e.select("m_min", "alpha_max", r("mean_abs_epsilon", 5).alias("mean_abs_epsilon"))
 
 

@@ -190,6 +190,17 @@ def test_response_is_zero_for_dmo_and_one_for_hydro(spark):
     assert f[("b", 0)] == pytest.approx(1.0) and f[("b", 1)] == pytest.approx(1.0)
 
 
+def test_responses_scan_the_statistics_once(spark, small):
+    from fieldloom.plans import bindings
+
+    s = response.summarise(bindings.stats(spark, small))
+    one, joined = response.cumulative_response(s), response.cumulative_response(s, response.baseline(s))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(one) == 1 and scans(joined) == 3
+    rows = lambda df: sorted(map(repr, df.select(*sorted(joined.columns)).collect()))
+    assert rows(one) == rows(joined) and rows(one)
+
+
 def test_vanishing_denominator_policies(spark):
     s = response.summarise(stats_table(spark, {"dmo": [[2.0]], "hydro": [[2.0]], "r": [[3.0]]}))
     base = response.baseline(s)

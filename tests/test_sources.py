@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.constants import lens_planes
-from fieldloom.sources import config, hdf5, planes, products
+from fieldloom.sources import config, planes, products
 from fieldloom.streaming import snapshots
 
 
@@ -75,12 +75,6 @@ def test_config_expansion():
     assert c["a"]["p"] == "/d/x" and c["l"] == ["/d", 3] and c["u"] == "${nope}"
 
 
-def test_hdf5_is_gated(spark):
-    if not hdf5.AVAILABLE:
-        with pytest.raises(RuntimeError):
-            hdf5.read_snapshot(spark, "/nowhere")
-
-
 def test_stream_counts_each_chunk_once(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "t int, m double"
