@@ -266,6 +266,22 @@ def _(spark, sf):
     return products.latest_checkpoint(c, ["task"], "step", "path")
 
 
+@query(
+    "k07_resumed_state",
+    "select o_custkey as task, count(*) as n, cast(sum(cast(round(o_totalprice * 100) as bigint)) as bigint) as total, cast(max(o_orderkey % 3) as bigint) as last_step from orders group by all",
+)
+def _(spark, sf):
+    """Orders summed in three steps: a first run ends after two, a second one goes on from what it saved."""
+    orders = tables.read_table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("task"), F.lit(1).cast("long").alias("n"), F.round(F.col("o_totalprice") * 100).cast("long").alias("total"), (F.col("o_orderkey") % 3).alias("last_step")
+    )
+    sums = [F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("last_step").alias("last_step")]
+    advance = lambda state, step: state.unionByName(orders.where(F.col("last_step") == step)).groupBy("task").agg(*sums)
+    folder, start = shared_folder(spark, "state"), orders.where(F.lit(False))
+    products.resumed(start, folder, 2, advance)
+    return products.resumed(start, folder, 3, advance)
+
+
 @query(
     "k08_tracer_settings",
     cte("particles").rstrip()

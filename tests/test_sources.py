@@ -106,3 +106,26 @@ def test_partition_pruning_of_a_product(spark, tmp_path):
 
     plan = scan_types(spark.read.parquet(path), "dmo", [1])._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(sim" in plan
+
+
+def test_a_run_goes_on_from_the_last_state_saved_whole(spark, tmp_path, monkeypatch):
+    folder, seen = str(tmp_path / "state"), []
+    start = spark.createDataFrame([(k, 0) for k in range(5)], "k long, v long")
+
+    def advance(state, step):
+        seen.append(step)
+        return state.withColumn("v", F.col("v") * 10 + step)
+
+    assert products.load_state(spark, folder) is None
+    products.resumed(start, folder, 2, advance)
+    with monkeypatch.context() as m:  # stops after the table, before the record
+        m.setattr(products, "_point", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            products.resumed(start, folder, 4, advance)
+    step, state = products.load_state(spark, folder)
+    assert step == 1 and {r.v for r in state.collect()} == {1}
+    out = products.resumed(start, folder, 4, advance)
+    assert seen == [0, 1, 2, 2, 3] and sorted((r.k, r.v) for r in out.collect()) == [(k, 123) for k in range(5)]
+    assert products.resumed(start, folder, 4, advance).count() == 5 and len(seen) == 5  # nothing left to do
+    products.save_state(start, folder, 3)  # a step saved again
+    assert products.load_state(spark, folder)[0] == 3
