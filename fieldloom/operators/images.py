@@ -26,6 +26,31 @@ def valid_maps(pixels: DataFrame, keys: Sequence[str], value: str = "v") -> Data
     return pixels.join(good.select(*keys), list(keys), "left_semi")
 
 
+#: Why a map takes no part, in the order in which reasons are given.
+FAULTS = ("incomplete", "not finite", "constant")
+
+
+def map_faults(pixels: DataFrame, keys: Sequence[str], n: int, value: str = "v") -> DataFrame:
+    """(keys, fault) for every map: one of ``FAULTS``, or NULL for a good map of n x n pixels."""
+    v = F.col(value)
+    bad = v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
+    seen = pixels.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.max(bad.cast("int")).alias("_bad"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    fault = F.when(F.col("_n") < n * n, FAULTS[0]).when(F.col("_bad") == 1, FAULTS[1]).when(F.col("_hi") <= F.col("_lo"), FAULTS[2])
+    return seen.select(*keys, fault.alias("fault"))
+
+
+def ensemble(values: DataFrame, faults: DataFrame, model: str = "model") -> DataFrame:
+    """(model, statistic, bin, mean, std, n_success, n_failed and a count for each fault) over the maps of each model.
+
+    ``values`` (model, statistic, bin, value) has a row for each good map and bin of each statistic; all statistics are summed in one
+    aggregation. ``faults`` (model, fault) has a row for each map. A model without a good map keeps one row, with NULLs.
+    """
+    of = lambda f: F.count(F.when(F.col("fault") == f, 1)).alias("n_" + f.replace(" ", "_"))
+    runs = faults.groupBy(model).agg(F.count(F.when(F.col("fault").isNull(), 1)).alias("n_success"), F.count("fault").alias("n_failed"), *[of(f) for f in FAULTS])
+    sums = values.groupBy(model, "statistic", "bin").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    return runs.join(sums, model, "left")
+
+
 def standardise(pixels: DataFrame, keys: Sequence[str], value: str = "v") -> DataFrame:
     """Adds ``snr`` = (v - mean) / population std of the map."""
     st = pixels.groupBy(*keys).agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))

@@ -212,11 +212,16 @@ def hydro_members(spark: SparkSession, sf: str) -> DataFrame:
     ).distinct()
 
 
-def kappa(spark: SparkSession, sf: str) -> DataFrame:
-    """64 x 64 maps; lines that a map lacks are zero, the mean of a convergence field."""
-    e = read_table(spark, sf, "embeddings").selectExpr(
+def kappa_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lines that each map has."""
+    return read_table(spark, sf, "embeddings").selectExpr(
         "vec_id div 64 as map_id", "cast(vec_id % 64 as int) as i", "embedding"
     )
+
+
+def kappa(spark: SparkSession, sf: str) -> DataFrame:
+    """64 x 64 maps; lines that a map lacks are zero, the mean of a convergence field."""
+    e = kappa_lines(spark, sf)
     maps = e.select("map_id").distinct().select("map_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i"))
     lines = maps.join(e, ["map_id", "i"], "left")
     filled = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda j: F.coalesce(F.get("embedding", j).cast("double"), F.lit(0.0)))

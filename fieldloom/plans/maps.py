@@ -396,6 +396,37 @@ def _(spark, sf):
     return j.select("sim", "bin", r("power", 4).alias("power"), r("error", 4).alias("error"), "n_modes")
 
 
+_ENSEMBLE = {"power": ("x01_angular_spectrum", "power"), "peaks": ("x09_peaks_snr", "n"), "minima": ("x10_minima_snr", "n"), "pdf": ("g28_kappa_pdf", "pdf")}
+_MODEL = "case map_id % 3 when 0 then 'dmo' when 1 then 'hydro' else 'replace' end"
+
+
+@query(
+    "q10_ensemble_with_failures",
+    f"""with vals as ({" union all ".join(f"select map_id, '{k}' as statistic, bin, cast({c} as double) as value from ({b.ORACLES[q]}) as s_{k}" for k, (q, c) in _ENSEMBLE.items())}),
+ fl as (select vec_id // 64 as map_id, case when count(*) < 64 then 'incomplete' when max(case when (vec_id // 64) % 3 = 0 and vec_id % 64 = 0 then 1 else 0 end) = 1 then 'not finite' when any_value((vec_id // 64) % 5) = 1 then 'constant' end as fault from embeddings group by all),
+ runs as (select {_MODEL} as model, count(*) filter (fault is null) as n_success, count(fault) as n_failed, count(*) filter (fault = 'incomplete') as n_incomplete, count(*) filter (fault = 'not finite') as n_not_finite, count(*) filter (fault = 'constant') as n_constant from fl group by all),
+ sums as (select {_MODEL} as model, statistic, bin, avg(value) as mean, stddev_pop(value) as std from vals where map_id in (select map_id from fl where fault is null) group by all)
+ select model, n_success, n_failed, n_incomplete, n_not_finite, n_constant, statistic, bin, {R('mean', 9)} as mean, {R('std', 9)} as std from runs left join sums using (model)""",
+)
+def _(spark, sf):
+    """Maps as they were read: lines that are absent stay absent, one pixel of some is NaN, some are constant."""
+    raw = b.kappa_lines(spark, sf).select("map_id", "i", F.posexplode("embedding").alias("j", "v")).withColumn("v", F.col("v").cast("double"))
+    broken = F.when((F.col("map_id") % 3 == 0) & (F.col("i") == 0) & (F.col("j") == 0), F.lit(float("nan")))
+    raw = raw.withColumn("v", broken.when(F.col("map_id") % 5 == 1, F.lit(0.5)).otherwise(F.col("v")))
+    faults = images.map_faults(raw, K, N)
+    good = b.kappa(spark, sf).join(faults.where(F.col("fault").isNull()), K, "left_semi")
+    long = lambda df, k, c: df.select("map_id", F.lit(k).alias("statistic"), "bin", F.col(c).cast("double").alias("value"))
+    parts = [
+        long(_spec(spectra.angular_spectrum(good, K, N), K, 10), "power", "power"),
+        long(images.peak_counts_snr(good, K, N, SNR, SIGMA, RMS), "peaks", "n"),
+        long(images.peak_counts_snr(good, K, N, NEG, SIGMA, RMS, "min"), "minima", "n"),
+        long(images.value_pdf(good, K, N, PDF, SIGMA).select("map_id", "bin", r("pdf").alias("pdf")), "pdf", "pdf"),
+    ]
+    values = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    e = images.ensemble(values.withColumn("model", F.expr(_MODEL)), faults.withColumn("model", F.expr(_MODEL)))
+    return e.select("model", "n_success", "n_failed", "n_incomplete", "n_not_finite", "n_constant", "statistic", "bin", r("mean", 9).alias("mean"), r("std", 9).alias("std"))  # half units of rounded bins are no ties at nine digits
+
+
 # --- lensing ---------------------------------------------------------------------
 
 _KU = 2 * math.pi / 205.0

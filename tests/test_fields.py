@@ -178,6 +178,21 @@ def test_maps_with_nan_or_no_variance_are_left_out(spark):
     assert kept == {2}
 
 
+def test_ensemble_counts_failures_by_reason(spark):
+    good = np.arange(16.0).reshape(4, 4)
+    nan = good.copy()
+    nan[1, 1] = np.nan
+    df = field(spark, [good, good + 1, nan, np.ones((4, 4)), good[:3], nan[:2]])
+    faults = images.map_faults(df, ["map_id"], 4)
+    assert {r.map_id: r.fault for r in faults.collect()} == {0: None, 1: None, 2: "not finite", 3: "constant", 4: "incomplete", 5: "incomplete"}
+    model = F.when(F.col("map_id") == 5, "b").otherwise("a")
+    values = spark.createDataFrame([("a", "peaks", 0, 1.0), ("a", "peaks", 0, 3.0), ("a", "pdf", 0, 2.0)], "model string, statistic string, bin int, value double")
+    rows = {(r.model, r.statistic): r for r in images.ensemble(values, faults.withColumn("model", model)).collect()}
+    a, none = rows["a", "peaks"], rows["b", None]
+    assert (a["mean"], a["std"], a.n_success, a.n_failed, a.n_incomplete, a.n_not_finite, a.n_constant) == (2.0, 1.0, 2, 3, 1, 1, 1)
+    assert none["mean"] is None and (none.n_success, none.n_failed, none.n_incomplete) == (0, 1, 1)
+
+
 def stats_table(spark, values):
     rows = [(m, k, b, float(v)) for m, per in values.items() for k, vec in enumerate(per) for b, v in enumerate(vec)]
     return spark.createDataFrame(rows, "model string, realization int, bin int, value double")
