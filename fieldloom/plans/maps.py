@@ -406,7 +406,7 @@ _MODEL = "case map_id % 3 when 0 then 'dmo' when 1 then 'hydro' else 'replace' e
  fl as (select vec_id // 64 as map_id, case when count(*) < 64 then 'incomplete' when max(case when (vec_id // 64) % 3 = 0 and vec_id % 64 = 0 then 1 else 0 end) = 1 then 'not finite' when any_value((vec_id // 64) % 5) = 1 then 'constant' end as fault from embeddings group by all),
  runs as (select {_MODEL} as model, count(*) filter (fault is null) as n_success, count(fault) as n_failed, count(*) filter (fault = 'incomplete') as n_incomplete, count(*) filter (fault = 'not finite') as n_not_finite, count(*) filter (fault = 'constant') as n_constant from fl group by all),
  sums as (select {_MODEL} as model, statistic, bin, avg(value) as mean, stddev_pop(value) as std from vals where map_id in (select map_id from fl where fault is null) group by all)
- select model, n_success, n_failed, n_incomplete, n_not_finite, n_constant, statistic, bin, {R('mean', 9)} as mean, {R('std', 9)} as std from runs left join sums using (model)""",
+ select model, n_success, n_failed, n_incomplete, n_not_finite, n_constant, statistic, bin, {R('mean', 11)} as mean, {R('std', 11)} as std from runs left join sums using (model)""",
 )
 def _(spark, sf):
     """Maps as they were read: lines that are absent stay absent, one pixel of some is NaN, some are constant."""
@@ -424,7 +424,7 @@ def _(spark, sf):
     ]
     values = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
     e = images.ensemble(values.withColumn("model", F.expr(_MODEL)), faults.withColumn("model", F.expr(_MODEL)))
-    return e.select("model", "n_success", "n_failed", "n_incomplete", "n_not_finite", "n_constant", "statistic", "bin", r("mean", 9).alias("mean"), r("std", 9).alias("std"))  # half units of rounded bins are no ties at nine digits
+    return e.select("model", "n_success", "n_failed", "n_incomplete", "n_not_finite", "n_constant", "statistic", "bin", r("mean", 11).alias("mean"), r("std", 11).alias("std"))  # half units of rounded bins are no ties at eleven digits
 
 
 # --- lensing ---------------------------------------------------------------------
