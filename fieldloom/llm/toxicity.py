@@ -111,22 +111,21 @@ def weights(counts: DataFrame) -> np.ndarray:
 
 
 def segments(x: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments of ``x`` as (first, after the last, score), in one pass: each keeps the sums before and after it, and
-    joins back to the latest one that started lower as long as its own end is higher."""
+    """All maximal scoring segments of ``x`` as (first, after the last, score), in linear time: each keeps the sums before and after it, and
+    joins back to the latest one that started lower as long as its own end is higher. A segment also keeps where that one stands: all between
+    start no lower than itself, so a later search that passes it need not look at them."""
     sums = np.concatenate([[0.0], np.cumsum(x)])
-    found: list[list[float]] = []  # start, end, sum before, sum at the end
+    found: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum at the end, place of the latest one that starts lower
     for i in np.flatnonzero(x > 0).tolist():
-        start, end, lo, hi = i, i + 1, float(sums[i]), float(sums[i + 1])
-        while True:
-            k = len(found) - 1
-            while k >= 0 and found[k][2] >= lo:
-                k -= 1
-            if k < 0 or found[k][3] >= hi:
-                found.append([start, end, lo, hi])
-                break
-            start, lo = found[k][0], found[k][2]
+        start, lo, hi, k = i, float(sums[i]), float(sums[i + 1]), len(found) - 1
+        while k >= 0 and found[k][2] >= lo:
+            k = found[k][4]
+        while k >= 0 and found[k][3] < hi:
+            start, lo, before = found[k][0], found[k][2], found[k][4]
             del found[k:]
-    return [(int(s), int(e), hi - lo) for s, e, lo, hi in found]
+            k = before
+        found.append((start, i + 1, lo, hi, k))
+    return [(s, e, hi - lo) for s, e, lo, hi, _ in found]
 
 
 def word_scores(codes: list[np.ndarray], w: np.ndarray) -> np.ndarray:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -401,6 +402,26 @@ def test_segments_are_maximal():
         assert [s[:2] for s in toxicity.segments(x)] == plain(x, 0, len(x))
 
 
+@pytest.mark.parametrize("shape", ["falling", "rising", "nested"])
+def test_the_segment_scan_is_linear(shape):
+    def hits(n):
+        x = np.empty(2 * n)
+        x[0::2] = 1.0
+        x[1::2] = {"falling": -2.0, "rising": -0.5, "nested": -1.0}[shape]
+        return x
+
+    def seconds(n):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            toxicity.segments(hits(n))
+            took.append(time.process_time() - start)
+        return min(took)
+
+    assert seconds(160_000) < 24 * seconds(20_000)  # eight times the hits, and caches that no longer hold them; a scan back over all earlier ones takes sixty-four times as long
+    assert len(toxicity.segments(hits(1000))) == (1 if shape == "rising" else 1000)
+
+
 def test_toxicity_is_learned(spark, docs, empty):
     rng = random.Random(3)
     labelled = []
