@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import BOX_SIZE, DM_PARTICLE_MASS, LENS_PLANE_REDSHIFTS, SNAPSHOT_ORDER
+from ..constants import BOX_SIZE, DM_PARTICLE_MASS, LENS_PLANE_REDSHIFTS, SNAPSHOT_ORDER, lens_planes
 from ..operators import gridding, lensing
 from ..operators.spatial import ball_join
 from ..session import shared_folder
@@ -216,8 +216,11 @@ def _(spark, sf):
  select map_id, list_position({_P5}, field) - 1 + 5 * (j + {MAP} * cast(i as bigint)) as position, {R('re * 1e6')} as value from bk""",
 )
 def _(spark, sf):
-    p = lensing.potential_derivatives(b.kappa(spark, sf), ["map_id"], MAP)
-    return planes.interleave(p, ["map_id"], MAP).select("map_id", "position", r(F.col("value") * 1e6).alias("value"))
+    folder = shared_folder(spark, "potentials")
+    p = lensing.potential_derivatives(b.kappa(spark, sf), ["map_id"], MAP).withColumn("file", F.concat(F.col("map_id").cast("string"), F.lit(".dat")))
+    planes.write_planes(p, folder, "file", MAP, planes.FIELDS).write.mode("overwrite").parquet(f"{folder}-log")
+    back = planes.positions(planes.read_planes(spark, f"{folder}/*.dat", len(planes.FIELDS), MAP), components=len(planes.FIELDS))
+    return back.select(F.regexp_extract("path", r"(\d+)\.dat$", 1).cast("long").alias("map_id"), "position", r(F.col("value") * 1e6).alias("value"))
 
 
 _PL = ", ".join(f"({k + 1}, {num(102.5 * (k + 0.5))}, {num(z)}, {SNAPSHOT_ORDER[k // 2]})" for k, z in enumerate(LENS_PLANE_REDSHIFTS))
@@ -233,6 +236,23 @@ def _(spark, sf):
     return g.select("plane", "chi_lens", r(F.lit(1.0) / (F.col("z_lens") + 1.0), 8).alias("a"), "snap", F.coalesce("n", F.lit(0)).alias("n_files"))
 
 
+_PS = ", ".join(f"({p}, {num(c)}, {num(z)}, {num(s)})" for p, c, z, s, _ in lens_planes())
+
+
+@query(
+    "k03_geometry_record",
+    cte("existing").rstrip() + f""", g(plane, chi_lens, z_lens, chi_source) as (values {_PS}), e as (select distinct lp, plane + 1 as plane from existing)
+ select lp, cast(row_number() over (partition by lp order by plane) - 1 as int) as k, {R('1 / (1 + z_lens)', 8)} as a, chi_lens, chi_source from e join g using (plane)""",
+)
+def _(spark, sf):
+    folder = shared_folder(spark, "geometry")
+    e = b.existing(spark, sf).select("lp", (F.col("plane") + 1).alias("plane")).distinct()
+    held = e.join(plane_table(spark), "plane").withColumn("file", F.concat(F.col("lp").cast("string"), F.lit(".dat")))
+    planes.write_geometry(held, folder, "file", BOX_SIZE).write.mode("overwrite").parquet(f"{folder}-log")
+    back = planes.geometry_planes(spark, f"{folder}/*.dat").withColumn("lp", F.regexp_extract("path", r"(\d+)\.dat$", 1).cast("long"))
+    return back.select("lp", "k", r("a", 8).alias("a"), "chi_lens", "chi_source")
+
+
 @query("k04_partitioned_product", cte("summary") + f"select model, bin, {R('case when model = chr(100) || chr(109) || chr(111) then s * 2 else s end', 4)} as value from summary")
 def _(spark, sf):
     from ..operators.response import summarise

@@ -1,10 +1,14 @@
-"""Binary plane files: int32 n, float64 n*n (or 5*n*n interleaved), int32 n."""
+"""Binary plane files (int32 n, float64 n*n or 5*n*n interleaved, int32 n), FITS images and geometry records.
+
+Planes and images are written and read by ranges of lines, so a task holds one block of about ``BLOCK`` values, whatever the size of the grid.
+"""
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,50 +16,102 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROW_BLOCK = 64
+#: Values of a block, about.
+BLOCK = 1 << 20
 FIELDS = ("psi_x", "psi_y", "psi_xx", "psi_xy", "psi_yy")
 
 
-def read_planes(spark: SparkSession, path: str, components: int = 1, expected: int | None = None) -> DataFrame:
-    """(path, n, i, values, error): one row per grid line, ``values`` in file order.
+def _opened(where: str) -> tuple:
+    """File system and path, for any place Arrow knows."""
+    from pyarrow import fs
 
-    A file whose header, footer or length disagree gives one row with ``error`` set instead of
-    failing the job. Files are read by the tasks; a task handles one file at a time. Spark lists no
-    empty files, so those show up as absent when the result is compared with what was expected.
-    """
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if where.startswith("file:"):
+        where = "/" + where[5:].lstrip("/")
+    elif where.startswith("s3a:"):
+        where = "s3" + where[3:]
+    return fs.FileSystem.from_uri(where)
+
+
+def _bytes(where: str, ranges: Sequence[tuple[int, int]]) -> list[bytes]:
+    """Parts (offset, length) of a file."""
+    system, path = _opened(where)
+    with system.open_input_file(path) as f:
+        return [f.read_at(length, offset) for offset, length in ranges]
+
+
+def block_lines(n: int, components: int = 1) -> int:
+    """Grid lines in a block."""
+    return max(1, BLOCK // (n * components))
+
+
+_RANGES = "path string, n int, i int, height int, start long, error string, kind string, scale double, zero double"
+
+
+def _read_ranges(spark: SparkSession, path: str, layout: Callable[[str, int], dict], components: int) -> DataFrame:
+    """(path, n, i, values, error) of all files: ``layout`` looks at a file's ends, and its lines are then read block by block, each block where
+    the shuffle puts it. No task holds more than a block."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")  # without their content
+
+    def plan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, length in zip(batch["path"], batch["length"]):
+                f = {"height": 0, "start": 0, "error": None, "kind": "<f8", "scale": 1.0, "zero": 0.0} | layout(name, int(length))
+                lines = block_lines(max(f["n"], 1), components)
+                total = f.pop("lines", 0)
+                firsts = [-1] if f["error"] else range(0, total, lines)
+                width = components * f["n"] * np.dtype(f["kind"]).itemsize
+                rows = [
+                    f | {"path": name, "i": i, "height": 0 if i < 0 else min(lines, total - i), "start": f["start"] + max(i, 0) * width} for i in firsts
+                ]
+                for k in range(0, len(rows), 1024):
+                    yield pd.DataFrame(rows[k : k + 1024], columns=["path", "n", "i", "height", "start", "error", "kind", "scale", "zero"])
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                n, error = 0, None
-                if len(content) < 8:
-                    error = "file too short"
-                else:
-                    n = int(np.frombuffer(content[:4], dtype="<i4")[0])
-                    foot = int(np.frombuffer(content[-4:], dtype="<i4")[0])
-                    if n != foot:
-                        error = f"header {n} != footer {foot}"
-                    elif expected is not None and n != expected:
-                        error = f"grid {n} != expected {expected}"
-                    elif len(content) != 8 + 8 * components * n * n:
-                        error = f"length {len(content)} does not fit grid {n}"
-                if error:
-                    yield pd.DataFrame({"path": [name], "n": [n], "i": [-1], "values": [[]], "error": [error]})
+            for f in batch.itertuples(index=False):
+                if f.i < 0:
+                    yield pd.DataFrame({"path": [f.path], "n": [f.n], "i": [-1], "values": [[]], "error": [f.error]})
                     continue
-                data = np.frombuffer(content, dtype="<f8", count=components * n * n, offset=4).reshape(n, components * n)
-                for start in range(0, n, ROW_BLOCK):
-                    rows = range(start, min(n, start + ROW_BLOCK))
-                    yield pd.DataFrame(
-                        {
-                            "path": [name] * len(rows),
-                            "n": [n] * len(rows),
-                            "i": list(rows),
-                            "values": [data[r] for r in rows],
-                            "error": [None] * len(rows),
-                        }
-                    )
-
-    return files.mapInPandas(parse, "path string, n int, i int, values array<double>, error string")
+                width = components * f.n
+                (content,) = _bytes(f.path, [(f.start, f.height * width * np.dtype(f.kind).itemsize)])
+                data = np.frombuffer(content, f.kind).reshape(f.height, width).astype("f8") * f.scale + f.zero
+                for s in range(0, f.height, ROW_BLOCK):
+                    part = data[s : s + ROW_BLOCK]
+                    yield pd.DataFrame({"path": f.path, "n": f.n, "i": np.arange(s, s + len(part)) + f.i, "values": list(part), "error": None})
+
+    blocks = files.mapInPandas(plan, _RANGES).repartition("path", "i")
+    return blocks.mapInPandas(parse, "path string, n int, i int, values array<double>, error string")
+
+
+def read_planes(spark: SparkSession, path: str, components: int = 1, expected: int | None = None) -> DataFrame:
+    """(path, n, i, values, error): one row per grid line, ``values`` in file order.
+
+    A file whose header, footer or length disagree gives one row with ``error`` set instead of failing the job. Files are read by ranges of
+    lines, so a file larger than a task's memory is no obstacle. Spark lists no empty files, so those show up as absent when the result is
+    compared with what was expected.
+    """
+
+    def layout(name: str, length: int) -> dict:
+        if length < 8:
+            return {"n": 0, "error": "file too short"}
+        n, foot = (int(np.frombuffer(x, "<i4")[0]) for x in _bytes(name, [(0, 4), (length - 4, 4)]))
+        if n != foot:
+            error = f"header {n} != footer {foot}"
+        elif expected is not None and n != expected:
+            error = f"grid {n} != expected {expected}"
+        elif length != 8 + 8 * components * n * n:
+            error = f"length {length} does not fit grid {n}"
+        else:
+            error = None
+        return {"n": n, "lines": n, "start": 4, "error": error}
+
+    return _read_ranges(spark, path, layout, components)
+
+
+def positions(lines: DataFrame, keys: Sequence[str] = ("path",), components: int = 1) -> DataFrame:
+    """(keys, position, value): lines as single numbers by their place in the file."""
+    flat = lines.where(F.col("error").isNull()).select(*keys, "n", "i", F.posexplode("values").alias("p", "value"))
+    return flat.select(*keys, (F.col("p") + F.lit(components) * F.col("n").cast("long") * F.col("i")).alias("position"), "value")
 
 
 def to_pixels(lines: DataFrame, keys: Sequence[str] = ("path",)) -> DataFrame:
@@ -76,38 +132,55 @@ def interleave(pixels: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     return spread.select(*keys, (F.col("f") + 5 * (F.col("j") + F.lit(n).cast("long") * F.col("i"))).alias("position"), "value")
 
 
-def write_planes(pixels: DataFrame, folder: str, name: str, n: int, values: Sequence[str] = ("v",)) -> DataFrame:
-    """Write one binary file per ``name`` value (a path below ``folder``); returns the file list.
+def _write_ranges(pixels: DataFrame, folder: str, name: str, n: int, values: Sequence[str], head: bytes, tail: bytes, kind: str, suffix: str) -> DataFrame:
+    """(file, pixels): each block of lines is written by a task of its own, as a part that is named by its offset; the list of a file's parts
+    then goes to one task, which streams them into the file, part by part. Lines without pixels are zero. The file takes its name at the
+    end, and a part written twice is the same, so retried tasks leave nothing half done. The parts stay in ``folder``-parts."""
+    comps, lines = len(values), block_lines(n, len(values))
+    size = np.dtype(kind).itemsize * comps * n
+
+    def part(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(keys[1])
+        data = np.zeros((min(lines, n - first), n, comps))
+        data[pdf["i"].to_numpy() - first, pdf["j"].to_numpy()] = pdf[list(values)].to_numpy()
+        where = store(f"{folder}-parts", f"{keys[0]}{suffix}/{len(head) + size * first}", data.astype(kind).tobytes())
+        return pd.DataFrame({"file": [f"{keys[0]}{suffix}"], "first": [first], "part": [where], "pixels": [len(pdf)]})
+
+    def whole(keys: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+        system, path = _opened(f"{folder.rstrip('/')}/{keys[0]}")
+        system.create_dir(os.path.dirname(path), recursive=True)
+        partial = f"{path}.{uuid.uuid4().hex}.part"
+        at = dict(zip(parts["first"].tolist(), parts["part"].tolist(), strict=True))
+        with system.open_output_stream(partial) as out:
+            out.write(head)
+            for first in range(0, n, lines):
+                length = size * min(lines, n - first)
+                out.write(_bytes(at[first], [(0, length)])[0] if first in at else bytes(length))
+            out.write(tail)
+        system.move(partial, path)
+        return pd.DataFrame({"file": [path], "pixels": [int(parts["pixels"].sum())]})
+
+    first = (F.floor(F.col("i") / lines) * lines).cast("int").alias("first")
+    parts = pixels.select(name, first, "i", "j", *values).groupBy(name, "first").applyInPandas(part, "file string, first int, part string, pixels long")
+    return parts.groupBy("file").applyInPandas(whole, "file string, pixels long")
 
-    A file is one plane of n*n pixels, a size fixed by the format. It is written next to its
-    target and renamed at the end, so a retried task leaves no half-written file.
-    """
-    comps = len(values)
 
-    def write(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros((n, n, comps))
-        data[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf[list(values)].to_numpy()
-        mark = np.array([n], dtype="<i4").tobytes()
-        target = store(folder, str(keys[0]), mark + data.astype("<f8").tobytes() + mark)
-        return pd.DataFrame({"file": [target], "pixels": [len(pdf)]})
-
-    return pixels.select(name, "i", "j", *values).groupBy(name).applyInPandas(write, "file string, pixels long")
+def write_planes(pixels: DataFrame, folder: str, name: str, n: int, values: Sequence[str] = ("v",)) -> DataFrame:
+    """Write one binary file per ``name`` value (a path below ``folder``), its components interleaved; returns (file, pixels)."""
+    mark = np.array([n], dtype="<i4").tobytes()
+    return _write_ranges(pixels, folder, name, n, values, mark, mark, "<f8", "")
 
 
 def store(folder: str, name: str, content: bytes) -> str:
-    """Put one file into a folder on any file system Arrow knows, whole or not at all."""
-    from pyarrow import fs
-
+    """Put one file into a folder on any file system Arrow knows, whole or not at all; returns where it is."""
     where = f"{folder.rstrip('/')}/{name}"
-    if where.startswith("file:"):
-        where = "/" + where[5:].lstrip("/")
-    system, path = fs.FileSystem.from_uri(where)
+    system, path = _opened(where)
     system.create_dir(os.path.dirname(path), recursive=True)
     partial = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(partial) as out:
         out.write(content)
     system.move(partial, path)
-    return path
+    return where
 
 
 # --- FITS primary images ---------------------------------------------------------
@@ -116,64 +189,50 @@ _BLOCK = 2880
 _FITS_TYPES = {-64: ">f8", -32: ">f4", 32: ">i4", 16: ">i2"}
 
 
-def fits_bytes(image: np.ndarray) -> bytes:
-    """One two-dimensional float64 image as a FITS primary unit."""
-    ny, nx = image.shape
-    cards = [("SIMPLE", "T"), ("BITPIX", "-64"), ("NAXIS", "2"), ("NAXIS1", str(nx)), ("NAXIS2", str(ny))]
+def fits_header(shape: tuple[int, int]) -> bytes:
+    """The header of a two-dimensional float64 image as a FITS primary unit."""
+    cards = [("SIMPLE", "T"), ("BITPIX", "-64"), ("NAXIS", "2"), ("NAXIS1", str(shape[1])), ("NAXIS2", str(shape[0]))]
     head = "".join(f"{k:<8}= {v:>20}".ljust(80) for k, v in cards) + "END".ljust(80)
-    head = head.ljust(-(-len(head) // _BLOCK) * _BLOCK)
-    body = image.astype(">f8").tobytes()
-    return head.encode("ascii") + body.ljust(-(-len(body) // _BLOCK) * _BLOCK, b"\0")
+    return head.ljust(-(-len(head) // _BLOCK) * _BLOCK).encode("ascii")
 
 
-def fits_image(content: bytes) -> np.ndarray:
-    """Primary image of a FITS file, scaled by BSCALE and BZERO."""
+def fits_cards(block: Callable[[int], bytes]) -> tuple[dict[str, str], int]:
+    """The cards of a primary header and the offset of its data; ``block`` gives the k-th block of the file."""
     cards: dict[str, str] = {}
-    pos, done = 0, False
-    while not done:
-        block = content[pos : pos + _BLOCK].decode("ascii")
-        if len(block) < _BLOCK:
+    for k in itertools.count():
+        text = block(k).decode("ascii", "replace")
+        if len(text) < _BLOCK:
             raise ValueError("FITS header has no END")
-        pos += _BLOCK
-        for k in range(0, _BLOCK, 80):
-            card = block[k : k + 80]
-            if card.startswith("END"):
-                done = True
-                break
+        for c in range(0, _BLOCK, 80):
+            card = text[c : c + 80]
+            if card[:8].strip() == "END":
+                return cards, (k + 1) * _BLOCK
             if card[8:10] == "= ":
                 cards[card[:8].strip()] = card[10:].split("/")[0].strip()
-    kind = _FITS_TYPES[int(cards["BITPIX"])]
-    shape = tuple(int(cards[f"NAXIS{d}"]) for d in range(int(cards["NAXIS"]), 0, -1))
-    data = np.frombuffer(content, dtype=kind, count=int(np.prod(shape)), offset=pos).reshape(shape)
-    return data.astype("f8") * float(cards.get("BSCALE", 1)) + float(cards.get("BZERO", 0))
 
 
 def read_fits(spark: SparkSession, path: str) -> DataFrame:
-    """(path, i, values): one row per image line."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """(path, n, i, values, error): one row per image line of ``n`` values, scaled by BSCALE and BZERO. Read by ranges, like planes; a file
+    without a two-dimensional primary image of its length gives a row with ``error`` set."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, content in zip(batch["path"], batch["content"]):
-                image = fits_image(content)
-                for start in range(0, len(image), ROW_BLOCK):
-                    part = image[start : start + ROW_BLOCK]
-                    yield pd.DataFrame(
-                        {"path": [name] * len(part), "i": list(range(start, start + len(part))), "values": list(part)}
-                    )
+    def layout(name: str, length: int) -> dict:
+        try:
+            cards, start = fits_cards(lambda k: _bytes(name, [(k * _BLOCK, _BLOCK)])[0])
+            nx, ny = (int(cards[f"NAXIS{d}"]) for d in (1, 2))
+            kind = _FITS_TYPES[int(cards["BITPIX"])]
+            if cards["NAXIS"] != "2" or length < start + nx * ny * np.dtype(kind).itemsize:
+                raise ValueError(f"length {length} does not fit the image")
+            scale, zero = (float(cards.get(c, d)) for c, d in (("BSCALE", 1), ("BZERO", 0)))
+        except (KeyError, ValueError) as e:
+            return {"n": 0, "error": f"not a FITS image: {e}"}
+        return {"n": nx, "lines": ny, "start": start, "kind": kind, "scale": scale, "zero": zero}
 
-    return files.mapInPandas(parse, "path string, i int, values array<double>")
+    return _read_ranges(spark, path, layout, 1)
 
 
 def write_fits(pixels: DataFrame, folder: str, name: str, n: int, value: str = "v") -> DataFrame:
     """One FITS file per map of n*n pixels."""
-
-    def write(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        data = np.zeros((n, n))
-        data[pdf["i"].to_numpy(), pdf["j"].to_numpy()] = pdf[value].to_numpy()
-        return pd.DataFrame({"file": [store(folder, f"{keys[0]}.fits", fits_bytes(data))], "pixels": [len(pdf)]})
-
-    return pixels.select(name, "i", "j", value).groupBy(name).applyInPandas(write, "file string, pixels long")
+    return _write_ranges(pixels, folder, name, n, [value], fits_header((n, n)), bytes(-8 * n * n % _BLOCK), ">f8", ".fits")
 
 
 def geometry_bytes(planes: Sequence[tuple], transforms: Sequence[tuple], box: float) -> bytes:
@@ -195,3 +254,44 @@ def geometry_bytes(planes: Sequence[tuple], transforms: Sequence[tuple], box: fl
         np.repeat(np.array([t[4] for t in transforms], dtype=np.bool_), 3),
     ]
     return b"".join(p.tobytes() for p in parts)
+
+
+def read_geometry(content: bytes) -> dict[str, np.ndarray]:
+    """The fields of a geometry record."""
+    n_p, n_s = np.frombuffer(content, "<i4", 2).tolist()
+    fields = [("a", "<f8", n_p + 1), ("chi", "<f8", n_p + 1), ("chi_out", "<f8", n_p), ("box", "<f8", n_s), ("box_out", "<f8", n_s)]
+    fields += [("direction", "<i4", n_s), ("shift", "<f8", 3 * n_s), ("flip", "?", 3 * n_s)]
+    out, at = {}, 8
+    for field, kind, count in fields:
+        out[field] = np.frombuffer(content, kind, count, at)
+        at += out[field].nbytes
+    if at != len(content):
+        raise ValueError(f"record of {len(content)} bytes, {at} expected")
+    return out | {"shift": out["shift"].reshape(-1, 3), "flip": out["flip"].reshape(-1, 3)}
+
+
+def write_geometry(planes: DataFrame, folder: str, name: str, box: float) -> DataFrame:
+    """One geometry record per ``name`` value, of its planes (plane, chi_lens, z_lens, chi_source, z_source), which a light cone has few of; returns
+    (file, planes). Repeated planes count once."""
+    columns = ("plane", "chi_lens", "z_lens", "chi_source", "z_source")
+    held = planes.groupBy(F.col(name).cast("string").alias("name")).agg(F.sort_array(F.collect_set(F.struct(*columns))).alias("planes"))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [[tuple(p[c] for c in columns) for p in ps] for ps in b["planes"]]
+            yield pd.DataFrame({"file": [store(folder, k, geometry_bytes(r, [], box)) for k, r in zip(b["name"], rows, strict=True)], "planes": [len(r) for r in rows]})
+
+    return held.mapInPandas(write, "file string, planes int")
+
+
+def geometry_planes(spark: SparkSession, path: str) -> DataFrame:
+    """(path, k, a, chi_lens, chi_source): the planes of geometry records, in their order; entry 0, the observer, is left out."""
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"], strict=True):
+                g = read_geometry(content)
+                yield pd.DataFrame({"path": name, "k": np.arange(len(g["chi_out"])), "a": g["a"][1:], "chi_lens": g["chi"][1:], "chi_source": g["chi_out"]})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(parse, "path string, k int, a double, chi_lens double, chi_source double")

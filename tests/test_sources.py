@@ -50,11 +50,54 @@ def test_interleaved_potential_round_trip(spark, tmp_path):
     assert sorted(tuple(r)[1:] for r in back.collect()) == sorted(t[1:] for t in rows)
 
 
-def test_fits_round_trip():
-    a = np.random.default_rng(1).normal(size=(7, 11))
-    content = planes.fits_bytes(a)
-    assert len(content) % 2880 == 0
-    assert np.array_equal(planes.fits_image(content), a)
+def test_large_planes_are_written_and_read_by_blocks(spark, tmp_path):
+    n, folder = 1100, str(tmp_path / "out")
+    px = spark.range(n * n).select(F.lit("p.dat").alias("file"), F.floor(F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j"), F.col("id").cast("double").alias("v"))
+    px = px.where(f"i < {planes.block_lines(n)} and i != 7")  # no pixel of the second block, nor of a line of the first
+    assert planes.write_planes(px, folder, "file", n).first().pixels == (planes.block_lines(n) - 1) * n
+    parts = os.listdir(tmp_path / "out-parts" / "p.dat")
+    assert parts == ["4"] and os.path.getsize(tmp_path / "out-parts" / "p.dat" / "4") <= 8 * planes.BLOCK
+    want = np.arange(float(n * n)).reshape(n, n)
+    want[7] = want[planes.block_lines(n) :] = 0
+    raw = (tmp_path / "out" / "p.dat").read_bytes()
+    assert len(raw) == 8 + 8 * n * n and raw[:4] == raw[-4:] and np.array_equal(np.frombuffer(raw, "<f8", n * n, 4).reshape(n, n), want)
+    lines = planes.read_planes(spark, folder + "/*.dat")
+    assert "ReadSchema: struct<path:string,length:bigint>" in lines._jdf.queryExecution().executedPlan().toString()
+    got = {r.i: (r.s, r.t) for r in lines.selectExpr("i", "aggregate(values, 0D, (a, x) -> a + x) as s", "size(values) as t").collect()}
+    assert len(got) == n and all(got[i] == (want[i].sum(), n) for i in range(n))
+
+
+def test_fits_round_trip(spark, tmp_path):
+    n = 9
+    rows = [(m, i, j, float(m * 100 + i * n + j)) for m in (1, 2) for i in range(n) for j in range(n)]
+    planes.write_fits(spark.createDataFrame(rows, "m int, i int, j int, v double"), str(tmp_path / "a"), "m", n).collect()
+    assert {os.path.getsize(tmp_path / "a" / f) % 2880 for f in os.listdir(tmp_path / "a")} == {0}
+    back = planes.read_fits(spark, str(tmp_path / "a" / "*.fits"))
+    got = {(os.path.basename(r.path), r.i): r["values"] for r in back.collect()}
+    assert got == {(f"{m}.fits", i): [float(m * 100 + i * n + j) for j in range(n)] for m in (1, 2) for i in range(n)}
+
+
+def test_foreign_fits_images(spark, tmp_path):
+    cards = ["SIMPLE  = T", "BITPIX  = 16 / short", "NAXIS   = 2", "NAXIS1  = 3", "NAXIS2  = 2", "BSCALE  = 0.5", "BZERO   = 10", *["COMMENT"] * 40, "END"]
+    head = "".join(c.ljust(80) for c in cards).ljust(2 * 2880).encode()
+    (tmp_path / "x.fits").write_bytes(head + np.arange(6, dtype=">i2").tobytes().ljust(2880, b"\0"))
+    (tmp_path / "short.fits").write_bytes(head + b"\0\0")
+    (tmp_path / "junk.fits").write_bytes(b"\xff" * 3000)
+    rows = planes.read_fits(spark, str(tmp_path / "*.fits")).collect()
+    assert {r.i: r["values"] for r in rows if not r.error} == {0: [10.0, 10.5, 11.0], 1: [11.5, 12.0, 12.5]}
+    assert {os.path.basename(r.path) for r in rows if r.error} == {"short.fits", "junk.fits"}
+
+
+def test_geometry_records(spark, tmp_path):
+    table = [("g.dat", *p) for p in lens_planes()] * 2
+    df = spark.createDataFrame(table, "file string, plane int, chi_lens double, z_lens double, chi_source double, z_source double")
+    assert planes.write_geometry(df, str(tmp_path), "file", 205.0).first().planes == 40
+    back = planes.geometry_planes(spark, str(tmp_path / "*.dat")).orderBy("k").collect()
+    assert [(r.a, r.chi_lens, r.chi_source) for r in back] == [(1 / (1 + z), c, s) for _, c, z, s, _ in lens_planes()]
+    whole = planes.read_geometry(planes.geometry_bytes(lens_planes(), [(2, 1.0, 2.0, 3.0, True), (0, 4.0, 5.0, 6.0, False)], 205.0))
+    assert whole["direction"].tolist() == [2, 0] and whole["shift"].tolist() == [[1, 2, 3], [4, 5, 6]] and whole["flip"].tolist() == [[True] * 3, [False] * 3]
+    with pytest.raises(ValueError):
+        planes.read_geometry(planes.geometry_bytes(lens_planes(), [], 205.0) + b"x")
 
 
 def test_transform_table_follows_its_seed(spark):
