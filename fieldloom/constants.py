@@ -86,6 +86,11 @@ def lens_planes() -> list[tuple[int, float, float, float, float]]:
     ]
 
 
+# --- fixed values: edges of the response tiles, in mass and in multiples of R200 ---
+MASS_EDGES = [1.00e12, 3.16e12, 1.00e13, 3.16e13, 1.00e15]
+ALPHA_EDGES = [0.0, 0.5, 1.0, 3.0, 5.0]
+
+
 # --- fixed values: baryonification parameter sets --------------------------------
 BCM_PARAMETERS = {
     "schneider19": {

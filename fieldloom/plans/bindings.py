@@ -11,13 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import ALPHA_EDGES, MASS_EDGES
 from ..operators.spatial import ball_join
 from ..sources.tables import read_table
 
 REACH = 5.0
 MAX_R200 = 4.9
-MASS_EDGES = [1.00e12, 3.16e12, 1.00e13, 3.16e13, 1.00e15]
-ALPHA_EDGES = [0.0, 0.5, 1.0, 3.0, 5.0]
 MAP_SIDE = 64
 
 Query = Callable[[SparkSession, str], DataFrame]
