@@ -65,6 +65,10 @@ def test_large_planes_are_written_and_read_by_blocks(spark, tmp_path):
     assert "ReadSchema: struct<path:string,length:bigint>" in lines._jdf.queryExecution().executedPlan().toString()
     got = {r.i: (r.s, r.t) for r in lines.selectExpr("i", "aggregate(values, 0D, (a, x) -> a + x) as s", "size(values) as t").collect()}
     assert len(got) == n and all(got[i] == (want[i].sum(), n) for i in range(n))
+    full = spark.range(n * n).selectExpr("'f.dat' as file", f"cast(floor(id / {n}) as int) as i", f"cast(id % {n} as int) as j", "cast(id as double) as v")
+    assert planes.write_planes(full, folder, "file", n).first().pixels == n * n
+    assert len(os.listdir(tmp_path / "out-parts" / "f.dat")) == 2
+    assert np.array_equal(np.frombuffer((tmp_path / "out" / "f.dat").read_bytes(), "<f8", n * n, 4), np.arange(float(n * n)))
 
 
 def test_fits_round_trip(spark, tmp_path):
