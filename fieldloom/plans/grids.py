@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..constants import STATS_RADII
-from ..operators import bcm, gridding, profiles, spatial
+from ..operators import bcm, cubes, gridding, profiles, spatial
 from ..sources.config import transform_table
 from . import bindings as b
 from .bindings import R, cte, dist_sql, min_image_sql, num, num_list, query, r
@@ -161,6 +161,45 @@ def _(spark, sf):
     return gridding.rotate(b.kappa(spark, sf), 64, 30.0, ["map_id"]).select("map_id", "i", "j", r("v").alias("v"))
 
 
+# a cube shifted by parts of the box, then turned: about any direction, and in the plane seen along a projection
+CUBE = 16
+_OFFSETS = [int(f * CUBE) for f in (0.2, 0.75, 0.5)]
+
+
+def _turned_sql(pull: list[list[float]]) -> str:
+    n, mid = CUBE, num((CUBE - 1) / 2)
+    rolled = ", ".join(f"cast(({a} + {d}) % {n} as int) as {a}" for a, d in zip("ijk", _OFFSETS))
+    places = ", ".join(
+        f"{num(m[0])} * (i - {mid}) + {num(m[1])} * (j - {mid}) + {num(m[2])} * (k - {mid}) + {mid} as p{a}" for a, m in zip("ijk", pull)
+    )
+    taps = " and ".join(f"s.{a} = cast(floor(p{a}) as int) + o{a}.k" for a in "ijk")
+    inside = " and ".join(f"p{a} between 0 and {n - 1}" for a in "ijk")
+    w = " * ".join(f"(case when o{a}.k = 1 then p{a} - floor(p{a}) else 1 - (p{a} - floor(p{a})) end)" for a in "ijk")
+    line = f"(select cast(range as int) as {{0}} from range({n}))"
+    return f"""{_cic_sql('particles', ['x', 'y', 'z'], 'sim', n)}, rolled as (select sim, {rolled}, mass from grid),
+ target as (select sim, i, j, k, {places} from (select distinct sim from rolled), {", ".join(line.format(a) for a in "ijk")}),
+ turned as (select t.sim, t.i, t.j, t.k, sum(s.mass * {w}) as mass from (select * from target where {inside}) t, o oi, o oj, o ok, rolled s where s.sim = t.sim and {taps} group by all)"""
+
+
+def _turned(spark, sf, pull):
+    cube = gridding.assign(b.particles(spark, sf), ("x", "y", "z"), CUBE, "cic", _KEYS)
+    return cubes.rotate(cubes.roll(cube, CUBE, _OFFSETS), CUBE, pull, _KEYS, width=8)
+
+
+_ANY, _SEEN = cubes.about_vector((1.0, 2.0, 2.0), 30.0), cubes.about_axis(1, 40.0)
+
+
+@query("m09_rotate_cube", cte("particles").rstrip() + f", {_turned_sql(_ANY)} select sim, i, j, k, {R('mass', 5)} as mass from turned where mass > 1e-6")
+def _(spark, sf):
+    return _out(_turned(spark, sf, _ANY).where("mass > 1e-6"), ("sim", "i", "j", "k"))
+
+
+@query("m09_turned_projection", cte("particles").rstrip() + f", {_turned_sql(_SEEN)} select sim, i, k, {R('sum(mass)', 5)} as mass from turned group by sim, i, k having sum(mass) > 1e-6")
+def _(spark, sf):
+    seen = _turned(spark, sf, _SEEN).groupBy("sim", "i", "k").agg(F.sum("mass").alias("mass"))
+    return _out(seen.where("mass > 1e-6"), ("sim", "i", "k"))
+
+
 @query("m10_cic_centred", cte("particles").rstrip() + f", {_cic_sql('particles', ['x', 'y'], 'sim', N, '-0.5')} {_OUT2} where mass > 1e-9")
 def _(spark, sf):
     return _out(_drop_zero(gridding.assign(b.particles(spark, sf), ("x", "y"), N, "cic_centred", _KEYS)))

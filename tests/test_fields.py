@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import blocks, gridding, images, lensing, regions, response, spectra
+from fieldloom.operators import blocks, cubes, gridding, images, lensing, regions, response, spectra
 
 
 def field(spark, arrays):
@@ -252,3 +252,46 @@ def test_noise_is_normal_and_repeatable(spark):
     maps = z.reshape(3, 64, 64)
     for a, b in ((maps[:, :, 1:], maps[:, :, :-1]), (maps[:, 1:], maps[:, :-1]), (maps[1:], maps[:-1])):
         assert abs(np.corrcoef(a.ravel(), b.ravel())[0, 1]) < 0.05
+
+
+def turned_by_hand(a, pull):
+    """Every target cell on its own, from the eight cells around its place."""
+    n, out = a.shape[0], np.zeros_like(a)
+    mid = (n - 1) / 2
+    for p in np.ndindex(a.shape):
+        q = np.array(pull) @ (np.array(p) - mid) + mid
+        if (q < -1e-12).any() or (q > n - 1 + 1e-12).any():
+            continue
+        low = np.clip(np.floor(q).astype(int), 0, n - 1)
+        for t in np.ndindex(2, 2, 2):
+            w = np.prod([f if x else 1 - f for f, x in zip(q - low, t)])
+            if (low + t < n).all():
+                out[p] += w * a[tuple(low + t)]
+    return out
+
+
+@pytest.mark.parametrize("width", [3, 32])
+@pytest.mark.parametrize("pull", [cubes.about_axis(0, 25.0), cubes.about_axis(1, 40.0), cubes.about_axis(2, 200.0), cubes.about_vector((1, 2, 2), 30.0), cubes.about_vector((-1, 0.5, 3), 100.0)])
+def test_rotated_cube_equals_cell_by_cell(spark, width, pull):
+    n = 8
+    a = np.random.default_rng(31).uniform(1, 2, size=(2, n, n, n))
+    rows = [(m, i, j, k, float(a[m, i, j, k])) for m, i, j, k in np.ndindex(a.shape)]
+    got = np.zeros_like(a)
+    seen = cubes.rotate(spark.createDataFrame(rows, "m int, i int, j int, k int, mass double"), n, pull, ["m"], width=width).collect()
+    for r in seen:
+        got[r.m, r.i, r.j, r.k] = r.mass
+    assert len({(r.m, r.i, r.j, r.k) for r in seen}) == len(seen)  # one block fills a cell
+    for m in range(2):
+        assert np.allclose(got[m], turned_by_hand(a[m], pull))
+
+
+def test_cube_turned_back_and_shifted(spark):
+    n = 6
+    rows = [(1, 2, 3, 5.0), (1, 2, 3, 1.0), (0, 0, 0, None), (5, 0, 2, 2.0)]
+    cells = spark.createDataFrame(rows, "i int, j int, k int, mass double")
+    quarter = cubes.rotate(cells, n, [[0, 1, 0], [-1, 0, 0], [0, 0, 1]], width=4)
+    assert sorted(tuple(r) for r in quarter.collect()) == [(3, 1, 3, 6.0), (5, 5, 2, 2.0)]
+    back = cubes.rotate(quarter, n, [[0, -1, 0], [1, 0, 0], [0, 0, 1]], width=4)
+    assert sorted(tuple(r) for r in back.collect()) == [(1, 2, 3, 6.0), (5, 0, 2, 2.0)]
+    assert {tuple(r) for r in cubes.roll(back, n, (1, -3, 4)).select("i", "j", "k", "mass").collect()} == {(2, 5, 1, 6.0), (0, 3, 0, 2.0)}
+    assert cubes.rotate(cells.limit(0), n, cubes.about_axis(0, 10.0)).count() == 0
