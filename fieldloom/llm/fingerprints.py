@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unused, written
 from .textcode import mix
 
 BITS_APART = 3
@@ -316,14 +316,15 @@ def keep_one(docs: DataFrame, size: int = 5, similar: float | None = None) -> Da
     """One row of ``docs`` for each component: of its smallest id (null last), of several texts with that id the one of the least hash,
     of repeated rows any one."""
     near = written(near_duplicates(docs, size, similar), "simhash-near")
-    best = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "code").agg(F.count("*").alias("__n"))
+    own = unused(docs)
+    best = near.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "doc_id", "code").agg(F.count("*").alias("n"))
     least = best.groupBy("root").agg(F.min("code").alias("least"))
-    kept = best.join(least, "root").where("code = least").select(F.col("doc_id").alias("__id"), F.col("code").alias("__code"), "__n")
+    kept = best.join(least, "root").where("code = least").select(F.col("doc_id").alias(f"{own}id"), F.col("code").alias(f"{own}code"), F.col("n").alias(f"{own}n"))
     # Rows of null id and equal text hash are in one component, so (id, hash) names the kept rows.
-    on = F.xxhash64("text") == F.col("__code"), F.col("doc_id").eqNullSafe(F.col("__id"))
+    on = F.xxhash64("text") == F.col(f"{own}code"), F.col("doc_id").eqNullSafe(F.col(f"{own}id"))
     rows = docs.join(kept, on[0] & on[1])
-    once, again = rows.where("__n = 1").select(*docs.columns), rows.where("__n > 1").dropDuplicates(["__id", "__code"]).select(*docs.columns)
-    return once.union(again)
+    once, again = rows.where(F.col(f"{own}n") == 1), rows.where(F.col(f"{own}n") > 1).dropDuplicates([f"{own}id", f"{own}code"])
+    return once.select(*docs.columns).union(again.select(*docs.columns))
 
 
 def op7_simhash_components(spark, sf_dir):

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash60, n_words, table, written
+from .common import hash60, n_words, table, unused, written
 
 WEIGHTS = (5, 2, 1)
 #: Most passes over a source.
@@ -109,13 +109,15 @@ def _last_pass(before: Column) -> Column:
 def emit(docs: DataFrame, weights=WEIGHTS, passes: int = PASSES, schedules=SCHEDULES) -> DataFrame:
     """The mix itself: a row of ``docs`` for each time it is taken, sorted by position. Rows that agree in source, id and size are taken
     alike."""
-    p = plan(docs, weights, passes, schedules)
+    p, own = plan(docs, weights, passes, schedules), unused(docs)
     taken = F.when(F.col("size") > 0, F.col("full") + _last_pass(F.col("before")).cast("long")).otherwise(0)
-    p = p.withColumn("copies", taken).where("copies > 0").select(*[F.col(c).alias(f"__{c}") for c in (*p.columns, "copies")])
-    on = F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (n_words(F.col("text")) == F.col("__size"))
-    rows = docs.join(p, on).withColumn("__pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1)))
-    u = (F.col("__pass") * F.col("__source_size") + F.col("__before") + F.col("__size") / 2) / F.col("__target")
-    return rows.withColumn("__at", position(F.least(u, F.lit(1.0)), F.col("__kind"), schedules)).orderBy("__at", "doc_id").select(*docs.columns)
+    p = p.withColumn("copies", taken).where("copies > 0")
+    p = p.select(*[F.col(c).alias(own + c) for c in p.columns])
+    on = F.col("source").eqNullSafe(F.col(f"{own}source")) & F.col("doc_id").eqNullSafe(F.col(f"{own}doc_id")) & (n_words(F.col("text")) == F.col(f"{own}size"))
+    rows = docs.join(p, on).withColumn(f"{own}pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{own}copies") - 1)))
+    u = (F.col(f"{own}pass") * F.col(f"{own}source_size") + F.col(f"{own}before") + F.col(f"{own}size") / 2) / F.col(f"{own}target")
+    at = position(F.least(u, F.lit(1.0)), F.col(f"{own}kind"), schedules)
+    return rows.withColumn(f"{own}at", at).orderBy(f"{own}at", "doc_id").select(*docs.columns)
 
 
 def op9_curriculum_mix(spark, sf_dir):

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hash60, table, written
+from .common import hash60, table, unused, written
 
 HASH_BITS = 60
 #: Bytes of a shard, as in common sharded training formats.
@@ -78,6 +78,7 @@ def assign(df: DataFrame, h: Column, n_bytes: Column, limit: int = SHARD_BYTES)
     """``df`` with ``shard`` (the prefix as a bit string, with a page number where rows of one hash overflow), ``depth``, ``page`` and
     ``shard_bytes`` (of the bucket)."""
     df = df.drop(*OUT)
+    own = unused(df)
     keys = written(df.select(h.alias("h"), F.coalesce(n_bytes, F.lit(0)).cast("long").alias("n_bytes")), "shard-keys")
     cells = directory(keys, limit)
     depths = [r[0] for r in cells.select("bits").distinct().collect()]  # at most eight
@@ -87,34 +88,34 @@ def assign(df: DataFrame, h: Column, n_bytes: Column, limit: int = SHARD_BYTES)
         .groupBy("h").agg(F.sum(F.col("rows") * F.col("n_bytes")).alias("of_hash"))
         .where(F.col("of_hash") > limit)
     )
-    hashed = df.withColumn("__h", h).withColumn("__n", F.coalesce(n_bytes, F.lit(0)).cast("long"))
+    hashed = df.withColumn(f"{own}h", h).withColumn(f"{own}n", F.coalesce(n_bytes, F.lit(0)).cast("long"))
     out = None
     for bits in sorted(depths):
-        part = cells.where(F.col("bits") == bits).select(F.col("cell").alias("__cell"), F.col("depth").alias("__depth"), F.col("bytes").alias("__bytes"))
-        part = hashed.join(part, _prefix(F.col("__h"), bits) == F.col("__cell"))
+        part = cells.where(F.col("bits") == bits).select(F.col("cell").alias(f"{own}cell"), F.col("depth").alias(f"{own}depth"), F.col("bytes").alias(f"{own}bytes"))
+        part = hashed.join(part, _prefix(F.col(f"{own}h"), bits) == F.col(f"{own}cell"))
         out = part if out is None else out.unionByName(part)
     if out is None:  # an empty table
-        out = hashed.withColumns({"__cell": F.lit(0).cast("long"), "__depth": F.lit(0), "__bytes": F.lit(0).cast("long")})
-    out = out.withColumn("__page", F.lit(0).cast("long")) if crowded.isEmpty() else _paged(out, crowded, limit)
-    bits = F.when(F.col("__depth") == 0, F.lit("")).otherwise(F.lpad(F.bin(_prefix(F.col("__h"), F.col("__depth"))), F.col("__depth"), "0"))
-    shard = F.when(F.col("__page") == 0, bits).otherwise(F.concat(bits, F.lit("."), F.col("__page").cast("string")))
-    out = out.withColumns({"shard": shard, "depth": F.col("__depth").cast("int"), "page": F.col("__page"), "shard_bytes": F.col("__bytes")})
+        out = hashed.withColumns({f"{own}cell": F.lit(0).cast("long"), f"{own}depth": F.lit(0), f"{own}bytes": F.lit(0).cast("long")})
+    out = out.withColumn(f"{own}page", F.lit(0).cast("long")) if crowded.isEmpty() else _paged(out, crowded, limit, own)
+    bits = F.when(F.col(f"{own}depth") == 0, F.lit("")).otherwise(F.lpad(F.bin(_prefix(F.col(f"{own}h"), F.col(f"{own}depth"))), F.col(f"{own}depth"), "0"))
+    shard = F.when(F.col(f"{own}page") == 0, bits).otherwise(F.concat(bits, F.lit("."), F.col(f"{own}page").cast("string")))
+    out = out.withColumns({"shard": shard, "depth": F.col(f"{own}depth").cast("int"), "page": F.col(f"{own}page"), "shard_bytes": F.col(f"{own}bytes")})
     return out.select(*df.columns, *OUT)
 
 
-def _paged(out: DataFrame, crowded: DataFrame, limit: int) -> DataFrame:
+def _paged(out: DataFrame, crowded: DataFrame, limit: int, own: str) -> DataFrame:
     """Rows of an overflowing hash by pages. Equal rows are interchangeable, so they are counted and written out again page by page;
     no window has to hold them. Rows of one hash that differ don't share pages: their page numbers start with a rank among them."""
     same = out.columns
-    crowded = crowded.select(F.col("h").alias("__of"))
-    alone = out.join(crowded, F.col("__h") == F.col("__of"), "left_anti").withColumn("__page", F.lit(0).cast("long"))
-    groups = out.join(crowded, F.col("__h") == F.col("__of"), "left_semi").groupBy(*same).agg(F.count("*").alias("__rows"))
-    room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("__n"), F.lit(1)))).cast("long")
-    groups = groups.withColumn("__rank", F.row_number().over(Window.partitionBy("__h").orderBy(*same)) - 1).withColumn("__room", room)
-    pages = groups.withColumn("__p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__rows") - 1) / F.col("__room")).cast("long"))))
-    copies = F.least(F.col("__room"), F.col("__rows") - F.col("__p") * F.col("__room"))
-    pages = pages.withColumn("__page", F.col("__rank") * (1 << 32) + F.col("__p")).repartition("__h", "__page")
-    return alone.unionByName(pages.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*same, "__page"))
+    crowded = crowded.select(F.col("h").alias(f"{own}of"))
+    alone = out.join(crowded, F.col(f"{own}h") == F.col(f"{own}of"), "left_anti").withColumn(f"{own}page", F.lit(0).cast("long"))
+    groups = out.join(crowded, F.col(f"{own}h") == F.col(f"{own}of"), "left_semi").groupBy(*same).agg(F.count("*").alias(f"{own}rows"))
+    room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col(f"{own}n"), F.lit(1)))).cast("long")
+    groups = groups.withColumn(f"{own}rank", F.row_number().over(Window.partitionBy(f"{own}h").orderBy(*same)) - 1).withColumn(f"{own}room", room)
+    pages = groups.withColumn(f"{own}p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(f"{own}rows") - 1) / F.col(f"{own}room")).cast("long"))))
+    copies = F.least(F.col(f"{own}room"), F.col(f"{own}rows") - F.col(f"{own}p") * F.col(f"{own}room"))
+    pages = pages.withColumn(f"{own}page", F.col(f"{own}rank") * (1 << 32) + F.col(f"{own}p")).repartition(f"{own}h", f"{own}page")
+    return alone.unionByName(pages.withColumn(f"{own}c", F.explode(F.sequence(F.lit(1).cast("long"), copies))).select(*same, f"{own}page"))
 
 
 def write_shards(df: DataFrame, path: str) -> None:
