@@ -3,7 +3,8 @@
 A document's evidence is a naive Bayes sum over binned text measures, learned from the labelled documents by counting. Sites give the prior:
 documents' soft labels are summed by path (source and language) and by host (source), and each level is shrunk towards the level above,
 path to host and host to the whole corpus, by as many pseudo-documents as the spread between its siblings warrants (a method-of-moments
-beta-binomial fit). The posterior joins the document's evidence with its path's prior. All of it is grouped aggregation over counts; the
+beta-binomial fit). A document's own soft label is taken out of its sums at all three levels, so its evidence counts once: a site's only
+document has the prior of the level above. The posterior joins the document's evidence with its path's prior. All of it is grouped aggregation over counts; the
 tables that are joined back have a row for each site or for each bin.
 
 Nulls: a null text counts as empty, a null source or language is a site of its own, null labels and labels of missing documents are left
@@ -14,6 +15,8 @@ are ignored by ``score`` and kept by ``keep``.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,26 +94,47 @@ def _strength(sites: DataFrame, prior: Column) -> float:
     return 1 / min(max(rho, 1e-4), 0.99) - 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, columns: list[str]) -> tuple[DataFrame, list[list[float]], DataFrame]:
-    """(rows, weights, sites): ``rows`` are ``columns`` of ``docs`` and ``__bins``, a bin number for each measure, stored; ``sites`` has (host,
-    path, host_prior, path_prior) for each source and language."""
-    stored = written(docs.select(*columns, bins(F.col("text")).alias("__bins")), "quality-bins")
-    rows = stored.select("doc_id", "source", "lang", F.col("__bins").alias("bins"))
+@dataclass
+class Levels:
+    """Sums of soft labels: ``sites`` has (host, path, host_n, host_s, path_n, path_s) for each source and language, in parts; strengths are
+    those of the level above."""
+
+    sites: DataFrame
+    n: int
+    s: int
+    base: float
+    host_strength: float
+    path_strength: float
+
+    def priors(self, soft: Column) -> tuple[Column, Column]:
+        """(host prior, path prior) of a document joined to its site, without its own soft label."""
+        others = F.least(F.greatest((F.lit(self.s) - soft) / PARTS / (self.n - 1), F.lit(0.01)), F.lit(0.99)) if self.n > 1 else F.lit(self.base)
+        host = _shrunk((F.col("host_s") - soft) / PARTS, F.col("host_n") - 1, others, F.lit(self.host_strength))
+        return host, _shrunk((F.col("path_s") - soft) / PARTS, F.col("path_n") - 1, host, F.lit(self.path_strength))
+
+
+def _soft(evidence: Column, base: float) -> Column:
+    return F.round(PARTS / (1 + F.exp(-(evidence + _logit(F.lit(base)))))).cast("long")
+
+
+def fit(rows: DataFrame, labels: DataFrame) -> tuple[list[list[float]], Levels]:
+    """(weights, levels) from ``rows``, a stored table of (doc_id, source, lang, bins)."""
     weights = learn(rows, labels)
     known = labels.where(F.col("quality").isin(0, 1)).agg(F.avg("quality").alias("p")).first()["p"]
     base = _inside(known if known is not None else 0.5)
-    soft = F.round(PARTS / (1 + F.exp(-(evidence(F.col("bins"), weights) + _logit(F.lit(base)))))).cast("long")
-    paths = rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(soft).alias("s")).withColumn("good", F.col("s") / PARTS)
-    paths = written(paths, "quality-paths")
+    paths = rows.groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum(_soft(evidence(F.col("bins"), weights), base)).alias("s"))
+    paths = written(paths.withColumn("good", F.col("s") / PARTS), "quality-paths")
     hosts = paths.groupBy("source").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("good", F.col("s") / PARTS)
-    corpus = hosts.agg((F.sum("s") / PARTS / F.sum("n")).alias("p")).first()["p"]
-    whole = F.lit(_inside(corpus if corpus is not None else base))
-    prior = _shrunk(F.col("good"), F.col("n"), whole, F.lit(_strength(hosts, whole)))
-    hosts = hosts.select(F.col("source").alias("host"), prior.alias("host_prior"))
+    corpus = hosts.agg(F.sum("s").alias("s"), F.sum("n").alias("n")).first()
+    n, s = corpus["n"] or 0, corpus["s"] or 0
+    whole = F.lit(_inside(s / PARTS / n) if n else base)
+    host_strength = _strength(hosts, whole)
+    prior = _shrunk(F.col("good"), F.col("n"), whole, F.lit(host_strength))
+    hosts = hosts.select(F.col("source").alias("host"), F.col("n").alias("host_n"), F.col("s").alias("host_s"), prior.alias("host_prior"))
     paths = paths.join(hosts, F.col("source").eqNullSafe(F.col("host")))
-    prior = _shrunk(F.col("good"), F.col("n"), F.col("host_prior"), F.lit(_strength(paths, F.col("host_prior"))))
-    sites = paths.select("host", F.col("lang").alias("path"), F.round("host_prior", 6).alias("host_prior"), F.round(prior, 6).alias("path_prior"))
-    return stored, weights, written(sites, "quality-sites")
+    path_strength = _strength(paths, F.col("host_prior"))
+    sites = paths.select("host", F.col("lang").alias("path"), "host_n", "host_s", F.col("n").alias("path_n"), F.col("s").alias("path_s"))
+    return weights, Levels(written(sites, "quality-sites"), n, s, base, host_strength, path_strength)
 
 
 def _inside(p: float) -> float:
@@ -121,25 +145,26 @@ def _posterior(evidence: Column, prior: Column) -> Column:
     return F.round(1 / (1 + F.exp(-(evidence + _logit(F.least(F.greatest(prior, F.lit(0.001)), F.lit(0.999)))))), 6)
 
 
-def _with_site(rows: DataFrame, sites: DataFrame) -> DataFrame:
-    return rows.join(sites, F.col("source").eqNullSafe(F.col("host")) & F.col("lang").eqNullSafe(F.col("path")))
+def _scored(docs: DataFrame, labels: DataFrame, columns: list[str]) -> DataFrame:
+    """(row, evidence, host_prior, path_prior, posterior): ``row`` is a struct of ``columns`` of ``docs``. The rows are stored with their bins: the
+    patterns cost far more than a copy."""
+    stored = written(docs.select(F.struct(*columns).alias("row"), bins(F.col("text")).alias("bins")), "quality-bins")
+    weights, levels = fit(stored.select("row.doc_id", "row.source", "row.lang", "bins"), labels)
+    rows = stored.select("row", evidence(F.col("bins"), weights).alias("evidence"))
+    rows = rows.join(levels.sites, F.col("row.source").eqNullSafe(F.col("host")) & F.col("row.lang").eqNullSafe(F.col("path")))
+    host, path = levels.priors(_soft(F.col("evidence"), levels.base))
+    rows = rows.select("row", "evidence", F.round(host, 6).alias("host_prior"), F.round(path, 6).alias("path_prior"))
+    return rows.withColumn("posterior", _posterior(F.col("evidence"), F.col("path_prior")))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, source, lang, evidence, host_prior, path_prior, posterior)."""
-    rows, weights, sites = fit(docs, labels, ["doc_id", "source", "lang"])
-    rows = rows.select("doc_id", "source", "lang", F.col("__bins").alias("bins"))
-    out = _with_site(rows.withColumn("evidence", evidence(F.col("bins"), weights)), sites)
-    return out.select("doc_id", "source", "lang", "evidence", "host_prior", "path_prior", _posterior(F.col("evidence"), F.col("path_prior")).alias("posterior"))
+    return _scored(docs, labels, ["doc_id", "source", "lang"]).select("row.*", "evidence", "host_prior", "path_prior", "posterior")
 
 
 def keep(docs: DataFrame, labels: DataFrame, least: float = KEEP) -> DataFrame:
     """The rows of ``docs`` whose posterior reaches ``least``."""
-    rows, weights, sites = fit(docs, labels, docs.columns)  # texts are stored with their bins: the patterns cost far more than a copy
-    sites = sites.select(*[F.col(c).alias(f"__{c}") for c in sites.columns])
-    rows = rows.join(sites, F.col("source").eqNullSafe(F.col("__host")) & F.col("lang").eqNullSafe(F.col("__path")))
-    posterior = _posterior(evidence(F.col("__bins"), weights), F.col("__path_prior"))
-    return rows.where(posterior >= least).select(*docs.columns)
+    return _scored(docs, labels, docs.columns).where(F.col("posterior") >= least).select("row.*")
 
 
 def op8_site_posteriors(spark, sf_dir):

@@ -530,3 +530,67 @@ def test_repeated_lines_hide_no_similar_text(spark):
     texts = [" ".join(passage + line * k) for k in (1, 1000)]
     apart = (fingerprints.fingerprint(texts[0].encode(), 5) ^ fingerprints.fingerprint(texts[1].encode(), 5)).bit_count()
     assert apart > 24 and copies(spark, texts) == {0: 0, 1: 0}
+
+
+def test_exact_copies_of_any_item_are_found(spark):
+    """Against brute force over lower-cased words: openings in mid-sentence, short items, and items of numbers and names alone."""
+    items = [
+        "Which city is the capital of modern France", "Is water wet", "12 apples 13 pears 7 Ann 5", "Yes", "Go on", "one two three four five one two three four five six",
+        "Ann met Bob in Rome on 5 May 1990 near Paris", None, " .. ", "Which city is the capital of modern Spain",
+    ]
+    texts = [
+        "Question twelve Which city is the capital of modern France and why", "well, IS water WET? yes", "he has 12 apples 13 pears 7 Ann 5 there", "yes.", "yes yes", "go on",
+        "then go on", "one two three four five one two three four five six", "one two three four five one two three four five", "x Ann met Bob in Rome on 5 May 1990 near Paris",
+        "13 apples 12 pears", None, "", "Which city is the capital of modern", "which city is the capital of old France", "is water wet " * 50,
+    ]
+    bare = lambda t: [w for w in ("".join(c for c in x if c.isalnum()) for x in (t or "").lower().split()) if w]
+
+    def holds(text: list[str], item: list[str]) -> bool:
+        if len(item) < 3:
+            return bool(item) and text == item
+        return any(text[i : i + len(item)] == item for i in range(len(text) - len(item) + 1))
+
+    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if holds(bare(t), bare(x))}
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r for r in decontamination.leaks(docs, bench).collect()}
+    exact = {k for k, r in got.items() if r["coverage"] == 1 and not r["reparameterised"]}
+    assert want == {(0, 0), (1, 1), (2, 2), (3, 3), (5, 4), (7, 5), (9, 6), (15, 1)} and exact == want
+    assert {r["doc_id"] for r in decontamination.clean(docs, bench).collect()} == set(range(len(texts))) - {d for d, _ in got}
+
+
+def test_a_document_is_left_out_of_its_own_prior(spark):
+    rng = random.Random(3)
+    good = [(i, prose(rng, 60), "a" if i % 2 else "b", "en", 1) for i in range(80)]
+    bad = [(100 + i, " ".join(w.upper() + "!!" for w in prose(rng, 60).split()), "c", "en", 0) for i in range(40)]
+    lone = [(200, bad[0][1], "lone", "xx", None), (201, good[0][1], "other", "xx", None)]
+    d = spark.createDataFrame(good + bad + lone, "doc_id long, text string, source string, lang string, quality int")
+    labels = d.where("quality is not null").select("doc_id", "quality")
+    got = {r["doc_id"]: r for r in quality.score(d, labels).collect()}
+    stored = d.select("doc_id", "source", "lang", quality.bins(F.col("text")).alias("bins"))
+    weights, levels = quality.fit(stored, labels)
+    soft = {r["doc_id"]: r["s"] for r in stored.select("doc_id", quality._soft(quality.evidence(F.col("bins"), weights), levels.base).alias("s")).collect()}
+    rows = {r[0]: r for r in good + bad + lone}
+    for i, r in rows.items():
+        others = [k for k in rows if k != i]
+        clip = lambda p: min(max(p, 0.01), 0.99)
+        prior = clip(sum(soft[k] for k in others) / quality.PARTS / len(others))
+        for same, strength, name in ((lambda k: rows[k][2] == r[2], levels.host_strength, "host_prior"), (lambda k: rows[k][2:4] == r[2:4], levels.path_strength, "path_prior")):
+            near = [soft[k] / quality.PARTS for k in others if same(k)]
+            prior = (sum(near) + strength * prior) / (len(near) + strength)
+            assert got[i][name] == pytest.approx(prior, abs=2e-6)
+    # alone on their sites, both have the whole corpus as prior, whatever they are
+    assert abs(got[200]["path_prior"] - got[201]["path_prior"]) < 0.02
+
+
+def test_extra_columns_may_have_any_name(spark, docs):
+    names = ["__id", "__code", "__n", "__h", "__cell", "__depth", "__bytes", "__page", "__bins", "__host", "__pass", "__at", "__size", "row", "bins", "evidence", "posterior", "prior", "host"]
+    wide = docs.select("doc_id", "text", "lang", "source", *[F.lit(f"mine {n}").alias(n) for n in names])
+    labels = docs.select("doc_id", F.lit(1).alias("quality")).union(docs.select(F.col("doc_id") + 90_000, F.lit(0)))
+    bench = spark.createDataFrame([(0, "no such item is in there")], "item_id long, text string")
+    plain = docs.select("doc_id", "text", "lang", "source")
+    for apply in (lambda d: quality.keep(d, labels, 0.0), fingerprints.keep_one, lambda d: decontamination.clean(d, bench), mixing.emit, lambda d: sharding.shard_documents(d, 20_000)):
+        out, alone = apply(wide), apply(plain)
+        assert set(wide.columns) <= set(out.columns) and out.count() == alone.count() > 0
+        for n in names:
+            assert [r[0] for r in out.select(n).distinct().collect()] == [f"mine {n}"]
