@@ -1,7 +1,8 @@
 """Radial profiles, enclosed masses and the ratios built from them.
 
-All of these start from the pair table of ``spatial.ball_join`` with a column ``r`` (distance
-in units of R200), ``ptype`` and ``mass``; each is one partial/final aggregate over it.
+Those that take ``pairs`` start from the pair table of ``spatial.ball_join`` with a column ``r`` (distance
+in units of R200), ``ptype`` and ``mass``; each is one partial/final aggregate over it. ``ball_profile`` and ``ball_masses`` give the
+same sums from points and balls by ``rings.in_rings``, without the pair table.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from ..constants import RADIAL_EDGES, STATS_RADII
 from ..functions.bins import bin_table, with_bin, with_spine
 from ..functions.geometry import shell_volume
+from .rings import in_rings
 
 GAS, DM, STARS = 0, 1, 4
 
@@ -35,6 +37,20 @@ def radial_profile(pairs: DataFrame, edges: Sequence[float] = RADIAL_EDGES, side
     )
 
 
+def _by_type() -> dict[str, Column]:
+    m, only = F.col("mass"), lambda t: F.when(F.col("ptype") == t, F.col("mass")).otherwise(F.lit(0.0))
+    return {"mass": m, "mass_gas": only(GAS), "mass_dm": only(DM), "mass_stars": only(STARS)}
+
+
+def ball_profile(
+    points: DataFrame, halos: DataFrame, reach: float, max_radius: float, edges: Sequence[float] = RADIAL_EDGES, side: str = "hist",
+    keys: Sequence[str] = ("halo_id", "r200"), by: str | None = None,
+) -> DataFrame:
+    """``radial_profile`` of the particles within ``reach`` R200 of each halo; ``keys`` are halo columns, ``by`` one of the particles."""
+    out = in_rings(points, halos, F.col("r200") * F.lit(reach), "r200", edges, side, by, keys, _by_type(), max_radius)
+    return out.select(*keys, *([by] if by else []), "bin", "mass", "n", "mass_gas", "mass_dm", "mass_stars")
+
+
 def add_density(profile: DataFrame, edges: Sequence[float] = RADIAL_EDGES, physical: bool = True, cols: Sequence[str] = ("mass",)) -> DataFrame:
     """Density columns next to mass columns; ``physical=False`` leaves volumes in R200**3."""
     bins = bin_table(profile.sparkSession, edges)
@@ -78,6 +94,21 @@ def masses_within(pairs: DataFrame, radii: Sequence[float] = STATS_RADII, keys:
             F.count(F.lit(1)).alias("n"),
         )
     )
+    return _enclosed(shells, radii, keys)
+
+
+def ball_masses(
+    points: DataFrame, halos: DataFrame, reach: float, max_radius: float, radii: Sequence[float] = STATS_RADII, keys: Sequence[str] = ("halo_id",),
+    by: str | None = None, strict: bool = False,
+) -> DataFrame:
+    """``masses_within`` of the particles within ``reach`` R200 of each halo; ``keys`` are halo columns, ``by`` one of the particles."""
+    shells = ball_profile(points, halos, reach, max_radius, [-1.0, *radii], "left" if strict else "right", keys, by)
+    names = {"bin": "ring", "mass": "t", "mass_gas": "g", "mass_stars": "s", "mass_dm": "d"}
+    return _enclosed(shells.withColumnsRenamed(names), radii, [*keys, *([by] if by else [])])
+
+
+def _enclosed(shells: DataFrame, radii: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """Running totals of the rings' sums over the radii, with fractions."""
     spread = shells.withColumn("k", F.explode(F.sequence(F.col("ring"), F.lit(len(radii) - 1))))
     out = spread.groupBy(*keys, "k").agg(
         F.sum("t").alias("m_total"),
