@@ -153,7 +153,28 @@ def enclosed_interpolated(pairs: DataFrame, radii: Sequence[float], keys: Sequen
             F.max(F.when(d <= F.lit(float(r)), d)).alias(f"a{k}"),
             F.min(F.when(d > F.lit(float(r)), F.struct(d.alias("d"), m.alias("m")))).alias(f"b{k}"),
         ]
-    wide = pairs.groupBy(*keys).agg(*out_cols)
+    return _between(pairs.groupBy(*keys).agg(*out_cols), radii, keys)
+
+
+def ball_interpolated(
+    points: DataFrame, halos: DataFrame, reach: float, max_radius: float, radii: Sequence[float], keys: Sequence[str] = ("halo_id",), by: str | None = None
+) -> DataFrame:
+    """``enclosed_interpolated`` of the particles within ``reach`` R200 of each halo, from each ring's sum and ends."""
+    edges = [-1.0, *radii, float("inf")]
+    rings = in_rings(points, halos, F.col("r200") * F.lit(reach), "r200", edges, "right", by, keys, {"mass": F.col("mass")}, max_radius, ends=True)
+    out_cols, within = [], lambda k: F.col("bin") <= k
+    for k in range(len(radii)):
+        out_cols += [
+            F.sum(F.when(within(k), F.col("mass"))).alias(f"m{k}"),
+            F.max(F.when(within(k), F.col("r_last"))).alias(f"a{k}"),
+            F.min(F.when(~within(k), F.struct(F.col("r_first").alias("d"), F.col("first").alias("m")))).alias(f"b{k}"),
+        ]
+    keys = [*keys, *([by] if by else [])]
+    return _between(rings.groupBy(*keys).agg(*out_cols), radii, keys)
+
+
+def _between(wide: DataFrame, radii: Sequence[float], keys: Sequence[str]) -> DataFrame:
+    """Masses interpolated from the mass within each radius, the last distance inside and the first particle outside."""
     rows = F.array(
         *[
             F.struct(

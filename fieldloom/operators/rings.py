@@ -115,6 +115,63 @@ def ring_sums(xyz: np.ndarray, weights: np.ndarray, centre: np.ndarray, cut: np.
     return out
 
 
+def _measure(part: np.ndarray, q: np.ndarray, value: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least r of the points in ``part``, its value (the least among equal r) and the largest r; infinities where there is none."""
+    inside = np.where(part, q, np.inf)
+    at = inside.argmin(axis=1)
+    least = np.take_along_axis(inside, at[:, None], axis=1)[:, 0]
+    held = np.where(np.isfinite(least), value[at], np.inf)
+    for i in np.flatnonzero((inside <= (least * (1 + 1e-14))[:, None]).sum(axis=1) > 1):  # squares that may round to one r
+        if np.isfinite(least[i]):
+            held[i] = value[part[i] & (np.sqrt(q[i]) / unit[i] == np.sqrt(least[i]) / unit[i])].min()
+    most = np.where(part, q, -np.inf).max(axis=1)
+    with np.errstate(invalid="ignore"):
+        return np.sqrt(least) / unit, held, np.where(most >= 0, np.sqrt(most) / unit, -np.inf)
+
+
+def ring_ends(xyz: np.ndarray, value: np.ndarray, centre: np.ndarray, cut: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """(ball, ring, 3): the nearest point's r and value, and the farthest point's r; infinities where the ring is empty.
+
+    Boxes that an edge crosses come first; of the others only those are measured that may hold a nearer or a farther point.
+    """
+    k_all = cut.shape[1]
+    low, held, high = (np.full((len(centre), k_all + 1), x) for x in (np.inf, np.inf, -np.inf))
+
+    def take(rows: np.ndarray, k: np.ndarray, part: np.ndarray, q: np.ndarray, w: np.ndarray) -> None:
+        r0, v, r1 = _measure(part, q, w, unit[rows])
+        nearer = (r0 < low[rows, k]) | ((r0 == low[rows, k]) & (v < held[rows, k]))
+        low[rows[nearer], k[nearer]], held[rows[nearer], k[nearer]] = r0[nearer], v[nearer]
+        high[rows, k] = np.maximum(high[rows, k], r1)
+
+    order, bounds = small_boxes(xyz)
+    xyz, value = xyz[order], value[order]
+    for crossing in (True, False):
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            points, w = xyz[i:j], value[i:j]
+            near, far = near_far(centre, points)
+            met = np.flatnonzero(near < cut[:, -1])
+            first = (cut[met] <= near[met, None]).sum(axis=1)
+            last = (cut[met] <= far[met, None]).sum(axis=1)
+            if crossing:
+                use = first < last
+            else:
+                lowest = np.square(low[met, first] * unit[met]) * (1 + 1e-9) + 1e-9
+                highest = np.square(np.maximum(high[met, first], 0.0) * unit[met]) * (1 - 1e-9) - 1e-9
+                use = (first == last) & ((near[met] <= lowest) | (far[met] >= highest))
+            rows, first, last = met[use], first[use], last[use]
+            for at in range(0, len(rows), BALLS):
+                some, k0, k1 = rows[at : at + BALLS], first[at : at + BALLS], last[at : at + BALLS]
+                if not len(some):
+                    continue
+                q = squared(centre[some], points)
+                for step in range(int((k1 - k0).max()) + 1):
+                    ok = k0 + step <= np.minimum(k1, k_all - 1)
+                    mine, k = some[ok], k0[ok] + step
+                    start = np.where(k > 0, cut[mine, np.maximum(k - 1, 0)], -np.inf)
+                    take(mine, k, (q[ok] >= start[:, None]) & (q[ok] < cut[mine, k][:, None]), q[ok], w)
+    return np.stack([low, held, high], axis=2)
+
+
 def _split(value: np.ndarray, null: np.ndarray) -> list[np.ndarray]:
     """Finite part of a value, and counts of its NULLs, NaNs and infinities."""
     bad = null | ~np.isfinite(value)
@@ -123,11 +180,12 @@ def _split(value: np.ndarray, null: np.ndarray) -> list[np.ndarray]:
 
 def in_rings(
     points: DataFrame, balls: DataFrame, radius: Column, unit: str, edges: Sequence[float], side: str, by: str | None, keys: Sequence[str],
-    values: dict[str, Column], max_radius: float, box: float = BOX_SIZE, cells: int = CELLS,
+    values: dict[str, Column], max_radius: float, box: float = BOX_SIZE, cells: int = CELLS, ends: bool = False,
 ) -> DataFrame:
     """(keys, by, bin, n, values): counts and sums of the points by rings of ``edges`` in ``unit``, within ``radius`` of each ball.
 
     Point coordinates lie in [0, box). ``keys`` are columns of the balls, ``by`` one of the points. Balls of one key are summed up; rings without points have no row.
+    With ``ends`` there are r_first, first and r_last too: r of the nearest point with its first value (the least of equal ones), and of the farthest.
     """
     n = F.lit(cells).cast("long")
     names = list(values)
@@ -141,7 +199,7 @@ def in_rings(
     kinds = dict(points.select(by).dtypes) if by else {}
     types = {**dict(balls.dtypes), **kinds}
     group = [*keys, *([by] if by else [])]
-    shape = ", ".join([*(f"`{c}` {types[c]}" for c in group), "bin int", "n long", *(f"_v{i} double" for i in range(len(names)))])
+    shape = ", ".join([*(f"`{c}` {types[c]}" for c in group), "bin int", "n long", *(f"_v{i} double" for i in range(len(names))), *(["r_first double", "first double", "r_last double"] if ends else [])])
     n_rings = len(edges) - 1
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -175,10 +233,18 @@ def in_rings(
                         v = np.where(nan | (up & down), np.nan, np.where(up, np.inf, np.where(down, -np.inf, v)))
                     cols.append(pa.array(v, mask=none))
                     at += 5 if o else 1
-                out.append(pa.Table.from_arrays(cols, [*group, "bin", "n", *(f"_v{i}" for i in range(len(names)))]))
+                if ends:
+                    missing = a.column("_v0").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+                    value = np.where(missing, -np.inf, number(a, "_v0").astype(float))[mine]  # NULLs come first
+                    e = ring_ends(xyz[mine], value, centre, cut, number(b, "_unit"))[:, 1 : n_rings + 1][ball, ring]
+                    cols += [pa.array(e[:, 0]), pa.array(e[:, 1], mask=e[:, 1] == -np.inf), pa.array(e[:, 2])]
+                out.append(pa.Table.from_arrays(cols, [*group, "bin", "n", *(f"_v{i}" for i in range(len(names))), *(["r_first", "first", "r_last"] if ends else [])]))
         return pa.concat_tables(out) if out else empty
 
     empty = points.sparkSession.createDataFrame([], shape).toArrow()
     found = left.groupBy("_cell").cogroup(right.groupBy("_cell")).applyInArrow(run, shape)
     sums = [F.sum("n").alias("n"), *[F.sum(f"_v{i}").alias(c) for i, c in enumerate(names)]]
+    if ends:
+        nearest = F.min(F.struct("r_first", "first"))
+        sums += [nearest["r_first"].alias("r_first"), nearest["first"].alias("first"), F.max("r_last").alias("r_last")]
     return found.groupBy(*group, "bin").agg(*sums)

@@ -40,6 +40,14 @@ def test_masses_without_pairs(spark):
         assert _rows(profiles.ball_masses(points, halos, 5.0, 24.5, strict=strict).select(one.columns)) == _rows(one)
 
 
+def test_interpolated_without_pairs(spark):
+    points, halos = _tables(spark)
+    one = profiles.enclosed_interpolated(_pairs(points, halos), [0.5, 1.0, 2.0, 4.0], ("halo_id", "sim"))
+    two = profiles.ball_interpolated(points, halos, 5.0, 24.5, [0.5, 1.0, 2.0, 4.0], ("halo_id",), "sim")
+    plain = [(h, s, x, None if m is None else round(m, 9)) for h, s, x, m in _rows(one.select("halo_id", "sim", "radius", "m_enclosed"))]
+    assert plain == [(h, s, x, None if m is None else round(m, 9)) for h, s, x, m in _rows(two.select("halo_id", "sim", "radius", "m_enclosed"))]
+
+
 def test_edges_as_the_quotient_has_them():
     rng = np.random.default_rng(0)
     unit, edges = rng.integers(20, 50, 200) / 10, [0.0, 0.3, 0.7, 1.1, 4.9]
