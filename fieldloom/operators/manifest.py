@@ -48,11 +48,14 @@ def report_json(tasks: DataFrame) -> DataFrame:
 
 
 def completeness(expected: DataFrame, existing: DataFrame, keys: Sequence[str], group: Sequence[str], goal: int | None = None) -> DataFrame:
-    """Expected and found counts with OK or n/m, and whether a goal is reached."""
+    """Expected and found counts with OK or n/m, and whether a goal is reached.
+
+    Sets made by explode are far larger than the planner's estimate of them, so the joins are told to sort rather than broadcast.
+    """
     e = expected.groupBy(*group).agg(F.count(F.lit(1)).alias("n_expected"))
-    have = existing.join(expected.select(*keys), list(keys), "left_semi").select(*keys).distinct()
+    have = existing.join(expected.select(*keys).hint("merge"), list(keys), "left_semi").select(*keys).distinct()
     f = have.groupBy(*group).agg(F.count(F.lit(1)).alias("n_found"))
-    out = e.join(f, list(group), "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
+    out = e.join(f.hint("merge"), list(group), "left").withColumn("n_found", F.coalesce("n_found", F.lit(0)))
     status = F.when(F.col("n_found") == F.col("n_expected"), F.lit("OK")).otherwise(
         F.concat_ws("/", F.col("n_found").cast("string"), F.col("n_expected").cast("string"))
     )
@@ -80,18 +83,19 @@ def index_ranges(df: DataFrame, keys: Sequence[str], index: str) -> DataFrame:
     """Sorted distinct integers as "0-4,6,8-12".
 
     A break starts wherever the integer before is absent, so starts and ends are found by two
-    anti joins on the integer; only the ranges are gathered per key.
+    anti joins on the integer; only the ranges are gathered per key. The joins sort, as the integers may come from an explode,
+    which the planner takes for small enough to broadcast.
     """
     ids = df.select(*keys, index).distinct()
     prev = ids.select(*keys, (F.col(index) + 1).alias(index))
     nxt = ids.select(*keys, (F.col(index) - 1).alias(index))
     w = Window.partitionBy(*keys).orderBy(index)
-    starts = ids.join(prev, [*keys, index], "left_anti").withColumn("_k", F.row_number().over(w)).withColumnRenamed(index, "_lo")
-    ends = ids.join(nxt, [*keys, index], "left_anti").withColumn("_k", F.row_number().over(w)).withColumnRenamed(index, "_hi")
+    starts = ids.join(prev.hint("merge"), [*keys, index], "left_anti").withColumn("_k", F.row_number().over(w)).withColumnRenamed(index, "_lo")
+    ends = ids.join(nxt.hint("merge"), [*keys, index], "left_anti").withColumn("_k", F.row_number().over(w)).withColumnRenamed(index, "_hi")
     one = F.when(F.col("_lo") == F.col("_hi"), F.col("_lo").cast("string")).otherwise(
         F.concat_ws("-", F.col("_lo").cast("string"), F.col("_hi").cast("string"))
     )
-    pieces = starts.join(ends, [*keys, "_k"]).select(*keys, F.struct(F.col("_lo").alias("lo"), one.alias("s")).alias("_p"))
+    pieces = starts.join(ends.hint("merge"), [*keys, "_k"]).select(*keys, F.struct(F.col("_lo").alias("lo"), one.alias("s")).alias("_p"))
     return pieces.groupBy(*keys).agg(
         F.concat_ws(",", F.transform(F.array_sort(F.collect_list("_p")), lambda p: p["s"])).alias("ranges")
     )
