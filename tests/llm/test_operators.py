@@ -342,6 +342,50 @@ def test_passages_are_found(docs, rows):
     assert all(sets[a] & sets[b] for a, b in pairs if a in sets and b in sets)
 
 
+def test_every_pair_of_a_group_is_compared(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    shared, tail = word(70), word(60)
+    # all share a passage; the later ones share another one, which the first lacks, and copies join their class
+    texts = [word(20) + shared + word(20), word(30) + shared + word(5) + tail, word(10) + shared + word(9) + tail, word(40) + shared + word(31)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)] + [(7, " ".join(texts[2])), (7, " ".join(texts[2])), (None, " ".join(texts[3]))]
+    # a passage at two places of one document
+    twice, extra = word(60), word(300)
+    rows += [(20, " ".join(twice + extra + twice)), (21, " ".join(word(33) + twice))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (passages.BLOCK, 2):
+        monkeypatch.setattr(passages, "BLOCK", block)
+        out = passages.near_duplicate_passages(df).collect()
+        pairs = {(r["doc_id"], r["other_id"]) for r in out}
+        want = {(a, b) for a in range(4) for b in range(4) if a != b} | {(2, 7), (7, 2), (3, None), (None, 3), (20, 21), (21, 20)}
+        assert pairs == want
+        assert len(out) == len({tuple(r) for r in out})
+        starts = {r["first_word"] for r in out if r["doc_id"] == 20}
+        assert starts == {0, 360}
+        assert {(r["first_word"], r["last_word"]) for r in out if r["doc_id"] == 7} == {(0, len(texts[2]) - 1)}
+
+
+def test_verification_does_not_depend_on_the_side():
+    rng = np.random.default_rng(0)
+
+    def codes(w):
+        return np.array([zlib.crc32(bytes(w[k : k + 5].view(np.uint8))) for k in range(len(w) - 4)], np.uint32).view(np.int32)
+
+    sides = 0
+    for _ in range(400):
+        w = rng.integers(0, 2**62, 91)
+        v, at = w.copy(), rng.choice(91, rng.integers(2, 6), replace=False)
+        v[at] = rng.integers(0, 2**62, len(at))
+        a, b = codes(w), codes(np.delete(v, at[0]))
+        one, two = passages.verify_both(a, b, 46, 0.8), passages.verify_both(b, a, 46, 0.8)
+        assert bool(one) == bool(two)
+        sides += bool(passages.verify(a, b, 46, 0.8)) != bool(passages.verify(b, a, 46, 0.8))
+        for s, e, t, u, j in one:
+            x, y = set(a[s : e + 1].tolist()), set(b[t : u + 1].tolist())
+            assert len(x & y) / len(x | y) == j >= 0.8
+    assert sides  # one side alone finds less
+
+
 @pytest.mark.parametrize("n", [50, 55, 60, 70, 80])
 def test_an_edited_word_parts_no_passage(n):
     rng = np.random.default_rng(n)
