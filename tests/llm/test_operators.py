@@ -380,6 +380,9 @@ def test_verification_does_not_depend_on_the_side():
         one, two = passages.verify_both(a, b, 46, 0.8), passages.verify_both(b, a, 46, 0.8)
         assert bool(one) == bool(two)
         sides += bool(passages.verify(a, b, 46, 0.8)) != bool(passages.verify(b, a, 46, 0.8))
+        more = rng.integers(0, 2**31, (5, 80)).astype(np.int32)  # nor does it when another passage is found
+        x, y = np.concatenate([more[0], more[1], more[2], a]), np.concatenate([more[0], more[3], more[4], b])
+        assert any(r[0] >= 200 for r in passages.verify_both(x, y, 46, 0.8)) == any(r[0] >= 200 for r in passages.verify_both(y, x, 46, 0.8)) == bool(one)
         for s, e, t, u, j in one:
             x, y = set(a[s : e + 1].tolist()), set(b[t : u + 1].tolist())
             assert len(x & y) / len(x | y) == j >= 0.8
