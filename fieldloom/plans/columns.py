@@ -9,6 +9,7 @@ from ..functions import cosmology as cos
 from ..functions import geometry as geo
 from ..functions.bins import bin_table
 from ..operators import manifest
+from ..operators.spatial import ball_join
 from ..sources.config import transform_rows, transform_table
 from ..sources.tables import read_table
 from . import bindings as b
@@ -274,7 +275,11 @@ def _(spark, sf):
 
 @query("f05_radius_and_type", cte("pairs") + f"select pid, halo_id, mass, {R('r')} as r from pairs where r <= 2.0 and ptype = 0")
 def _(spark, sf):
-    return b.pairs(spark, sf).where((F.col("r") <= 2.0) & (F.col("ptype") == 0)).select("pid", "halo_id", "mass", r("r").alias("r"))
+    # only the type asked for, and a ball as large as needed: a hair more than two radii, the quotient decides
+    p = b.particles(spark, sf).where(F.col("ptype") == 0).select("pid", "mass", "x", "y", "z")
+    reach = 2.0 * (1 + 1e-9)
+    pairs = ball_join(p, b.halos(spark, sf), F.col("r200") * reach, max_radius=b.MAX_R200 * reach).withColumn("r", F.col("d") / F.col("r200"))
+    return pairs.where(F.col("r") <= 2.0).select("pid", "halo_id", "mass", r("r").alias("r"))
 
 
 @query(
