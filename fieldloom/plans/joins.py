@@ -68,19 +68,19 @@ two as (select * from (select *, row_number() over (partition by dmo order by sc
 _BASE = cte("dmo_members", "hydro_members").rstrip()
 
 
-def _overlaps(spark, sf):
-    return matching.overlaps(b.dmo_members(spark, sf), b.hydro_members(spark, sf))
+def _members(spark, sf):
+    return b.dmo_members(spark, sf), b.hydro_members(spark, sf)
 
 
 @query("j06_overlap_match", _BASE + _OVERLAPS + f"select dmo, hydro, shared, {R('forward')} as forward, {R('reverse')} as reverse, {R('score')} as score from kept")
 def _(spark, sf):
-    m = matching.best_overlap(_overlaps(spark, sf))
+    m = matching.best_overlap(*_members(spark, sf))
     return m.select("dmo", "hydro", "shared", r("forward").alias("forward"), r("reverse").alias("reverse"), r("score").alias("score"))
 
 
 @query("j07_one_to_one", _BASE + _OVERLAPS + f"select dmo, hydro, {R('score')} as score from two")
 def _(spark, sf):
-    m = matching.one_to_one(matching.best_overlap(_overlaps(spark, sf)))
+    m = matching.one_to_one(matching.best_overlap(*_members(spark, sf)))
     return m.select("dmo", "hydro", r("score").alias("score"))
 
 
@@ -94,7 +94,7 @@ select fw.dmo, fw.hydro, {R('least(fw.shared / fw.n_dmo::double, fw.shared / fw.
 where least(fw.shared / fw.n_dmo::double, fw.shared / fw.n_hydro::double) >= 0.5""",
 )
 def _(spark, sf):
-    return matching.mutual_best(_overlaps(spark, sf)).select("dmo", "hydro", r("score").alias("score"))
+    return matching.mutual_best(*_members(spark, sf)).select("dmo", "hydro", r("score").alias("score"))
 
 
 @query(
@@ -105,7 +105,7 @@ def _(spark, sf):
  {R(dist_sql('d', 'h', ('hx', 'hy', 'hz')))} as separation from two t join halos d on d.halo_id = t.dmo join halos h on h.halo_id = t.hydro""",
 )
 def _(spark, sf):
-    m = matching.match_catalogues(b.dmo_members(spark, sf), b.hydro_members(spark, sf))
+    m = matching.match_catalogues(*_members(spark, sf))
     h = b.halos(spark, sf)
     side = lambda s: h.select(F.col("halo_id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("hx", "hy", "hz", "log_mass")])
     j = m.join(side("dmo"), "dmo").join(side("hydro"), "hydro")

@@ -193,6 +193,36 @@ def test_equal_ids_of_two_snapshots_stay_apart(spark):
     assert matching.match_catalogues(heavy, h, min_particles=11, keys=["snap"]).count() == 0
 
 
+def test_pairs_of_halos_are_dealt_out_once_and_uncounted(spark):
+    """No sizes are joined to all pairs, and no task counts pairs before they are dealt out; halos without a name and small ones take no part."""
+    from fieldloom.operators import matching
+
+    rng = np.random.default_rng(38)
+    rows = lambda: list({(int(p), None if h == 9 else int(h)) for p, h in zip(rng.integers(0, 60, 150), rng.integers(0, 10, 150))})
+    d, h = rows(), rows()
+    dmo, hydro = (spark.createDataFrame(x, "pid long, halo long") for x in (d, h))
+    n_d, n_h = ({k: sum(y == k for _, y in x) for k in range(9)} for x in (d, h))
+    shared = {}
+    for p, a in d:
+        for q, c in h:
+            if p == q and a is not None and c is not None:
+                shared[a, c] = shared.get((a, c), 0) + 1
+    best = {a: min((c for x, c in shared if x == a), key=lambda c: (-shared[a, c], c)) for a in {a for a, _ in shared}}
+    got = {r.dmo: (r.hydro, r.shared, r.n_dmo, r.n_hydro) for r in matching.best_overlap(dmo, hydro, 0.0).collect()}
+    assert got == {a: (c, shared[a, c], n_d[a], n_h[c]) for a, c in best.items()}
+    assert {(r.dmo, r.hydro): (r.shared, r.n_dmo, r.n_hydro) for r in matching.overlaps(dmo, hydro).collect()} == {k: (v, n_d[k[0]], n_h[k[1]]) for k, v in shared.items()}
+    least = sorted(n_h.values())[4]
+    large = {k: v for k, v in shared.items() if n_d[k[0]] >= least and n_h[k[1]] >= least}
+    forth = {a: min((c for x, c in large if x == a), key=lambda c: (-large[a, c], c)) for a in {a for a, _ in large}}
+    back = {c: min((a for a, x in large if x == c), key=lambda a: (-large[a, c], a)) for c in {c for _, c in large}}
+    mutual = {(r.dmo, r.hydro) for r in matching.mutual_best(dmo, hydro, 0.0, min_particles=least).collect()}
+    assert mutual == {(a, c) for a, c in forth.items() if back[c] == a}
+    for df in (matching.best_overlap(dmo, hydro), matching.mutual_best(dmo, hydro)):
+        plan = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+        at = [k for k, line in enumerate(plan) if "RepartitionByExpression" in line or "Exchange hashpartitioning(dmo#" in line and "hydro#" in line]
+        assert at and not any("HashAggregate" in plan[k + 1] for k in at)
+
+
 def test_no_nested_loop_or_cartesian_product_over_particles(spark, small):
     from fieldloom.plans import registry
 
