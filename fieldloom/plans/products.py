@@ -114,8 +114,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     folder = shared_folder(spark, "cache")
-    d = b.dmo_members(spark, sf).withColumn("grp", F.lit("dmo")).unionByName(b.hydro_members(spark, sf).withColumn("grp", F.lit("hydro_at_dmo")))
-    products.write_product(d, folder, ["grp"])
+    for grp, members in (("dmo", b.dmo_members(spark, sf)), ("hydro_at_dmo", b.hydro_members(spark, sf))):  # one group a write: nothing to sort
+        products.write_product(members.withColumn("grp", F.lit(grp)), folder, ["grp"])
     back = spark.read.parquet(folder)  # partitioned by group, long form
     return back.groupBy("grp", "halo").agg(F.count(F.lit(1)).alias("n"), F.min("pid").alias("first_pid"), F.max("pid").alias("last_pid"))
 

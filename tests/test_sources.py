@@ -176,3 +176,20 @@ def test_a_run_goes_on_from_the_last_state_saved_whole(spark, tmp_path, monkeypa
     assert products.resumed(start, folder, 4, advance).count() == 5 and len(seen) == 5  # nothing left to do
     products.save_state(start, folder, 3)  # a step saved again
     assert products.load_state(spark, folder)[0] == 3
+
+
+def test_each_group_of_the_member_cache_is_written_alone(spark, tmp_path, monkeypatch):
+    """A write of one group needs no sort by group."""
+    from fieldloom.plans import registry
+    from fieldloom.sources import products
+
+    spark.createDataFrame([(k,) for k in range(3)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    lines = [(o, n, (o + n) % 3) for o in range(8) for n in range(1, 8)] + [(0, 1, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    written, write = [], products.write_product
+    monkeypatch.setattr(products, "write_product", lambda df, *a: (written.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df, *a)))
+    got = {(r.grp, r.halo): (r.n, r.first_pid, r.last_pid) for r in registry.load()[0]["s09_member_cache"](spark, str(tmp_path)).collect()}
+    member = {("dmo", s, o) for o, n, s in lines} | {("hydro_at_dmo", s if n <= 5 else (s + 1) % 3, o) for o, n, s in lines}
+    of = {k: [o for g, s, o in member if (g, s) == k] for k in {m[:2] for m in member}}
+    assert got == {k: (len(v), min(v), max(v)) for k, v in of.items()}
+    assert len(written) == 2 and not any("Union" in plan for plan in written)
