@@ -15,26 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import opened
+
 ROW_BLOCK = 64
 #: Values of a block, about.
 BLOCK = 1 << 20
 FIELDS = ("psi_x", "psi_y", "psi_xx", "psi_xy", "psi_yy")
 
 
-def _opened(where: str) -> tuple:
-    """File system and path, for any place Arrow knows."""
-    from pyarrow import fs
-
-    if where.startswith("file:"):
-        where = "/" + where[5:].lstrip("/")
-    elif where.startswith("s3a:"):
-        where = "s3" + where[3:]
-    return fs.FileSystem.from_uri(where)
-
-
 def _bytes(where: str, ranges: Sequence[tuple[int, int]]) -> list[bytes]:
     """Parts (offset, length) of a file."""
-    system, path = _opened(where)
+    system, path = opened(where)
     with system.open_input_file(path) as f:
         return [f.read_at(length, offset) for offset, length in ranges]
 
@@ -147,7 +138,7 @@ def _write_ranges(pixels: DataFrame, folder: str, name: str, n: int, values: Seq
         return pd.DataFrame({"file": [f"{keys[0]}{suffix}"], "first": [first], "part": [where], "pixels": [len(pdf)]})
 
     def whole(keys: tuple, parts: pd.DataFrame) -> pd.DataFrame:
-        system, path = _opened(f"{folder.rstrip('/')}/{keys[0]}")
+        system, path = opened(f"{folder.rstrip('/')}/{keys[0]}")
         system.create_dir(os.path.dirname(path), recursive=True)
         partial = f"{path}.{uuid.uuid4().hex}.part"
         at = dict(zip(parts["first"].tolist(), parts["part"].tolist(), strict=True))
@@ -174,7 +165,7 @@ def write_planes(pixels: DataFrame, folder: str, name: str, n: int, values: Sequ
 def store(folder: str, name: str, content: bytes) -> str:
     """Put one file into a folder on any file system Arrow knows, whole or not at all; returns where it is."""
     where = f"{folder.rstrip('/')}/{name}"
-    system, path = _opened(where)
+    system, path = opened(where)
     system.create_dir(os.path.dirname(path), recursive=True)
     partial = f"{path}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(partial) as out:
