@@ -8,7 +8,7 @@ but a cell returns a row per ball and ring, so what is shuffled grows with point
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..constants import BOX_SIZE
 from .spatial import CENTRE, POINT, expand_balls, point_cell
 
-#: Cells along one side of the box, points that a small box holds in the mean, balls measured at a time.
-CELLS, BOX_POINTS, BALLS = 10, 96, 1024
+#: Cells along one side of the box, points that a small box holds in the mean, balls measured at a time, and balls that go through the boxes together.
+CELLS, BOX_POINTS, BALLS, CHUNK = 10, 160, 1024, 8192
 
 
 def least_square(unit: np.ndarray, edge: np.ndarray, beyond: np.ndarray) -> np.ndarray:
@@ -48,75 +48,146 @@ def thresholds(unit: np.ndarray, radius: np.ndarray, edges: Sequence[float], sid
     return np.minimum(table[of], top[at][:, None])
 
 
-def small_boxes(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(order, cuts): points ordered by small boxes, and where each box begins and ends."""
+def small_boxes(xyz: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, cuts, places, sides): points ordered by the small boxes of a grid, where each box that holds some begins and ends, its place on the
+    three axes, and the (axis, m + 1) sides of the grid."""
     m = int(np.clip(round((len(xyz) / BOX_POINTS) ** (1 / 3)), 1, 64))
-    low = xyz.min(axis=0)
-    place = np.minimum(((xyz - low) / np.maximum(xyz.max(axis=0) - low, 1e-300) * m).astype(np.int64), m - 1)
+    low, span = xyz.min(axis=0), np.maximum(np.ptp(xyz, axis=0), 1e-300)
+    place = np.minimum(((xyz - low) / span * m).astype(np.int64), m - 1)
     box = (place[:, 0] * m + place[:, 1]) * m + place[:, 2]
     order = np.argsort(box, kind="stable")
     box = box[order]
-    return order, np.concatenate([[0], np.flatnonzero(np.diff(box)) + 1, [len(box)]])
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(box)) + 1, [len(box)]])
+    return order, cuts, place[order[cuts[:-1]]], low[:, None] + span[:, None] * np.arange(m + 1) / m
 
 
-def squared(centre: np.ndarray, points: np.ndarray) -> np.ndarray:
-    """Squared distances (centre, point), summed in the order of ``geometry.norm3``."""
-    q = np.subtract.outer(centre[:, 0], points[:, 0])
-    q *= q
+def squared(centre: np.ndarray, points: np.ndarray, room: np.ndarray | None = None) -> np.ndarray:
+    """Squared distances (centre, point), summed in the order of ``geometry.norm3``; ``room`` is two rows of scratch space, the first for the result."""
+    shape, n = (len(centre), len(points)), len(centre) * len(points)
+    q, d = (x[:n].reshape(shape) for x in room) if room is not None and n <= room.shape[1] else (np.empty(shape), np.empty(shape))
+    c, p = np.ascontiguousarray(centre.T)[:, :, None], np.ascontiguousarray(points.T)
+    np.subtract(c[0], p[0], out=q)
+    np.multiply(q, q, out=q)
     for a in (1, 2):
-        d = np.subtract.outer(centre[:, a], points[:, a])
-        d *= d
-        q += d
+        np.subtract(c[a], p[a], out=d)
+        np.multiply(d, d, out=d)
+        np.add(q, d, out=q)
     return q
 
 
-def near_far(centre: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bounds below and above the squared distances of any of the points from each centre."""
-    low, high = points.min(axis=0), points.max(axis=0)
-    near = np.square(np.maximum(np.maximum(low - centre, centre - high), 0.0)).sum(axis=1)
-    far = np.square(np.maximum(np.abs(centre - low), np.abs(centre - high))).sum(axis=1)
-    return near * (1 - 1e-9) - 1e-9, far * (1 + 1e-9) + 1e-9
-
-
-def ring_sums(xyz: np.ndarray, weights: np.ndarray, centre: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """(ball, ring, weight): sums over the points of ring k, those at cut[:, k - 1] or beyond and below cut[:, k]."""
+def near_far(centre: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(axis, place, ball): parts of bounds below and above the squared distances from each centre; those of a box are the sums of its three."""
+    low, high = sides[:, :-1, None] - centre.T[:, None, :], centre.T[:, None, :] - sides[:, 1:, None]
+    near = np.square(np.maximum(np.maximum(low, high), 0.0)) * (1 - 1e-9) - 1e-9
+    far = np.square(np.maximum(np.abs(low), np.abs(high))) * (1 + 1e-9) + 1e-9
+    return near, far
+
+
+def met_boxes(bounds: np.ndarray, places: np.ndarray, near: np.ndarray, far: np.ndarray, cut: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(begin, end, balls, first ring, last ring, near, far) for each box and the balls it may reach into; ``cut`` is (edge, ball)."""
+    count = lambda q, edges: np.add.reduce(edges <= q, axis=0, dtype=np.int8)
+    for i, j, (x, y, z) in zip(bounds[:-1].tolist(), bounds[1:].tolist(), places.tolist()):
+        if not i or (x, y) != column:
+            column, flat = (x, y), near[0, x] + near[1, y]
+            balls = np.flatnonzero(flat < cut[-1])
+            low, high, edges, heights = flat[balls], (far[0, x] + far[1, y])[balls], cut[:, balls], (near[2][:, balls], far[2][:, balls])
+        if len(balls):
+            q0, q1 = low + heights[0][z], high + heights[1][z]
+            met = np.flatnonzero(q0 < edges[-1])
+            if len(met):
+                part, q0, q1 = edges[:, met], q0[met], q1[met]
+                yield i, j, balls[met], count(q0, part).astype(np.int64), count(q1, part).astype(np.int64), q0, q1
+
+
+def ring_sums(xyz: np.ndarray, weights: np.ndarray, centre: np.ndarray, cut: np.ndarray, ends: Ends | None = None) -> np.ndarray:
+    """(ball, ring, weight): sums over the points of ring k, those at cut[:, k - 1] or beyond and below cut[:, k]. ``ends`` is given the points as well."""
     k_all = cut.shape[1]
     out = np.zeros((len(centre), k_all + 1, weights.shape[1]))
-    order, bounds = small_boxes(xyz)
+    order, bounds, places, sides = small_boxes(xyz)
     xyz, weights = xyz[order], weights[order]
-    for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+    for start in range(0, len(centre), CHUNK):
+        here = slice(start, start + CHUNK)
+        _chunk_sums(xyz, weights, centre[here], cut[here], out[here], (bounds, places, *near_far(centre[here], sides)), ends and ends.part(here, order))
+    return out
+
+
+def _chunk_sums(xyz: np.ndarray, weights: np.ndarray, centre: np.ndarray, cut: np.ndarray, out: np.ndarray, boxes: tuple, ends: Ends | None) -> None:
+    edges, k_all, room = np.ascontiguousarray(cut.T), cut.shape[1], np.empty((2, BALLS * 2 * BOX_POINTS))
+    for i, j, balls, first, last, _, _ in met_boxes(*boxes, edges):
         points, w = xyz[i:j], weights[i:j]
-        near, far = near_far(centre, points)
-        met = np.flatnonzero(near < cut[:, -1])
-        first, last = np.zeros(len(cut), dtype=np.int64), np.zeros(len(cut), dtype=np.int64)
-        first[met] = (cut[met] <= near[met, None]).sum(axis=1)
-        last[met] = (cut[met] <= far[met, None]).sum(axis=1)
-        whole = met[first[met] == last[met]]
-        out[whole, first[whole]] += w.sum(axis=0)
-        crossed = met[first[met] < last[met]]
+        whole = first == last
+        out[balls[whole], first[whole]] += w.sum(axis=0)
+        crossed = np.flatnonzero(~whole)
         for at in range(0, len(crossed), BALLS):
-            rows = crossed[at : at + BALLS]
-            rows = rows[np.argsort(first[rows] - last[rows], kind="stable")]  # those crossed by most edges first
-            k0, width = first[rows], last[rows] - first[rows]
-            q = squared(centre[rows], points)
-            inner = np.zeros(q.shape, dtype=bool)
+            some = crossed[at : at + BALLS]
+            some = some[np.argsort(first[some] - last[some], kind="stable")]  # those crossed by most edges first
+            rows, k0, end = balls[some], first[some], last[some]
+            width, q = end - k0, squared(centre[rows], points, room)
+            inner = None
             for step in range(int(width[0]) + 1):
-                some = int(np.searchsorted(-width, -step, side="right"))
-                k, rows, k0, width, q, inner = k0[:some] + step, rows[:some], k0[:some], width[:some], q[:some], inner[:some]
-                edge = np.where(k < last[rows], cut[rows, np.minimum(k, k_all - 1)], np.inf)
+                n = int(np.searchsorted(-width, -step, side="right"))
+                k, rows, k0, end, width, q = k0[:n] + step, rows[:n], k0[:n], end[:n], width[:n], q[:n]
+                edge = np.where(k < end, cut[rows, np.minimum(k, k_all - 1)], np.inf)
                 below = q < edge[:, None]
-                part = below & ~inner if step else below
+                part = below > inner[:n] if step else below
                 keep = k < k_all  # beyond the last edge nothing is summed
                 if keep.all():
                     out[rows, k] += part.astype(np.float64) @ w
-                else:
+                    if ends:
+                        ends.take(rows, k, part, q, i, j)
+                elif keep.any():
                     out[rows[keep], k[keep]] += part[keep].astype(np.float64) @ w
+                    if ends:
+                        ends.take(rows[keep], k[keep], part[keep], q[keep], i, j)
                 inner = below
-    return out
+    if ends:  # of the boxes that no edge crosses, those that may hold a nearer or a farther point
+        for i, j, balls, first, last, near, far in met_boxes(*boxes, edges):
+            use = np.flatnonzero((first == last) & ((near <= ends.near[balls, first]) | (far >= ends.far[balls, first])))
+            for at in range(0, len(use), BALLS):
+                rows = balls[use[at : at + BALLS]]
+                q = squared(centre[rows], xyz[i:j], room)
+                ends.take(rows, first[use[at : at + BALLS]], np.ones(q.shape, dtype=bool), q, i, j)
+
 
+class Ends:
+    """(ball, ring): r of the nearest point with its value (the least of equal ones), and of the farthest; infinities where the ring is empty.
 
-def _measure(part: np.ndarray, q: np.ndarray, value: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least r of the points in ``part``, its value (the least among equal r) and the largest r; infinities where there is none."""
+    ``near`` and ``far`` are the squared distances at which a point would change them: most boxes are passed over by two comparisons.
+    """
+
+    def __init__(self, value: np.ndarray, unit: np.ndarray, rings: int) -> None:
+        self.value, self.unit, shape = value, unit, (len(unit), rings)
+        self.low, self.held, self.high = (np.full(shape, x) for x in (np.inf, np.inf, -np.inf))
+        self.near, self.far = np.full(shape, np.inf), np.full(shape, -1.0)
+
+    def part(self, balls: slice, order: np.ndarray) -> Ends:
+        """Some of the balls, with the points in another order; what it finds is found here."""
+        out = Ends.__new__(Ends)
+        out.value, out.unit = self.value[order], self.unit[balls]
+        for name in ("low", "held", "high", "near", "far"):
+            setattr(out, name, getattr(self, name)[balls])
+        return out
+
+    def take(self, rows: np.ndarray, k: np.ndarray, part: np.ndarray, q: np.ndarray, i: int, j: int) -> None:
+        """The points i..j at the squared distances ``q`` from the balls ``rows``; ``part`` says which of them are in the rings ``k``."""
+        beyond = q <= self.near[rows, k][:, None]
+        beyond |= q > self.far[rows, k][:, None]
+        beyond &= part
+        new = np.flatnonzero(beyond.any(axis=1))
+        if not len(new):
+            return
+        rows, k = rows[new], k[new]
+        r0, v, r1, least, most = _measure(part[new], q[new], self.value[i:j], self.unit[rows])
+        nearer = (r0 < self.low[rows, k]) | ((r0 == self.low[rows, k]) & (v < self.held[rows, k]))
+        self.low[rows[nearer], k[nearer]], self.held[rows[nearer], k[nearer]] = r0[nearer], v[nearer]
+        self.high[rows, k] = np.maximum(self.high[rows, k], r1)
+        # squares that may round to the least r are looked at
+        self.near[rows, k] = np.minimum(self.near[rows, k], least * (1 + 1e-14))
+        self.far[rows, k] = np.maximum(self.far[rows, k], most)
+
+
+def _measure(part: np.ndarray, q: np.ndarray, value: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Least r of the points in ``part``, its value (the least among equal r) and the largest r, and the least and largest q; infinities where there is none."""
     inside = np.where(part, q, np.inf)
     at = inside.argmin(axis=1)
     least = np.take_along_axis(inside, at[:, None], axis=1)[:, 0]
@@ -126,50 +197,7 @@ def _measure(part: np.ndarray, q: np.ndarray, value: np.ndarray, unit: np.ndarra
             held[i] = value[part[i] & (np.sqrt(q[i]) / unit[i] == np.sqrt(least[i]) / unit[i])].min()
     most = np.where(part, q, -np.inf).max(axis=1)
     with np.errstate(invalid="ignore"):
-        return np.sqrt(least) / unit, held, np.where(most >= 0, np.sqrt(most) / unit, -np.inf)
-
-
-def ring_ends(xyz: np.ndarray, value: np.ndarray, centre: np.ndarray, cut: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    """(ball, ring, 3): the nearest point's r and value, and the farthest point's r; infinities where the ring is empty.
-
-    Boxes that an edge crosses come first; of the others only those are measured that may hold a nearer or a farther point.
-    """
-    k_all = cut.shape[1]
-    low, held, high = (np.full((len(centre), k_all + 1), x) for x in (np.inf, np.inf, -np.inf))
-
-    def take(rows: np.ndarray, k: np.ndarray, part: np.ndarray, q: np.ndarray, w: np.ndarray) -> None:
-        r0, v, r1 = _measure(part, q, w, unit[rows])
-        nearer = (r0 < low[rows, k]) | ((r0 == low[rows, k]) & (v < held[rows, k]))
-        low[rows[nearer], k[nearer]], held[rows[nearer], k[nearer]] = r0[nearer], v[nearer]
-        high[rows, k] = np.maximum(high[rows, k], r1)
-
-    order, bounds = small_boxes(xyz)
-    xyz, value = xyz[order], value[order]
-    for crossing in (True, False):
-        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            points, w = xyz[i:j], value[i:j]
-            near, far = near_far(centre, points)
-            met = np.flatnonzero(near < cut[:, -1])
-            first = (cut[met] <= near[met, None]).sum(axis=1)
-            last = (cut[met] <= far[met, None]).sum(axis=1)
-            if crossing:
-                use = first < last
-            else:
-                lowest = np.square(low[met, first] * unit[met]) * (1 + 1e-9) + 1e-9
-                highest = np.square(np.maximum(high[met, first], 0.0) * unit[met]) * (1 - 1e-9) - 1e-9
-                use = (first == last) & ((near[met] <= lowest) | (far[met] >= highest))
-            rows, first, last = met[use], first[use], last[use]
-            for at in range(0, len(rows), BALLS):
-                some, k0, k1 = rows[at : at + BALLS], first[at : at + BALLS], last[at : at + BALLS]
-                if not len(some):
-                    continue
-                q = squared(centre[some], points)
-                for step in range(int((k1 - k0).max()) + 1):
-                    ok = k0 + step <= np.minimum(k1, k_all - 1)
-                    mine, k = some[ok], k0[ok] + step
-                    start = np.where(k > 0, cut[mine, np.maximum(k - 1, 0)], -np.inf)
-                    take(mine, k, (q[ok] >= start[:, None]) & (q[ok] < cut[mine, k][:, None]), q[ok], w)
-    return np.stack([low, held, high], axis=2)
+        return np.sqrt(least) / unit, held, np.where(most >= 0, np.sqrt(most) / unit, -np.inf), least, most
 
 
 def _split(value: np.ndarray, null: np.ndarray) -> list[np.ndarray]:
@@ -218,7 +246,11 @@ def in_rings(
                 mine = (of == g) & np.isfinite(xyz).all(axis=1)
                 if not mine.any():
                     continue
-                sums = ring_sums(xyz[mine], weights[mine], centre, cut)[:, 1 : n_rings + 1]
+                found = None
+                if ends:
+                    missing = a.column("_v0").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+                    found = Ends(np.where(missing, -np.inf, number(a, "_v0").astype(float))[mine], number(b, "_unit"), cut.shape[1] + 1)  # NULLs come first
+                sums = ring_sums(xyz[mine], weights[mine], centre, cut, found)[:, 1 : n_rings + 1]
                 ball, ring = np.nonzero(sums[:, :, 0])
                 s, at = sums[ball, ring], 1
                 cols = [b.column(c).combine_chunks().take(pa.array(ball)) for c in keys]
@@ -233,11 +265,9 @@ def in_rings(
                         v = np.where(nan | (up & down), np.nan, np.where(up, np.inf, np.where(down, -np.inf, v)))
                     cols.append(pa.array(v, mask=none))
                     at += 5 if o else 1
-                if ends:
-                    missing = a.column("_v0").combine_chunks().is_null().to_numpy(zero_copy_only=False)
-                    value = np.where(missing, -np.inf, number(a, "_v0").astype(float))[mine]  # NULLs come first
-                    e = ring_ends(xyz[mine], value, centre, cut, number(b, "_unit"))[:, 1 : n_rings + 1][ball, ring]
-                    cols += [pa.array(e[:, 0]), pa.array(e[:, 1], mask=e[:, 1] == -np.inf), pa.array(e[:, 2])]
+                if found:
+                    low, held, high = (x[:, 1 : n_rings + 1][ball, ring] for x in (found.low, found.held, found.high))
+                    cols += [pa.array(low), pa.array(held, mask=held == -np.inf), pa.array(high)]
                 out.append(pa.Table.from_arrays(cols, [*group, "bin", "n", *(f"_v{i}" for i in range(len(names))), *(["r_first", "first", "r_last"] if ends else [])]))
         return pa.concat_tables(out) if out else empty
 

@@ -69,3 +69,22 @@ def test_small_boxes_and_whole_balls():
     ring = (q[:, :, None] >= cut[:, None, :]).sum(axis=2)
     want = np.stack([(ring == k).astype(float) @ w for k in range(5)], axis=1)
     assert np.array_equal(rings.ring_sums(xyz, w, centre, cut)[:, :5], want)
+
+
+def test_ends_come_with_the_sums(monkeypatch):
+    rng = np.random.default_rng(2)
+    xyz, centre, unit = rng.integers(0, 400, (6000, 3)) / 20, rng.integers(-100, 500, (90, 3)) / 20, rng.integers(20, 50, 90) / 10
+    value, w = rng.integers(1, 50, 6000).astype(float), np.ones((6000, 1))
+    cut = rings.thresholds(unit, unit * 5, [-1.0, 0.5, 1.0, 2.0, 4.0, np.inf], "right")
+    measured, squared = [], rings.squared
+    monkeypatch.setattr(rings, "squared", lambda c, p, *room: measured.append(len(c) * len(p)) or squared(c, p, *room))
+    sums = rings.ring_sums(xyz, w, centre, cut)
+    alone, found = sum(measured), rings.Ends(value, unit, cut.shape[1] + 1)
+    assert np.array_equal(rings.ring_sums(xyz, w, centre, cut, found), sums)
+    assert sum(measured) - alone < 1.5 * alone  # the boxes that an edge crosses are not measured once more for the ends
+    q = squared(centre, xyz)
+    ring, r = (q[:, :, None] >= cut[:, None, :]).sum(axis=2), np.sqrt(q) / unit[:, None]
+    for ball, k in zip(*np.nonzero(sums[:, :, 0])):
+        inside = r[ball, ring[ball] == k]
+        assert found.low[ball, k] == inside.min() and found.high[ball, k] == inside.max()
+        assert found.held[ball, k] == value[(ring[ball] == k) & (r[ball] == inside.min())].min()
