@@ -203,6 +203,17 @@ def mass_deficit(dmo: DataFrame, hydro: DataFrame, value: str = "m_enclosed", ke
     )
 
 
+def deficit_by_run(masses: DataFrame, value: str = "m_enclosed", keys: Sequence[str] = ("halo_id", "radius"), run: str = "sim") -> DataFrame:
+    """``mass_deficit`` of the runs 'dmo' and 'hydro' of one table, of which each key has at most one row a run, without working it out for each run.
+
+    As in the join, a key with a NULL has no partner.
+    """
+    of = lambda name: F.coalesce(F.sum(F.when(F.col(run) == name, F.col(value))), F.lit(0.0))
+    alone = F.when(F.greatest(*[F.col(c).isNull() for c in keys], F.lit(False)), F.col(run))
+    both = masses.where(F.col(run).isin("dmo", "hydro")).groupBy(*keys, alone.alias("_alone")).agg(of("dmo").alias("m_dmo"), of("hydro").alias("m_hydro"))
+    return both.select(*keys, F.try_divide(F.col("m_hydro") - F.col("m_dmo"), F.col("m_dmo")).alias("deficit"))
+
+
 def stacked_sum(profile: DataFrame, value: str = "density", mass_bin: str = "mass_bin") -> DataFrame:
     """Sum of densities per (mass bin, radial bin), with the number of particles and halos."""
     return profile.groupBy(mass_bin, "bin").agg(

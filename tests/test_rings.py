@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import profiles, rings, spatial
+from fieldloom.plans import registry
 
 
 def _tables(spark, n=4000):
@@ -88,3 +89,13 @@ def test_ends_come_with_the_sums(monkeypatch):
         inside = r[ball, ring[ball] == k]
         assert found.low[ball, k] == inside.min() and found.high[ball, k] == inside.max()
         assert found.held[ball, k] == value[(ring[ball] == k) & (r[ball] == inside.min())].min()
+
+
+def test_deficit_works_out_the_rings_once(spark, small):
+    shape = "halo_id long, radius double, sim string, m_enclosed double"
+    rows = [(1, 0.5, "dmo", 4.0), (1, 0.5, "hydro", 3.0), (2, 0.5, "hydro", 3.0), (3, 1.0, "dmo", 2.0), (4, 1.0, "dmo", 0.0), (4, 1.0, "hydro", 1.0)]
+    rows += [(5, 1.0, "dmo", None), (5, 1.0, "hydro", 2.0), (None, 1.0, "dmo", 5.0), (None, 1.0, "hydro", 6.0), (6, None, "hydro", 6.0), (7, 1.0, None, 3.0)]
+    e = spark.createDataFrame(rows, shape)
+    assert _rows(profiles.deficit_by_run(e)) == _rows(profiles.mass_deficit(e.where("sim = 'dmo'"), e.where("sim = 'hydro'")))
+    query = registry.load()[0]["g09_mass_deficit"](spark, small)
+    assert query._jdf.queryExecution().executedPlan().toString().count("CoGroup") == 1
